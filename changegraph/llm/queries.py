@@ -71,3 +71,14 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low.component,
        coalesce(low.component, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
 """
+
+
+@query
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from changegraph.llm.imatch import edited_fingerprints
+
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("edited_text").cast("binary"), 256)
+    return out.select("doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
