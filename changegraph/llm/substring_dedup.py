@@ -116,7 +116,7 @@ def remove_repeats(
         raise ValueError(f"period must be one of {sorted(COVERS)} and below the window")
     spark = docs.sparkSession
     n = n_groups(spark)
-    groups, buckets = 4 * n, 4 * n
+    groups, buckets = 2 * n, n
     width = window - period + 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
