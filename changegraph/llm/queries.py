@@ -82,3 +82,29 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(table(spark, sf_dir, "documents"))
     sha = F.sha2(F.col("edited_text").cast("binary"), 256)
     return out.select("doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from changegraph.llm.text import shared_dir
+    from changegraph.llm.token_files import read_token_files, write_token_files
+
+    folder = shared_dir(spark) + "/tokens"
+    manifest = write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=0)
+    out = read_token_files(spark, folder, manifest)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changegraph.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, capacity=1024)
