@@ -108,3 +108,20 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from changegraph.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, capacity=1024)
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from changegraph.llm.mixing import mix
+
+    placed = mix(table(spark, sf_dir, "documents"))
+    # Documents of size 0 stay a row each; the others are told apart by their place in the stream.
+    none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    some = placed.where("size > 0").groupBy("doc_id", "h", "source", "size", "source_size", "target", "start")
+    taken = some.agg(F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("taken"))), F.lit(0)).alias("taken"))
+    return none.unionByName(taken.select("doc_id", "size", "source_size", "target", "taken"))
+
+
+
