@@ -125,3 +125,14 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from changegraph.llm.text import in_remainder
+    from changegraph.llm.toxicity import score_toxicity
+
+    labels = table(spark, sf_dir, "labels").where(~in_remainder("doc_id", 5, 0))
+    out = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return out.select("doc_id", in_remainder("doc_id", 5, 0).alias("held_out"), "score", predicted.alias("predicted"), F.size("evidence").alias("n_neighbours"))
