@@ -136,3 +136,16 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(table(spark, sf_dir, "documents"), labels)
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return out.select("doc_id", in_remainder("doc_id", 5, 0).alias("held_out"), "score", predicted.alias("predicted"), F.size("evidence").alias("n_neighbours"))
+
+
+@query
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from changegraph.llm.quality_gam import score_quality
+    from changegraph.llm.text import in_remainder
+
+    labels = table(spark, sf_dir, "labels").where(~in_remainder("doc_id", 3, 1))
+    out = score_quality(table(spark, sf_dir, "documents"), labels)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return out.select("doc_id", in_remainder("doc_id", 3, 1).alias("held_out"), "score", predicted.alias("predicted"))
