@@ -10,25 +10,33 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Pieces that a worker remembers, with and without a leading space, before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Every white space character but space and line feed, after str.isspace.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
 
 
 class _Ids(dict):
+    """Ids of pieces, found on first use. Letters and a mark after them are separate tokens."""
+
     def __init__(self, tokenizer, lead: str):
         super().__init__()
         self.tokenizer, self.lead = tokenizer, lead
+        self.marks = {c: self._encoded(c) for c in ".,;:!?"}
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        mark = self.marks.get(piece[-1:])
+        if mark is not None and piece[:-1].isalpha():
+            return self[piece[:-1]] + mark
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self._encoded(self.lead + piece)
         if len(piece) < 64:
             self[piece] = ids
         return ids
