@@ -8,11 +8,12 @@ Jaccard estimate from equal registers, corrected for accidental equality, drops
 candidates; the rest are confirmed on the full sets.
 
 Only components are asked for, so within a band all members are tried against one of them
-(the hub), never against each other. Where that leaves a band in several components, the
-members outside its largest component are tried against all of its members in other
-components; that is exact for the band and, as groups of copies fall into one component
-at once, small. At similarity 0.8 a pair shares none of the 42 bands with probability
-3e-6; below that many documents, all links are found.
+(the hub), never against each other. Members outside a band's largest component are then
+probed against other members, a few in each of their bands, until nothing new links. What
+is still apart is compared exactly: sketches of members outside the largest component
+against all others of their band, in blocks of bounded size, a pair only in the first band
+that it shares. At similarity 0.8 a pair shares none of the 42 bands with probability 3e-6
+and falls below the estimate's slack (four standard deviations or more) with 3e-5.
 
 Defined results: a document without words has an empty set and is linked with nothing.
 With fewer words than a shingle, the whole sequence is the only shingle. Equal sets are one
@@ -111,7 +112,7 @@ _ROW = mix64(np.arange(2000, 2000 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(band, id): a row for each band of each sketch."""
+    """(band, no, id): a row for each band of each sketch, ``no`` counting from 0."""
 
     def keys(batches):
         for batch in batches:
@@ -121,10 +122,15 @@ def bands(reps: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 k = (r[:, : BANDS * ROWS].reshape(len(r), BANDS, ROWS).astype(np.uint64) * _ROW).sum(axis=2) + _BAND
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mix64(k).view(np.int64).ravel()), pa.array(np.repeat(batch["id"].to_numpy(), BANDS))], names=["band", "id"]
+                [
+                    pa.array(mix64(k).view(np.int64).ravel()),
+                    pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(r))),
+                    pa.array(np.repeat(batch["id"].to_numpy(), BANDS)),
+                ],
+                names=["band", "no", "id"],
             )
 
-    return reps.select("id", "regs").mapInArrow(keys, "band long, id long")
+    return reps.select("id", "regs").mapInArrow(keys, "band long, no int, id long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -190,48 +196,108 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
+def _mixed(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the bands that hold several components, with the band's largest one."""
+    placed = shared.where("members > 2").join(comp, "id", "left").select("band", "no", "id", "hub", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n_all"), F.max("n").alias("n_largest")
+    )
+    return materialise(placed.join(sizes.where("parts > 1"), "band"), "mixed")
+
+
+def _probes(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each outside member with one member of the largest component and one other outside member of its band."""
+    draw, inside = F.xxhash64("id", F.lit(turn)), F.col("component") == F.col("largest")
+    picked = mixed.groupBy("band").agg(F.min_by("id", F.when(inside, draw)).alias("p"), F.min_by("id", F.when(~inside, draw)).alias("q"))
+    pairs = mixed.where(~inside).join(picked, "band").select("id", "hub", F.explode(F.array("p", "q")).alias("y"))
+    return pairs.where("id <> y AND id <> hub AND y <> hub").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+
+
+def _apart(mixed: DataFrame, reps: DataFrame, least: float, block: int = 512, small: int = 64) -> DataFrame:
+    """All pairs of different components that share a band and whose estimate reaches ``least``."""
+    outside = mixed.where("component <> largest")
+    x = outside.select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
+    y = mixed.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "hub", "largest", "n_all")
+    few = (
+        x.join(y.where(F.col("n_all") <= small), "band")
+        .where("cx <> cy AND x <> hub AND y <> hub AND (cy = largest OR x < y)")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
+
+    def compare(left, right):
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            r = np.frombuffer(b"".join(right["regs"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+            ids, comps, n = (right[c].to_numpy() for c in ("id", "component", "n_shingles"))
+            no, largest, hub = left["no"][0].as_py(), left["largest"][0].as_py(), left["hub"][0].as_py()
+            for row in left.to_pylist():
+                ok = (comps != row["component"]) & ((comps == largest) | (ids > row["id"])) & (ids != hub) & (row["id"] != hub)
+                equal = r == np.frombuffer(row["regs"], dtype=np.uint16)
+                ok &= estimate(equal.sum(axis=1), n, np.full(len(n), row["n_shingles"])) >= least
+                at = np.flatnonzero(ok)
+                if len(at):
+                    at = at[equal[at, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == no]
+                    out_a.append(np.minimum(ids[at], row["id"]))
+                    out_b.append(np.maximum(ids[at], row["id"]))
+        join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, dtype=np.int64), pa.int64())
+        return pa.table([join(out_a), join(out_b)], names=["a", "b"])
+
+    many = mixed.where(F.col("n_all") > small).join(reps, "id")
+    across = F.ceil((F.col("n_all") - F.col("n_largest")) / block).cast("int")
+    down = F.ceil(F.col("n_all") / block).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    left = many.where("component <> largest").withColumn("bx", part(across)).withColumn("by", F.explode(F.sequence(F.lit(0), down - 1)))
+    right = many.withColumn("by", part(down)).withColumn("bx", F.explode(F.sequence(F.lit(0), across - 1)))
+    keys = ["band", "bx", "by"]
+    left = left.select(*keys, "no", "id", "component", "largest", "hub", "n_shingles", "regs")
+    right = right.select(*[F.col(c).alias(c) for c in (*keys, "id", "component", "n_shingles", "regs")])
+    blocks = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+    return _likely(few, reps, least).union(blocks).distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slack: float = 0.2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slack: float = 0.12, most_turns: int = 1
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept): the smallest id that near copies lead to, and whether it is the own one.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of
-    ``shingle``-word shingles. Candidates with an estimate below percent / 100 - slack
-    (over five standard deviations) are not confirmed."""
+    ``shingle``-word shingles. Candidates with an estimate below percent / 100 - slack are
+    not confirmed. ``most_turns`` bounds the probing, not the result: what probing leaves is
+    compared exactly."""
     sigs = materialise(sketches(docs, id_col, text_col, shingle), "sketches")
     known = sigs.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = known.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
-    classes = materialise(classes, "classes")
+    classes = materialise(known.groupBy("key1", "key2").agg(F.min("id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("id"), "key1", "key2"), ["id", "key1", "key2"], "left_semi").dropDuplicates(["id"])
     reps = materialise(reps.select("id", "n_shingles", "regs"), "representatives")
     least = percent / 100 - slack
 
     every = bands(reps)
     hubs = every.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = materialise(every.join(hubs, "band").select("band", "id", "hub", "members"), "bands")
+    shared = materialise(every.join(hubs, "band"), "bands")
     tried = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    likely = materialise(_likely(tried, reps, least), "likely")
-    links = [materialise(_confirmed(likely, docs, id_col, text_col, shingle, percent), "links")]
-    comp = components(links[0])
-
-    # What the hubs left apart: members outside a band's largest component, against all others.
-    placed = shared.where("members > 2").join(comp, "id", "left").select("band", "id", "hub", F.coalesce("component", "id").alias("component"))
-    largest = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")
-    )
-    mixed = materialise(placed.join(largest.where("parts > 1"), "band"), "mixed")
-    outside = mixed.where("component <> largest").select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = (
-        outside.join(mixed.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "hub", "largest"), "band")
-        .where("cx <> cy AND x <> hub AND y <> hub AND (cy = largest OR x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    rest = materialise(_likely(pairs, reps, least), "likely")
-    if rest.limit(1).count():
-        links.append(materialise(_confirmed(rest, docs, id_col, text_col, shingle, percent), "links"))
-        if links[1].limit(1).count():
-            comp = components(reduce(DataFrame.union, links))
+    links: list[DataFrame] = []
+
+    def link(likely: DataFrame) -> bool:
+        likely = materialise(likely, "likely")
+        if likely.limit(1).count():
+            found = materialise(_confirmed(likely, docs, id_col, text_col, shingle, percent), "links")
+            if found.limit(1).count():
+                links.append(found)
+                return True
+        return False
+
+    none = classes.select(F.col("rep").alias("id"), F.col("rep").alias("component")).where("false")
+    comp = components(links[0]) if link(_likely(tried, reps, least)) else none
+    for turn in range(most_turns):
+        mixed = _mixed(shared, comp)
+        if not link(_likely(_probes(mixed, turn), reps, least)):
+            break
+        comp = components(reduce(DataFrame.union, links))
+    else:
+        mixed = _mixed(shared, comp)
+    if mixed.limit(1).count() and link(_apart(mixed, reps, least)):
+        comp = components(reduce(DataFrame.union, links))
 
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     out = sigs.drop("regs").join(placed, ["key1", "key2"], "left")
