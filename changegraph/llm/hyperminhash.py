@@ -38,6 +38,8 @@ BUCKETS, ROWS = 256, 6
 BANDS = BUCKETS // ROWS
 #: A list of ids up to this many rows (8 bytes each) may be broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 500_000
+#: Bands of up to so many members are joined with themselves; larger ones are compared in blocks.
+SMALL = 64
 _STARTS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(56)
 #: For each bucket, an order of all buckets to borrow from.
 _BORROW = np.stack([np.random.default_rng([7, b]).permutation(BUCKETS) for b in range(BUCKETS)])
@@ -150,31 +152,37 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, s): the sorted set of shingle hashes of each document of ``ids``, as bytes of 64-bit integers."""
 
     def sets(batches):
         for batch in batches:
             if batch.num_rows:
-                s = list(shingle_sets(batch["text"], size))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(s).view(np.int64)))], names=["id", "s"]
-                )
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = materialise(ids, "ids")
+                s = [x.astype("<u8").tobytes() for x in shingle_sets(batch["text"], size)]
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(s, pa.binary())], names=["id", "s"])
+
+    ids = materialise(ids.distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    full = rows.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"])
+    return rows.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
+
+    def same(batches):
+        for t in batches:
+            ok = []
+            for x, y in zip(t["s_a"], t["s_b"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([t["a"], t["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, size)
     a, b = full.select(F.col("id").alias("a"), F.col("s").alias("s_a")), full.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return (
-        pairs.join(a, "a").join(b, "b")
-        .where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
-        .select("a", "b")
-    )
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(same, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,8 +221,11 @@ def _probes(mixed: DataFrame, turn: int) -> DataFrame:
     return pairs.where("id <> y AND id <> hub AND y <> hub").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
 
 
-def _apart(mixed: DataFrame, reps: DataFrame, least: float, block: int = 512, small: int = 64) -> DataFrame:
-    """All pairs of different components that share a band and whose estimate reaches ``least``."""
+def _apart(mixed: DataFrame, reps: DataFrame, sets: DataFrame, least: float, percent: int, block: int = 512, small: int = SMALL) -> DataFrame:
+    """All pairs of different components that share a band and may be links.
+
+    In bands of more than ``small`` members, pairs whose estimate reaches ``least`` are compared
+    on their sets (``sets``: id, s) at once, so that only links leave the task."""
     outside = mixed.where("component <> largest")
     x = outside.select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
     y = mixed.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "hub", "largest", "n_all")
@@ -230,6 +241,7 @@ def _apart(mixed: DataFrame, reps: DataFrame, least: float, block: int = 512, sm
         if left.num_rows and right.num_rows:
             r = np.frombuffer(b"".join(right["regs"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
             ids, comps, n = (right[c].to_numpy() for c in ("id", "component", "n_shingles"))
+            full = [np.frombuffer(x, dtype="<u8") for x in right["s"].to_pylist()]
             no, largest, hub = left["no"][0].as_py(), left["largest"][0].as_py(), left["hub"][0].as_py()
             for row in left.to_pylist():
                 ok = (comps != row["component"]) & ((comps == largest) | (ids > row["id"])) & (ids != hub) & (row["id"] != hub)
@@ -238,20 +250,23 @@ def _apart(mixed: DataFrame, reps: DataFrame, least: float, block: int = 512, sm
                 at = np.flatnonzero(ok)
                 if len(at):
                     at = at[equal[at, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == no]
+                    s = np.frombuffer(row["s"], dtype="<u8")
+                    both = np.array([len(np.intersect1d(s, full[j], assume_unique=True)) for j in at], dtype=np.int64)
+                    at = at[100 * both >= percent * (len(s) + n[at] - both)]
                     out_a.append(np.minimum(ids[at], row["id"]))
                     out_b.append(np.maximum(ids[at], row["id"]))
         join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, dtype=np.int64), pa.int64())
         return pa.table([join(out_a), join(out_b)], names=["a", "b"])
 
-    many = mixed.where(F.col("n_all") > small).join(reps, "id")
+    many = mixed.where(F.col("n_all") > small).join(reps, "id").join(sets, "id")
     across = F.ceil((F.col("n_all") - F.col("n_largest")) / block).cast("int")
     down = F.ceil(F.col("n_all") / block).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     left = many.where("component <> largest").withColumn("bx", part(across)).withColumn("by", F.explode(F.sequence(F.lit(0), down - 1)))
     right = many.withColumn("by", part(down)).withColumn("bx", F.explode(F.sequence(F.lit(0), across - 1)))
     keys = ["band", "bx", "by"]
-    left = left.select(*keys, "no", "id", "component", "largest", "hub", "n_shingles", "regs")
-    right = right.select(*[F.col(c).alias(c) for c in (*keys, "id", "component", "n_shingles", "regs")])
+    left = left.select(*keys, "no", "id", "component", "largest", "hub", "n_shingles", "regs", "s")
+    right = right.select(*[F.col(c).alias(c) for c in (*keys, "id", "component", "n_shingles", "regs", "s")])
     blocks = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
     return _likely(few, reps, least).union(blocks).distinct()
 
@@ -296,8 +311,10 @@ def near_duplicates(
         comp = components(reduce(DataFrame.union, links))
     else:
         mixed = _mixed(shared, comp)
-    if mixed.limit(1).count() and link(_apart(mixed, reps, least)):
-        comp = components(reduce(DataFrame.union, links))
+    if mixed.limit(1).count():
+        sets = _sets(docs, mixed.where(F.col("n_all") > SMALL).select("id"), id_col, text_col, shingle)
+        if link(_apart(mixed, reps, sets, least, percent)):
+            comp = components(reduce(DataFrame.union, links))
 
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     out = sigs.drop("regs").join(placed, ["key1", "key2"], "left")
