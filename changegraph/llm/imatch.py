@@ -82,7 +82,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _neighbours(small: DataFrame) -> DataFrame:
-    """(k, nk, need): each key, the next key in descending order of id, and a third of its length.
+    """(k, id, nk, need, times): each key, the next key in descending order of id, and a third of its length.
 
     Sorted in ranges; only the first key of each range meets the others' firsts."""
     n = n_groups(small.sparkSession)
@@ -95,8 +95,8 @@ def _neighbours(small: DataFrame) -> DataFrame:
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(ring), F.first("first").over(ring)).alias("after"))
     within = Window.partitionBy("range").orderBy(*order)
     step = ranged.withColumn("nk", F.lead("k").over(within)).join(firsts, "range")
-    step = step.select("k", F.coalesce("nk", "after").alias("nk"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "times")
-    again = step.where("times > 1").select("k", F.col("k").alias("nk"), "need", (F.col("times") - 1).alias("times"))
+    step = step.select("k", "id", F.coalesce("nk", "after").alias("nk"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "times")
+    again = step.where("times > 1").select("k", "id", F.col("k").alias("nk"), "need", (F.col("times") - 1).alias("times"))
     return step.withColumn("times", F.lit(1).cast("long")).unionByName(again)
 
 
@@ -113,12 +113,13 @@ def edited_fingerprints(
     steps = materialise(_neighbours(small), "neighbours")
     lex = lexicon(docs, text_col, idf_low, idf_high)
 
-    texts = base.select("k", "id", "text")
+    # Both joins read the same columns of the same exchange, so the texts are shuffled once.
+    texts = base.select("k", "text")
     if steps.where("times > 1 OR k = nk").limit(1).count():
         texts = texts.dropDuplicates(["k"])
     texts = with_fingerprint(texts, "text", "fingerprint", lex, families, width).repartition(4 * n_groups(docs.sparkSession), "k")
     pieces = texts.select(F.col("k").alias("nk"), "text", F.col("fingerprint").alias("next_fingerprint")).join(steps, "nk")
-    pieces = pieces.select(F.col("k").alias("of"), "need", "times", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("piece"), "next_fingerprint")
+    pieces = pieces.select(F.col("k").alias("of"), "id", "need", "times", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("piece"), "next_fingerprint")
     both = texts.join(pieces, texts["k"] == pieces["of"])
     n = F.length("text")
     both = both.select(
