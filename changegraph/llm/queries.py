@@ -149,3 +149,10 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(table(spark, sf_dir, "documents"), labels)
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return out.select("doc_id", in_remainder("doc_id", 3, 1).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changegraph.llm.quality_rules import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
