@@ -103,13 +103,20 @@ def _spread(starts: np.ndarray, before: int, n: int, width: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _with(table: pa.Table, left: pa.Table, names: list[str]) -> pa.Table:
+    for name in names:
+        table = table.append_column(name, left[name])
+    return table
+
+
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, period: int = 7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, period: int = 7,
+    carry: tuple[str, ...] = (), keep_untouched: bool = False,
 ) -> DataFrame:
     """Each document without the words of windows that a smaller id has too.
 
-    Returns (id, n_words, n_removed, kept_text), ``kept_text`` being the kept words joined by
-    one space. Windows are judged on the input. ``period`` must be a key of COVERS and at
+    Returns (id, n_words, n_removed, kept_text) and the columns of ``carry``; ``kept_text`` is the
+    kept words joined by one space or, with ``keep_untouched``, the text itself where no word goes. Windows are judged on the input. ``period`` must be a key of COVERS and at
     most ``window - 1``.
     """
     if period not in COVERS or period >= window:
@@ -119,7 +126,8 @@ def remove_repeats(
     groups, buckets = 2 * n, n
     width = window - period + 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    extra = [docs.schema[c].dataType.simpleString() for c in carry]
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups))).repartition(groups, "g")
 
     def anchors(batches):
@@ -190,11 +198,12 @@ def remove_repeats(
                 out.append((bucket, x, keys[a:b][less].tobytes(), low[a:b][less].tobytes()))
         return _blobs(out)
 
+    carried = [f"c{i}" for i in range(len(carry))]
     out_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def cleaned(left, right):
         if not left.num_rows:
-            return out_schema.empty_table()
+            return _with(out_schema.empty_table(), left, carried)
         ids = _numbers(left)
         keys, _ = _joined(right["keys"], "<u8")
         low, _ = _joined(right["rest"], "<i8")
@@ -219,18 +228,21 @@ def remove_repeats(
             n_words += np.diff(c.word_bounds).tolist()
             n_removed += removed.tolist()
             for i in range(c.n):
+                if keep_untouched and not removed[i]:
+                    kept.append(c.text_bytes(i))
+                    continue
                 parts = c.text_bytes(i).split()
                 if removed[i]:
                     parts = [x for x, y in zip(parts, gone[c.word_bounds[i] : c.word_bounds[i + 1]].tolist(), strict=True) if not y]
                 kept.append(b" ".join(parts))
         text = pa.array(kept, type=pa.binary()).cast(pa.string())
-        return pa.table([left["id"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], schema=out_schema)
+        return _with(pa.table([left["id"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], schema=out_schema), left, carried)
 
     repeated = rows.mapInArrow(anchors, _BLOBS).groupBy("bucket").applyInArrow(shared_anchors, _BLOBS)
     around = rows.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(extended, _BLOBS)
     known = around.groupBy("bucket").applyInArrow(earliest, _BLOBS)
-    out = rows.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(cleaned, "id long, n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(cleaned, ", ".join(["id long, n_words long, n_removed long, kept_text string", *[f"c{i} {t}" for i, t in enumerate(extra)]]))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
