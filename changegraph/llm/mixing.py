@@ -146,13 +146,13 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
-    """The documents of the mix, a row a copy, with ``shard`` and ``place``; the last one of a source may be its first words only, joined by spaces."""
+    """The documents of the mix, a row a copy, with ``mix_shard`` and ``mix_place``; the last one of a source may be its first words only, joined by spaces."""
     placed = mix(docs, id_col, text_col, source_col, seed=seed, **options).where("taken > 0")
-    # Rows that agree in id and text are one here, with the copies of all of them.
-    placed = placed.select(F.col(id_col).alias("_id"), F.col("h").alias("_h"), "size", "taken", "shard", "place", F.col(source_col).alias("_source"))
+    # Rows that agree in id, text and source are one here, with the copies of all of them.
+    facts = {"_id": id_col, "_h": "h", "_size": "size", "_taken": "taken", "mix_shard": "shard", "mix_place": "place", "_source": source_col}
+    placed = placed.select(*[F.col(c).alias(name) for name, c in facts.items()])
     docs = docs.withColumn("_h2", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).dropDuplicates([id_col, "_h2", source_col])
     on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    joined = docs.join(placed, on)
-    head = F.array_join(F.slice(split_words(text_col), F.lit(1), F.col("taken").cast("int")), " ")
-    cut = F.when(F.col("taken") < F.col("size"), head).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, cut).drop("_id", "_h", "_h2", "_source", "size", "taken")
+    head = F.array_join(F.slice(split_words(text_col), F.lit(1), F.col("_taken").cast("int")), " ")
+    cut = F.when(F.col("_taken") < F.col("_size"), head).otherwise(F.col(text_col))
+    return docs.join(placed, on).withColumn(text_col, cut).drop("_id", "_h", "_h2", "_source", "_size", "_taken")

@@ -32,7 +32,7 @@ from changegraph.llm.text import Chunk, chunks, materialise, mix64, window_hashe
 
 ORDER = 5
 MOST_ENTRIES = 4_000_000
-NO_LANGUAGE = "\0"
+NO_LANGUAGE = "(none)"
 
 
 def _alphabet() -> np.ndarray:
@@ -170,6 +170,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         first = F.greatest(F.col("c") - _discount(F.col("c")), F.lit(0.0)) / F.col("total")
         if lower is None:
             p = rows.select("lang", "g", (first + F.col("gamma") / 64).alias("p"))
+            nothing = contexts.select("lang", F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.lit(float(np.log(1 / 64))).alias("logp"), F.log("gamma").alias("bow"))
+            out.append(nothing)
         else:
             below = lower.select("lang", F.col("g").alias("low"), F.col("p").alias("p_low"))
             rows = rows.withColumn("low", F.col("g").bitwiseAND((1 << 6 * (n - 1)) - 1)).join(below, ["lang", "low"])
@@ -228,7 +230,9 @@ class Model:
             at = self.find(lang[todo], n, g[todo] & mask)
             out[todo[at >= 0]] += self.logp[at[at >= 0]] if len(self.key) else 0.0
             todo = todo[at < 0]
-        out[todo] += np.log(1 / 64)
+        if len(todo):
+            nothing = self.find(lang[todo], 0, np.zeros(len(todo), dtype=np.uint32))
+            out[todo] += np.log(1 / 64) + (np.where(nothing >= 0, self.bow[np.maximum(nothing, 0)], 0.0) if len(self.key) else 0.0)
         return out
 
 
