@@ -63,17 +63,15 @@ class Index:
         while done < n_blocks and bound[order[done]] > 0:
             if len(found) >= k and bound[order[done]] < found[k - 1] - 1e-9:
                 break
-            some = np.sort(order[done : done + step])
-            done, step = done + step, step * 2
-            score = np.zeros((len(some), self.block))
-            for t, w in zip(terms, weights, strict=True):
-                for i, b in enumerate(some):
-                    a, z = self.offsets[t * n_blocks + b], self.offsets[t * n_blocks + b + 1]
-                    if a < z:
-                        score[i, self.rows[a:z] - b * self.block] += w * self.weights[a:z]
-            at, col = np.nonzero(score)
-            rows = some[at] * self.block + col
-            values = score[at, col]
+            some = order[done : done + step]
+            done, step = done + step, step * 4
+            # All postings of the query's terms in these blocks, as one run of positions.
+            cell = (terms[:, None] * n_blocks + some).ravel()
+            begin, size = self.offsets[cell], self.offsets[cell + 1] - self.offsets[cell]
+            ends = np.cumsum(size)
+            at = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+            rows, place = np.unique(self.rows[at], return_inverse=True)
+            values = np.bincount(place, weights=np.repeat(np.repeat(weights, len(some)), size) * self.weights[at], minlength=len(rows))
             ok = rows != without
             found_rows, found = np.concatenate([found_rows, rows[ok]]), np.concatenate([found, values[ok]])
             top = np.lexsort((found_rows, -found))[:k]
@@ -184,9 +182,10 @@ def score_toxicity(
     index = _build([(r["terms"], r["counts"]) for r in own], [r["label"] for r in own], [r["id"] for r in own], terms, idf, block)
     place = {int(i): row for row, i in enumerate(index.ids)}
     votes = []
+    nobody = np.zeros(0, dtype=np.int64), np.zeros(0)
     for r in own:
-        t, w = _weights(r["terms"], r["counts"], idf)
-        votes.append(index.vote(*index.nearest(t, w, k, place.get(r["id"], -1)), power))
+        near = index.nearest(*_weights(r["terms"], r["counts"], idf), k, place[r["id"]]) if r["terms"] else nobody
+        votes.append(index.vote(*near, power))
     index.scale = _platt(np.array(votes), np.array([r["label"] for r in own], dtype=np.float64))
     shared = spark.sparkContext.broadcast(index)
     none = not own
