@@ -568,3 +568,51 @@ def reanchor_comments(spark, d):
     drafts = x.where("hunk_id % 2 = 0 AND kind <> 'context'").select("review_id", F.concat_ws("-", F.col("hunk_id").cast("string"), F.col("idx").cast("string")).alias("draft_id"), F.col("source").alias("path"), "kind", "text", F.col("idx").cast("long").alias("line"))
     lines = x.where("hunk_id % 2 = 1").select("review_id", F.col("source").alias("path"), "kind", "text", (F.col("idx") + F.col("hunk_id") % 7).cast("long").alias("line"))
     return m.reanchor_comments(drafts, lines)
+
+
+# Streaming
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where spark.checkpoint.dir is unset."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{root or 'file://' + tempfile.gettempdir() + '/changegraph-shared'}/{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of files; a table of one file is found by its name in the folder."""
+    path = f"{d}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return reader.parquet(path)
+
+
+@query("SELECT sha256(text) AS blob, lang, max(length(text))::BIGINT AS size FROM documents GROUP BY ALL")
+def incremental_facts(spark, d):
+    """A stream of documents as files; each content is measured once."""
+    from changegraph.streaming.jobs import incremental_facts as job
+
+    work, stream = _shared(spark), _stream(spark, d, "documents")
+    files = stream.select(F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "lang", "text")
+    job(files, f"{work}/facts", lambda df: df.select("blob", "lang", F.length("text").cast("long").alias("size")), f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/facts")
+
+
+@query("""SELECT (user_id % 10)::VARCHAR AS review_id, event_type || (user_id % 7) AS content_hash, arg_max(event_id % 2 = 0, event_id) AS flag FROM events GROUP BY ALL""")
+def reviewed_state(spark, d):
+    """A stream of review marks; the last of each hash counts."""
+    from changegraph.streaming.jobs import latest_state
+    from changegraph.streaming.jobs import reviewed_state as job
+
+    work, stream = _shared(spark), _stream(spark, d, "events")
+    marks = stream.select(
+        (F.col("user_id") % 10).cast("string").alias("review_id"), F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("content_hash"),
+        (F.col("event_id") % 2 == 0).alias("flag"), F.timestamp_seconds("event_id").alias("ts"),
+    )
+    job(marks, f"{work}/state", f"{work}/checkpoint").awaitTermination()
+    return latest_state(spark, f"{work}/state").select("review_id", "content_hash", "flag")
