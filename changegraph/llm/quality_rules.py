@@ -195,8 +195,9 @@ class Model:
         order = np.argsort(key)
         self.key, self.logp = key[order], logp[order].astype(np.float32)
         self.bow = np.nan_to_num(bow[order], nan=0.0).astype(np.float32)
-        self.bits = max(1, int(len(key)).bit_length())
-        self.begin = np.searchsorted(self.key, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        self.bits = max(1, int(len(key)).bit_length() - 1)
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.begin = np.searchsorted(self.key, edges).astype(np.int32)
 
     @staticmethod
     def _key(lang, n, g) -> np.ndarray:
@@ -207,7 +208,7 @@ class Model:
         key = self._key(lang, np.uint64(n), g.astype(np.uint64))
         if not len(self.key):
             return np.full(len(key), -1)
-        at = np.minimum(self.begin[(key >> np.uint64(64 - self.bits)).astype(np.int64)], len(self.key) - 1)
+        at = np.minimum(self.begin[(key >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64), len(self.key) - 1)
         low = np.flatnonzero(self.key[at] < key)
         while len(low):
             at[low] += 1
@@ -236,6 +237,14 @@ class Model:
         return out
 
 
+def _collected(table: DataFrame, languages: list[str]) -> Model:
+    """The model's arrays at the driver: 24 bytes an entry, languages by number."""
+    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+    compact = table.select(number.cast("int").alias("lang"), F.col("n").cast("byte"), "g", F.col("logp").cast("float"), F.coalesce("bow", F.lit(0.0)).cast("float").alias("bow"))
+    arrow = compact.coalesce(8).toArrow()
+    return Model(languages, *(arrow[c].to_numpy() for c in ("lang", "n", "g", "logp", "bow")))
+
+
 def _measured(docs: DataFrame, model: Model | None) -> DataFrame:
     """(id, row, lang, basic counts, lm_sum, lm_n); without a model lm_sum is 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -296,12 +305,8 @@ def judge_quality(
     counts = materialise(count_ngrams(rows, "lang", "text"), "counts")
     table = kneser_ney(counts)
     if table.count() <= most_entries:
-        arrow = table.toArrow()
-        languages = sorted(set(arrow["lang"].to_pylist()))
-        number = {x: i for i, x in enumerate(languages)}
-        lang = np.array([number[x] for x in arrow["lang"].to_pylist()], dtype=np.int64)
-        part = [arrow[c].to_numpy() for c in ("n", "g", "logp")]
-        model = Model(languages, lang, *part, arrow["bow"].to_numpy().astype(np.float64))
+        languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+        model = _collected(table, languages)
         measured = materialise(_measured(rows.withColumn("row", F.lit(0).cast("long")), model), "measured")
     else:
         keyed = rows.withColumn("row", F.xxhash64("id", "lang", "text"))
