@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with block-max pruning.
 
 Terms are lower-case runs of letters. From a bounded, documented sample of labelled
-documents the terms are kept whose presence goes with the label (chi-square); their
-inverse document frequencies are counted over all documents. The examples' normalised
+documents the terms are kept whose presence goes with the label (chi-square, and a least
+share of labelled documents among those that have the term); their inverse document frequencies are counted over all documents. The examples' normalised
 vectors form an inverted index in blocks of examples, with the largest weight of each term in
 each block. A query first scores the blocks of the highest upper bounds; any block whose
 bound does not exceed the k-th best cosine cannot hold a nearer example and is skipped, so
@@ -152,7 +152,7 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-    k: int = 15, power: float = 2.0, least_chi2: float = 25.0, most_examples: int = MOST_EXAMPLES, block: int = 64,
+    k: int = 15, power: float = 2.0, least_chi2: float = 25.0, least_share: float = 0.4, most_examples: int = MOST_EXAMPLES, block: int = 64,
 ) -> DataFrame:
     """(id, score, evidence) of each document; ``labels`` must hold only rows that may be learnt from."""
     spark = docs.sparkSession
@@ -169,7 +169,7 @@ def score_toxicity(
     by_term = has.groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
     a, c = F.col("a"), F.col("c")
     chi2 = n * (F.abs(a * (n - p - c + a) - (c - a) * (p - a)) - n / 2) ** 2 / (c * (n - c) * p * (n - p))
-    picked = by_term.where((c >= 2) & (c < n) & (a * n > c * p)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2) if 0 < p < n else by_term.where("false").withColumn("chi2", F.lit(0.0))
+    picked = by_term.where((c >= 2) & (c < n) & (a * n > c * p) & (a >= least_share * c)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2) if 0 < p < n else by_term.where("false").withColumn("chi2", F.lit(0.0))
     terms = sorted(r["term"] for r in picked.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).select("term").collect())
 
     vectors = materialise(_vectors(rows, terms), "vectors")
