@@ -1,20 +1,21 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, with block-max pruning.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case runs of letters. From a bounded, documented sample of labelled
-documents the terms are kept whose presence goes with the label (chi-square, and a least
-share of labelled documents among those that have the term); their inverse document frequencies are counted over all documents. The examples' normalised
-vectors form an inverted index in blocks of examples, with the largest weight of each term in
-each block. A query first scores the blocks of the highest upper bounds; any block whose
-bound does not exceed the k-th best cosine cannot hold a nearer example and is skipped, so
-the neighbours found are exactly the nearest.
+Terms are lower-case runs of letters. A bounded, documented sample of labelled documents gives
+the examples; every term of every example is indexed, with its inverse document frequency
+counted over all documents, and every document is searched against all examples. Terms that
+many examples have are columns of a dense matrix that scores a batch of documents at once,
+the others are posting lists; the best are then computed again in full precision, so that the
+neighbours found are exactly the nearest. They are the evidence.
 
 Neighbours vote with weight cosine ** power, together with a prior of one vote at the
-sample's base rate among documents without any kept term; a Platt scaling fitted on the
-sample (leaving each example itself out) turns the vote into a probability. The evidence is
-the list of the neighbours with their cosines.
+sample's base rate. A few bad words weigh little in the cosine of a long text, so a second
+vote comes from the neighbours over the terms alone whose presence goes with the label
+(chi-square, and a least share of labelled documents among those that have the term), found
+by block-max pruning. A logistic regression fitted on both votes of the sample (leaving each
+example itself out) turns them into a probability.
 
-Defined results: a null or empty text has no terms and gets the score of such documents. With
-no labels at all the score is 0. A document labelled twice counts once, as its highest
+Defined results: a null or empty text has no terms, so it has no neighbours and only the priors
+vote. With no labels at all the score is 0. A document labelled twice counts once, as its highest
 label. Only rows with an id can be labelled. Rows with the same id are scored each. Extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -26,15 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import materialise
+from changegraph.llm.text import materialise, n_groups
 
 _TERM = re.compile(r"[^\W\d_]+")
 #: At most so many labelled documents are examples; the rest of the labels is not used.
 MOST_EXAMPLES = 20_000
+#: Of the vote over the label's terms only; the search over all terms has no such bound.
 MOST_TERMS = 4_096
+#: At most so many terms are columns of the dense matrix; the others are posting lists.
+MOST_COLUMNS = 256
 
 
 @dataclass
@@ -51,7 +56,6 @@ class Index:
     largest: np.ndarray  # (terms, blocks)
     block: int
     base: float
-    scale: tuple[float, float] = (1.0, 0.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples with a cosine above 0, nearest first; ties by row."""
@@ -82,15 +86,96 @@ class Index:
         w = cosines**power
         return (float(w @ self.labels[rows]) + self.base) / (float(w.sum()) + 1.0)
 
-    def score(self, vote: float) -> float:
-        a, b = self.scale
-        v = min(max(vote, 1e-6), 1 - 1e-6)
-        return 1.0 / (1.0 + float(np.exp(-(a * np.log(v / (1 - v)) + b))))
+
+class AllTerms:
+    """All examples by all their terms: ``size`` terms of each example, in ``terms`` and ``counts`` one example after the other.
+
+    Only these travel to the tasks, which build the matrix and the lists themselves."""
+
+    def __init__(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray, most_columns: int = MOST_COLUMNS):
+        self.given = size, terms, counts, labels, ids, idf, most_columns
+        self.size, self.own_terms, self.labels, self.ids, self.idf = size, terms, labels.astype(np.float64), ids, idf
+        self.base = float((self.labels.sum() + 1) / (len(ids) + 2))
+        self.first = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        w = (1.0 + np.log(counts)) * idf[terms]
+        self.own_weights = w / np.sqrt(np.bincount(row, weights=w * w, minlength=len(ids)))[row]
+        often = np.bincount(terms, minlength=len(idf))
+        some = np.argsort(-often, kind="stable")[:most_columns]
+        some = some[often[some] * 64 > len(ids)]
+        self.column = np.full(len(idf), -1, dtype=np.int32)
+        self.column[some] = np.arange(len(some))
+        self.dense = np.zeros((len(some), len(ids)), dtype=np.float32)
+        at = self.column[terms]
+        self.dense[at[at >= 0], row[at >= 0]] = self.own_weights[at >= 0]
+        left = np.flatnonzero(at < 0)
+        left = left[np.argsort(terms[left], kind="stable")]
+        self.rows, self.weights = row[left], self.own_weights[left].astype(np.float32)
+        self.begin = np.searchsorted(terms[left], np.arange(len(idf) + 1))
+        self.scratch = None
+
+    def __reduce__(self):
+        return AllTerms, self.given
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cosines) of the k nearest examples of each query with a cosine above 0, nearest first; ties by row."""
+        out = []
+        for i in range(0, len(queries), 64):
+            some = queries[i : i + 64]
+            q = np.zeros((len(some), len(self.dense)), dtype=np.float32)
+            for j, (t, w) in enumerate(some):
+                at = self.column[t]
+                q[j, at[at >= 0]] = w[at >= 0]
+            scores = q @ self.dense
+            for j, (t, w) in enumerate(some):
+                out.append(self._best(t, w, scores[j], k, -1 if without is None else without[i + j]))
+        return out
+
+    def _best(self, t: np.ndarray, w: np.ndarray, score: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(t) or not len(score):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        rare = self.column[t] < 0
+        begin, size = self.begin[t[rare]], self.begin[t[rare] + 1] - self.begin[t[rare]]
+        at = _ranges(begin, size)
+        score = score + np.bincount(self.rows[at], weights=np.repeat(w[rare], size) * self.weights[at], minlength=len(score))
+        if without >= 0:
+            score[without] = 0.0
+        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+        rows = np.flatnonzero((score > 0) & (score >= least - 1e-4))
+        # The sums above are of single precision: what can be among the best is summed again.
+        if self.scratch is None:
+            self.scratch = np.zeros(len(self.idf))
+        self.scratch[t] = w
+        at = _ranges(self.first[rows], self.size[rows])
+        cosines = np.bincount(np.repeat(np.arange(len(rows)), self.size[rows]), weights=self.own_weights[at] * self.scratch[self.own_terms[at]], minlength=len(rows))
+        self.scratch[t] = 0.0
+        top = np.lexsort((rows, -cosines))[:k]
+        return rows[top], cosines[top]
+
+    vote = Index.vote
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin .. begin + size of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _terms_of(known: DataFrame) -> DataFrame:
+    """(label, term): the distinct terms of each example."""
+
+    def terms(batches):
+        for batch in batches:
+            own = [sorted(set(_TERM.findall((t or "").lower()))) for t in batch["text"].to_pylist()]
+            labels = np.repeat(batch["label"].to_numpy(zero_copy_only=False), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([t for x in own for t in x], pa.string())], names=["label", "term"])
+
+    return known.select("label", "text").mapInArrow(terms, "label int, term string")
 
 
 def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, terms, counts): the kept terms of each text, by number, and how often."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # at most MOST_TERMS
+    """(id, terms, counts): the terms of each text that examples have, by number, and how often."""
+    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # bounded by the examples
 
     def count(batches):
         known = number.value
@@ -136,18 +221,36 @@ def _build(vectors: list, labels: list[int], ids: list[int], terms: list[str], i
     )
 
 
-def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the vote's log odds, lightly regularised towards (1, 0)."""
-    if not len(votes) or labels.min() == labels.max():
-        return 1.0, 0.0
+def _log_odds(votes: np.ndarray) -> np.ndarray:
     v = np.clip(votes, 1e-6, 1 - 1e-6)
-    x, theta = np.stack([np.log(v / (1 - v)), np.ones(len(v))], axis=1), np.array([1.0, 0.0])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (p - labels) + (theta - [1.0, 0.0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
-        theta = theta - np.linalg.solve(hess, grad)
-    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+    return np.log(v / (1 - v))
+
+
+def _platt(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the log odds of the votes (a column each), lightly regularised towards
+    their mean; a vote whose weight is not positive is left out. Weights by vote, then the constant."""
+    n, m = votes.shape
+    start = np.append(np.full(m, 1.0 / m), 0.0)
+    if not n or labels.min() == labels.max():
+        return start
+    x = np.column_stack([_log_odds(votes), np.ones(n)])
+    loss = lambda theta: float(np.logaddexp(0, np.where(labels > 0, -1, 1) * (x @ theta)).sum() + ((theta - start) ** 2).sum() / 2)
+    use = np.ones(m + 1, dtype=bool)
+    while use[:m].any():
+        theta = np.where(use, start, 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            grad = (x.T @ (p - labels) + (theta - start))[use]
+            hess = ((x * (p * (1 - p))[:, None]).T @ x + np.eye(m + 1))[np.ix_(use, use)]
+            step, move = np.zeros(m + 1), 1.0
+            step[use] = np.linalg.solve(hess, grad)
+            while move > 1e-6 and loss(theta - move * step) > loss(theta):
+                move /= 2
+            theta = theta - move * step
+        if (theta[:m][use[:m]] > 0).all():
+            return theta
+        use[:m] &= theta[:m] > 0
+    return start
 
 
 def score_toxicity(
@@ -163,41 +266,70 @@ def score_toxicity(
     sample = materialise(sample, "sample")  # at most ``most_examples`` rows, so it may be broadcast
     known = materialise(rows.join(F.broadcast(sample), "id").dropDuplicates(["id"]), "examples")
 
-    has = known.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term <> ''")
+    by_term = _terms_of(known).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
+    by_term = materialise(by_term, "terms")
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     n, p = float(total["n"]), float(total["p"])
-    by_term = has.groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
     a, c = F.col("a"), F.col("c")
     chi2 = n * (F.abs(a * (n - p - c + a) - (c - a) * (p - a)) - n / 2) ** 2 / (c * (n - c) * p * (n - p))
     picked = by_term.where((c >= 2) & (c < n) & (a * n > c * p) & (a >= least_share * c)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2) if 0 < p < n else by_term.where("false").withColumn("chi2", F.lit(0.0))
-    terms = sorted(r["term"] for r in picked.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).select("term").collect())
+    marking = sorted(r["term"] for r in picked.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).select("term").collect())
+    terms = sorted(by_term.select("term").toArrow()["term"].to_pylist())  # the terms of at most ``most_examples`` texts
+    number = {t: i for i, t in enumerate(terms)}
+    narrow = np.full(len(terms), -1, dtype=np.int64)
+    narrow[[number[t] for t in marking]] = np.arange(len(marking))
 
     vectors = materialise(_vectors(rows, terms), "vectors")
     df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most MOST_TERMS rows
-        df[r["t"]] = r["count"]
+    often = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # at most a row a term
+    df[often["t"].to_numpy()] = often["count"].to_numpy()
     idf = np.log((1.0 + vectors.count()) / (1.0 + df)) + 1.0
 
-    own = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    index = _build([(r["terms"], r["counts"]) for r in own], [r["label"] for r in own], [r["id"] for r in own], terms, idf, block)
-    place = {int(i): row for row, i in enumerate(index.ids)}
-    votes = []
+    own = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
+    labels_, ids = own["label"].to_numpy(), own["id"].to_numpy()
+    flat = [own[x].combine_chunks().flatten().to_numpy().astype(np.int32) for x in ("terms", "counts")]
+    size = pc.list_value_length(own["terms"]).to_numpy().astype(np.int64)
+    index = AllTerms(size, *flat, labels_, ids, idf)
+    at = narrow[flat[0]]
+    cuts = np.cumsum(np.bincount(np.repeat(np.arange(len(ids)), size)[at >= 0], minlength=len(ids)))[:-1]
+    few = [[x.tolist() for x in np.split(y[at >= 0], cuts)] if len(ids) else [] for y in (at, flat[1])]
+    by_mark = _build(list(zip(*few, strict=True)), labels_.tolist(), ids.tolist(), marking, idf[narrow >= 0], block)
+    none = not len(ids)
+    number = own = flat = few = None
+    shared = spark.sparkContext.broadcast((index, by_mark, narrow))
     nobody = np.zeros(0, dtype=np.int64), np.zeros(0)
-    for r in own:
-        near = index.nearest(*_weights(r["terms"], r["counts"], idf), k, place[r["id"]]) if r["terms"] else nobody
-        votes.append(index.vote(*near, power))
-    index.scale = _platt(np.array(votes), np.array([r["label"] for r in own], dtype=np.float64))
-    shared = spark.sparkContext.broadcast(index)
-    none = not own
+
+    def voted(batch, leave_out):
+        """Both votes of each row, and its neighbours over all terms; ``leave_out``: rows are examples, which do not vote on themselves."""
+        index, by_mark, narrow = shared.value
+        vectors = list(zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True))
+        row_of = {int(i): row for row, i in enumerate(index.ids)} if leave_out else {}
+        place = {int(i): row for row, i in enumerate(by_mark.ids)} if leave_out else {}
+        ids = batch["id"].to_pylist() if leave_out else [None] * len(vectors)
+        near = index.nearest([_weights(t, c, index.idf) for t, c in vectors], k, [row_of[i] for i in ids] if leave_out else None)
+        votes = np.zeros((len(vectors), 2))
+        for j, (t, c) in enumerate(vectors):
+            at = narrow[np.array(t, dtype=np.int64)]
+            few = at[at >= 0].tolist(), np.array(c, dtype=np.int64)[at >= 0].tolist()
+            marked = by_mark.nearest(*_weights(*few, by_mark.idf), k, place.get(ids[j], -1)) if few[0] else nobody
+            votes[j] = index.vote(*near[j], power), by_mark.vote(*marked, power)
+        return votes, near
+
+    def left_out(batches):
+        for batch in batches:
+            votes, _ = voted(batch, True)
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(votes[:, 0]), pa.array(votes[:, 1])], names=["label", "wide", "few"])
+
+    examples = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).repartition(n_groups(spark), "id")
+    fit = examples.mapInArrow(left_out, "label int, wide double, few double").toArrow().sort_by([("label", "ascending"), ("wide", "ascending"), ("few", "ascending")])
+    scale = _platt(np.column_stack([fit["wide"].to_numpy(), fit["few"].to_numpy()]), fit["label"].to_numpy().astype(np.float64))
 
     def judge(batches):
-        index = shared.value
         for batch in batches:
-            scores, evidence = [], []
-            for t, c in zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                near, cosines = index.nearest(*_weights(t, c, index.idf), k) if t else (np.zeros(0, dtype=np.int64), np.zeros(0))
-                scores.append(0.0 if none else index.score(index.vote(near, cosines, power)))
-                evidence.append([{"id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(x)} for i, x in zip(near, cosines, strict=True)])
+            votes, near = voted(batch, False)
+            index = shared.value[0]
+            scores = np.zeros(len(votes)) if none else 1.0 / (1.0 + np.exp(-(_log_odds(votes) @ scale[:2] + scale[2])))
+            evidence = [[{"id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(x)} for i, x in zip(*own, strict=True)] for own in near]
             kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["id", "score", "evidence"])
 

@@ -169,3 +169,35 @@ def test_chunks_never_cut_texts():
     parts = list(chunks(pa.array(texts), size=100))
     assert [c.text_bytes(i).decode() for c in parts for i in range(c.n)] == [t or "" for t in texts]
     assert all(isinstance(c, Chunk) for c in parts)
+
+
+def test_all_terms_search_equals_all_cosines():
+    rnd = np.random.default_rng(6)
+    idf = rnd.random(400) + 0.5
+    vectors = []
+    for _ in range(600):
+        t = np.unique((400 * rnd.random(rnd.integers(0, 30)) ** 3).astype(np.int64))
+        vectors.append((t.tolist(), rnd.integers(1, 5, len(t)).tolist()))
+    size = np.array([len(t) for t, _ in vectors[:500]])
+    flat = [np.array([x for v in vectors[:500] for x in v[j]], dtype=np.int32) for j in (0, 1)]
+    index = toxicity.AllTerms(size, *flat, np.arange(500) % 2, np.arange(500), idf, most_columns=20)
+    dense = np.zeros((600, 400))
+    for row, v in enumerate(vectors):
+        t, w = toxicity._weights(*v, idf)
+        dense[row, t] = w
+    found = index.nearest([toxicity._weights(*v, idf) for v in vectors], 15)
+    for q, (rows_, got) in enumerate(found):
+        cos = dense[:500] @ dense[q]
+        assert np.allclose(got, np.sort(cos[cos > 0])[::-1][:15], atol=1e-12) and np.allclose(cos[rows_], got, atol=1e-12)
+
+
+def test_toxicity_searches_every_text_with_terms_of_examples(spark):
+    docs, labels, _ = labelled(spark, "toxic")
+    rare = " ".join(f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))  # toxic words of one example only
+    more = spark.createDataFrame([(1001, rare), (1002, rare + " wxy"), (1003, None)], "doc_id long, text string")
+    labels = labels.unionByName(spark.createDataFrame([(1001, 1)], "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs.unionByName(more), labels).collect()}
+    assert all(len(r.evidence) == 15 for d, r in out.items() if d < 1000)
+    assert {e.label for r in out.values() for e in r.evidence} == {0, 1}
+    assert out[1002].evidence[0].id == 1001 and out[1002].evidence[0].cosine > 0.9
+    assert out[1002].score > out[1003].score and not out[1003].evidence
