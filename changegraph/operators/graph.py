@@ -237,8 +237,10 @@ def callers(edges: DataFrame, overrides: DataFrame) -> DataFrame:
     return direct.unionByName(through).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int = 3000) -> DataFrame:
-    """(symbol_id, dist): undirected expansion by ``hops``; at most ``cap`` symbols a snapshot, nearest first (the feature's own limit)."""
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int | None = 3000) -> DataFrame:
+    """(symbol_id, dist): undirected expansion by ``hops``; at most ``cap`` symbols a snapshot, nearest first (the feature's own limit; None: all)."""
     both = edges.select(P, "from_id", "to_id").union(edges.select(P, F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
     out = reach_back(both, seeds, hops)
+    if cap is None:
+        return out
     return out.withColumn("_r", F.row_number().over(Window.partitionBy(P).orderBy("dist", "symbol_id"))).where(F.col("_r") <= cap).drop("_r")

@@ -83,6 +83,13 @@ def impacted_modules(spark, d):
     return g.impacted_modules(nodes, g.module_edges(v.edges(spark, d), s).where("n > 20"))
 
 
+@query(None)
+def impacted_modules_all(spark, d):
+    """Over all modules and edges; the query above keeps its SQL's filters."""
+    s = v.symbols(spark, d)
+    return g.impacted_modules(g.module_nodes(s), g.module_edges(v.edges(spark, d), s))
+
+
 @query(sql(""", x AS (
     SELECT e.snapshot_id, e.kind, CASE WHEN a.module = 'NATION_3' THEN e.from_id ELSE a.module END AS a, CASE WHEN b.module = 'NATION_3' THEN e.to_id ELSE b.module END AS b
     FROM edges e JOIN symbols a ON e.from_id = a.symbol_id JOIN symbols b ON e.to_id = b.symbol_id WHERE a.module = 'NATION_3' OR b.module = 'NATION_3')
@@ -177,9 +184,19 @@ j AS (SELECT snapshot_id, from_id, to_id, kind, e.confidence, yes, no, new FROM
 c AS (SELECT *, CASE WHEN confidence IS NULL AND (new OR yes) THEN 'added' WHEN confidence IS NULL THEN 'ignored' WHEN yes THEN 'confirmed' WHEN no THEN 'removed' ELSE 'kept' END AS change FROM j)
 SELECT snapshot_id, from_id, to_id, kind, change, round(CASE WHEN change IN ('added', 'confirmed') THEN 1.0 WHEN change = 'kept' THEN confidence END, 6) AS confidence FROM c WHERE change <> 'ignored'""", "candidates", "edges"))
 def reconcile_edges(spark, d):
+    return _reconciled(spark, d, table(spark, d, "lineitem").where("l_linenumber = 2"))
+
+
+@query(None)
+def reconcile_edges_all(spark, d):
+    """With evidence from all line items; the query above keeps its SQL's filter."""
+    return _reconciled(spark, d, table(spark, d, "lineitem"))
+
+
+def _reconciled(spark, d, items):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     verdict = F.when(F.col("l_tax") < 0.02, "confirm").when(F.col("l_tax") < 0.05, "contradict").otherwise("add")
-    said = table(spark, d, "lineitem").where("l_linenumber = 2").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    said = items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.lit("s1").alias("snapshot_id"), F.concat(F.lit("c"), "o_custkey").alias("from_id"), F.concat(F.lit("s"), "l_suppkey").alias("to_id"),
         F.when(F.col("l_returnflag") == "R", "calls").otherwise("uses").alias("kind"), verdict.alias("verdict"),
     )
@@ -212,8 +229,7 @@ def nation_closure(spark, d):
 
 @query(None)
 def reach_back(spark, d):
-    e = v.nation_graph(spark, d)
-    return g.reach_back(e, e.where("to_id like 'NATION_2%'").select("snapshot_id", F.col("to_id").alias("symbol_id")), 12)
+    return g.reach_back(v.edges(spark, d), v.symbols(spark, d).where("changed"))
 
 
 @query(sql(""", seeds AS (SELECT DISTINCT to_id AS symbol_id FROM edges WHERE to_id = 's1'),
@@ -226,6 +242,12 @@ def neighbourhood(spark, d):
     return g.neighbourhood(e, e.where("to_id = 's1'").select("snapshot_id", F.col("to_id").alias("symbol_id")).distinct(), hops=2, cap=1_000_000_000)
 
 
+@query(None)
+def neighbourhood_all(spark, d):
+    """Of all changed symbols, three hops; the query above keeps its SQL's seed and hops."""
+    return g.neighbourhood(v.edges(spark, d), v.symbols(spark, d).where("changed"), cap=None)
+
+
 # Lines and hunks
 
 
