@@ -1,9 +1,10 @@
 """URL filters: fixed host and path rules, then association rules mined by FP-growth.
 
 A URL becomes a set of tokens (scheme, top-level and registered domain, subdomain, path
-segments by place with numbers masked, file ending, query keys, fragment). FP-growth over
-the labelled URLs finds token sets that go with the class ``block``; rules are kept by
-support, confidence and lift, and dropped where a shorter rule is at least as sure. An
+all segments by place with numbers masked, file ending, query keys, fragment). FP-growth over
+the blocked URLs finds token sets that at least ``min_count`` of them have, however many
+labels there are; their confidence and lift for the class ``block`` are counted over all
+labelled URLs, and rules are dropped where a shorter rule is at least as sure. An
 inverted index from each rule's rarest token to the rule finds the rules whose tokens a URL
 all has; a URL is blocked if any does.
 
@@ -49,7 +50,7 @@ def url_tokens(url: Column) -> Column:
     labels = F.split(h, r"\.")
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
     segments = F.filter(F.split(p, "/"), lambda x: x != "")
-    masked = F.transform(F.slice(segments, 1, 4), lambda x, i: F.concat(F.lit("path"), i, F.lit("="), F.regexp_replace(x, r"\d+", "#")))
+    masked = F.transform(segments, lambda x, i: F.concat(F.lit("path"), i, F.lit("="), F.regexp_replace(x, r"\d+", "#")))
     keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query="), x))
     one = lambda name, value: F.when(value != "", F.concat(F.lit(name + "="), value))
     single = F.array(
@@ -66,29 +67,41 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
+def _holding(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rule, others): how many of the rows (tokens, k times) have all tokens of each set (rule, tokens, key)."""
+    hits = rows.select("k", F.col("tokens").alias("own"), F.explode("tokens").alias("key")).join(sets, "key")
+    return hits.where(F.size(F.array_except("tokens", "own")) == 0).groupBy("rule").agg(F.sum("k").alias("others"))
+
+
+def mine_rules(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
     """Rules from (tokens, blocked): (tokens, key, confidence, support), ``key`` being the rarest token."""
     total = labelled.agg(F.count("*").alias("n"), F.count_if("blocked").alias("b")).first()
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "tokens array<string>, key string, confidence double, support double")
-    if not total["b"]:
+    if total["b"] < max(min_count, 1):
         return empty
-    support = min(1.0, max(min_support, min_count / total["n"]))
-    items = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK)).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=n_groups(spark)).fit(items)
-    found = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    found = materialise(found.withColumn("rule", F.array_join("tokens", "\u0001")), "rules")
+    # Half a row less, as the threshold is a share that is rounded up to rows again.
+    bad = labelled.where("blocked").select(F.col("tokens").alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_count - 0.5, 0.5) / total["b"], minConfidence=1.0, numPartitions=n_groups(spark)).fit(bad)
+    often = materialise(labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("freq")), "tokens")
+    sets = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("blocked"))
+    sets = materialise(sets.withColumn("rule", F.array_join("tokens", "\u0001")), "sets")
+    key = sets.select("rule", F.explode("tokens").alias("t")).join(often, "t").groupBy("rule").agg(F.min_by("t", F.struct("freq", "t")).alias("key"))
+    sets = materialise(sets.join(key, "rule"), "keyed_sets")
+    rows = labelled.where(~F.col("blocked")).groupBy("tokens").agg(F.count("*").alias("k"))
+    others = _holding(rows, sets.select("rule", "tokens", "key"))
+    confidence = F.col("blocked") / (F.col("blocked") + F.coalesce("others", F.lit(0)))
+    found = sets.join(others, "rule", "left").withColumn("confidence", confidence).withColumn("support", F.col("blocked") / total["n"])
+    found = found.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * total["b"] / total["n"]))
+    found = materialise(found.select("rule", "tokens", "key", "confidence", "support"), "rules")
     # A rule goes if a proper part of its tokens is a rule that is at least as sure.
     parts = found.select("rule", F.size("tokens").alias("n"), "confidence", F.explode("tokens").alias("t"))
     short = parts.select(F.col("rule").alias("s"), F.col("n").alias("sn"), F.col("confidence").alias("sc"), "t")
     needless = (
         parts.join(short, "t").where("sn < n AND sc >= confidence").groupBy("rule", "s", "sn").count().where("count = sn").select("rule").distinct()
     )
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
     kept = found.join(needless, "rule", "left_anti")
-    key = kept.select("rule", F.explode("tokens").alias("t")).join(often, "t").groupBy("rule").agg(F.min_by("t", F.struct("freq", "t")).alias("key"))
-    return materialise(kept.join(key, "rule").select("tokens", "key", "confidence", "support"), "kept_rules")
+    return materialise(kept.select("tokens", "key", "confidence", "support"), "kept_rules")
 
 
 def judge_urls(

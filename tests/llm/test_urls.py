@@ -44,3 +44,17 @@ def test_nothing(spark):
     assert judge_urls(pages, spark.createDataFrame([], "id long, blocked boolean"), RULES).count() == 0
     df = spark.createDataFrame([("http://a.b/c",)], "url string")
     assert df.select(host(F.col("url")), path(F.col("url"))).first() == ("a.b", "/c")
+
+
+def test_rules_of_late_segments_and_rare_blocked_pages(spark):
+    urls = [f"http://h{i % 50}.org/a/b/c/d/e/{'bad' if i < 12 else 'good'}" for i in range(3000)]
+    df = spark.createDataFrame([(u, i < 12 or i % 9 == 0) for i, u in enumerate(urls)], "url string, blocked boolean")
+    labelled = df.select(url_tokens(F.col("url")).alias("tokens"), "blocked")
+    mined = {tuple(r.tokens): (r.key, r.confidence, round(r.support * 3000)) for r in mine_rules(labelled, min_confidence=0.9).collect()}
+    assert mined[(next(t for r in mined for t in r if t.endswith("=bad")),)][1:] == (1.0, 12)
+
+
+def test_support_does_not_grow_with_the_table(spark):
+    data = [([f"x{i % 7}", "seldom"] if i < 10 else [f"x{i % 7}"], i < 10) for i in range(2500)]
+    mined = mine_rules(spark.createDataFrame(data, "tokens array<string>, blocked boolean")).collect()
+    assert [(r.tokens, r.key, r.confidence) for r in mined] == [(["seldom"], "seldom", 1.0)]
