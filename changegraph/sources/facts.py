@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.functions.paths import language, matches_any
+from changegraph.operators.graph import store
 
 #: Fields of each list of a file's facts.
 FACTS = {
@@ -70,13 +71,15 @@ def json_keys(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, key, value) of the leaves of a JSON object, keys dotted, level by level."""
     level = df.select(F.col(id_col).alias("id"), F.lit("").alias("prefix"), F.try_parse_json(json_col).alias("v"))
     out = None
-    for _ in range(4):
-        rows = _exploded(level)
+    while True:
+        rows = store(_exploded(level))
         key = F.concat("prefix", "key")
         leaf = rows.where("NOT startswith(schema_of_variant(value), 'OBJECT')").select("id", key.alias("key"), F.expr("try_variant_get(value, '$', 'string')").alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
-        level = rows.where("startswith(schema_of_variant(value), 'OBJECT')").select("id", F.concat(key, F.lit(".")).alias("prefix"), F.col("value").alias("v"))
-    return out
+        deeper = rows.where("startswith(schema_of_variant(value), 'OBJECT')")
+        if deeper.isEmpty():
+            return out
+        level = deeper.select("id", F.concat(key, F.lit(".")).alias("prefix"), F.col("value").alias("v"))
 
 
 def _exploded(level: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from changegraph.plans import queries as q
 from changegraph.plans import views as v
+from changegraph.sources import facts
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +70,10 @@ def test_evidence_of_all_line_items(spark, data):
     want = {k: "confirmed" if "confirm" in said[k] else "removed" if "contradict" in said[k] else "kept" for k in known}
     want |= {k: "added" for k, x in said.items() if k not in known and x & {"add", "confirm"}}
     assert {(r.from_id, r.to_id, r.kind): r.change for r in q.reconcile_edges_all(spark, SF).collect()} == want
+
+
+def test_json_leaves_of_every_depth(spark):
+    text = '{"a": 1, "b": {"c": {"d": {"e": {"f": {"g": "deep"}, "h": 2}}}}, "i": {}}'
+    rows = spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "id long, props string")
+    got = {(r.id, r.key, r.value) for r in facts.json_keys(rows, "id", "props").collect()}
+    assert got == {(1, "a", "1"), (1, "b.c.d.e.f.g", "deep"), (1, "b.c.d.e.h", "2")}
