@@ -1,53 +1,47 @@
 """Quality rules: counts of words, symbols and repeats, and n-gram perplexity by language.
 
-The language model has character 5-grams over a fixed alphabet of 64 codes (letters by
-case, classes of other characters). Spark counts the 5-grams of all documents by language;
-counts of lower orders are continuation counts, and modified Kneser-Ney smoothing (three
-discounts an order, from the counts of counts) gives the interpolated probabilities.
-The model is stored as arrays of 64-bit hashes sorted for search, with log probabilities and
-back-off weights beside them, and scores whole texts in one vectorised pass. As the
-alphabet is fixed, a language has at most 64^5 entries and far fewer in fact; the arrays
-are broadcast only if they hold at most MOST_ENTRIES entries, and beyond that the 5-grams
-of each document are joined with the model instead.
-
-Of the documents that pass the basic rules and are long enough, each language's quartiles of
-mean log perplexity make a band: documents outside [q1 - width * iqr, q3 + width * iqr] are
-rejected, for being too predictable or too strange.
-
-Defined results: a null text has no words and fails. Documents of fewer than ``least_chars``
-n-grams, and languages of fewer than ``least_docs`` documents to take a band from, have no
-perplexity verdict and are kept unless a basic rule fails. A null language is a language.
-Rows with the same id are judged each. Extra columns are ignored; an empty table gives an
-empty result.
+The language model has character 5-grams over all code points. Spark counts the 5-grams of
+all documents by language; counts of lower orders are continuation counts, and modified
+Kneser-Ney smoothing (three discounts an order, from the counts of counts) gives the
+interpolated probabilities, an order at a time, each in joins on the n-gram.
+
+No task and no driver holds the model. The documents are dealt into groups of about
+``group_chars`` characters; a group asks for the 5-grams that it has, is sent their
+probabilities, and builds of them arrays of 64-bit hashes sorted for search, which score its
+whole texts in vectorised passes. As the model is counted over these same documents,
+every 5-gram asked for is in it.
+
+Of the documents that pass the basic rules, quartiles of mean log perplexity by language and
+length (powers of two) make a band: documents outside [q1 - width * iqr, q3 + width * iqr] are
+rejected, for being too predictable or too strange. Languages and lengths with fewer than
+``least_docs`` documents take the band of their length in all languages or, if that has too
+few as well, that of all documents.
+
+Defined results: a null text has no words and fails. Documents without a 5-gram, and tables of
+fewer than ``least_docs`` documents to take a band from, have no perplexity verdict and
+are kept unless a basic rule fails. A null language is a language of its own. Rows with the
+same id are judged each. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import Chunk, chunks, materialise, mix64, window_hashes
+from changegraph.llm.text import Chunk, chunks, materialise, mix64, release, window_hashes
 
 ORDER = 5
-MOST_ENTRIES = 4_000_000
-NO_LANGUAGE = "(none)"
+#: A code point has 21 bits: two make ``hi`` and three ``lo`` of a 5-gram, the last ones lowest.
+BITS = 21
+#: About so many bytes of text go into one compressed piece of a group.
+PIECE_BYTES = 4 << 20
+#: Up to so many languages, their discounts are sent to all tasks; beyond, they are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 
-
-def _alphabet() -> np.ndarray:
-    code = np.full(128, 57, dtype=np.uint8)
-    code[97:123] = np.arange(26)
-    code[65:91] = np.arange(26, 52)
-    code[[9, 10, 11, 12, 13, 32]] = 52
-    code[48:58] = 53
-    code[[44, 46]] = 54
-    code[[33, 58, 59, 63, 39, 34, 40, 41, 45]] = 55
-    code[list(b"#*$%&|<>")] = 56
-    return code
-
-
-_CODE = _alphabet()
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -85,248 +79,270 @@ def base_counts(c: Chunk) -> dict[str, np.ndarray]:
     return out
 
 
-def ngrams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """The packed 5-grams (6 bits a code) of all documents and the document of each."""
+def _points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all documents of a chunk, and where each document's begin."""
     lead = (c.data & 0xC0) != 0x80
     bounds = np.concatenate([[0], np.cumsum(lead)])[c.bounds]
-    points = np.frombuffer(c.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
-    code = np.where(points < 128, _CODE[np.minimum(points, 127)], 58 + points % 6).astype(np.uint32)
-    n = len(code) - ORDER + 1
+    return np.frombuffer(c.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4").astype(np.uint64), bounds
+
+
+def ngrams(c: Chunk, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first position, document) of the 5-grams of all documents, and the code points.
+
+    ``languages`` has a 64-bit number a document; ``key`` is a hash of it and the 5-gram."""
+    points, bounds = _points(c)
+    n = len(points) - ORDER + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-    g = code[:n].copy()
-    for k in range(1, ORDER):
-        g <<= np.uint32(6)
-        g |= code[k : n + k]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), points
     doc = np.repeat(np.arange(c.n), np.diff(bounds))[:n]
-    ok = np.arange(n) + ORDER <= bounds[1:][doc]
-    return g[ok], doc[ok]
+    at = np.flatnonzero(np.arange(n) + ORDER <= bounds[1:][doc])
+    doc = doc[at]
+    return mix64(window_hashes(points, ORDER)[at] ^ languages[doc]), at, doc, points
+
 
+def _language_key(lang: Column) -> Column:
+    """Languages as names; a null one has a name that no other has."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
-def _language(column) -> np.ndarray:
-    return np.array([NO_LANGUAGE if x is None else x for x in column.to_pylist()], dtype=object)
+
+def _numbers(names: list[str]) -> np.ndarray:
+    known = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(names)}
+    return np.array([known[x] for x in names], dtype=np.uint64)
 
 
 def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, g, c): how often each 5-gram occurs in all documents of a language; tasks send partial counts."""
+    """(lang, hi, lo, key, c): how often each 5-gram occurs in all documents of a language; tasks send partial counts."""
 
     def count(batches):
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
         size = 0
 
         def merged(lang):
-            g, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
-            values, inverse = np.unique(g, return_inverse=True)
-            return values, np.bincount(inverse, weights=n).astype(np.int64)
+            key, hi, lo, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            return key[order][first], hi[order][first], lo[order][first], np.add.reduceat(n[order], first)
 
         for batch in batches:
-            langs = _language(batch["lang"])
+            names = batch["lang"].to_pylist()
+            numbers, names = _numbers(names), np.array(names, dtype=object)
             for c in chunks(batch["text"]):
-                g, doc = ngrams(c)
-                own = langs[c.first : c.first + c.n]
+                own = names[c.first : c.first + c.n]
+                key, at, doc, points = ngrams(c, numbers[c.first : c.first + c.n])
                 for lang in set(own):
-                    some = g[(own == lang)[doc]]
-                    values, n = np.unique(some, return_counts=True)
-                    held.setdefault(lang, []).append((values, n))
-                    size += len(values)
-                if size > 4_000_000:
+                    mine = (own == lang)[doc]
+                    k, p = (key, at) if mine.all() else (key[mine], at[mine])
+                    if not len(k):
+                        continue
+                    order = np.argsort(k)
+                    k = k[order]
+                    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                    p, n = p[order[first]], np.diff(np.append(first, len(k)))
+                    hi = (points[p] << np.uint64(BITS)) | points[p + 1]
+                    lo = (points[p + 2] << np.uint64(2 * BITS)) | (points[p + 3] << np.uint64(BITS)) | points[p + 4]
+                    held.setdefault(lang, []).append((k[first], hi, lo, n))
+                    size += len(first)
+                if size > 2_000_000:
                     held = {lang: [merged(lang)] for lang in held}
                     size = 0
         for lang in list(held):
-            values, n = merged(lang)
-            for i in range(0, len(values), 100_000):
-                part = values[i : i + 100_000]
+            key, hi, lo, n = merged(lang)
+            for i in range(0, len(key), 100_000):
+                own = slice(i, i + 100_000)
+                names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(key[own]), dtype=np.int8)), pa.array([lang])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int64)), pa.array(n[i : i + 100_000])], names=["lang", "g", "c"]
+                    [names, *(pa.array(x[own].view(np.int64)) for x in (hi, lo, key)), pa.array(n[own].astype(np.int64))], names=["lang", "hi", "lo", "key", "c"]
                 )
+        release()
+
+    rows = docs.select(_language_key(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    parts = rows.mapInArrow(count, "lang string, hi long, lo long, key long, c long")
+    return parts.groupBy("lang", "hi", "lo").agg(F.min("key").alias("key"), F.sum("c").alias("c"))
 
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+
+def _suffix(order: int) -> tuple[Column, Column]:
+    """The last ``order`` code points of an n-gram, as hi and lo."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return (hi.bitwiseAND((1 << BITS * (order - 3)) - 1) if order > 3 else F.lit(0).cast("long"), lo.bitwiseAND((1 << BITS * min(order, 3)) - 1))
+
+
+def _context() -> tuple[Column, Column]:
+    """An n-gram without its last code point, as hi and lo."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return F.shiftright(hi, BITS), F.shiftright(lo, BITS).bitwiseOR(F.shiftleft(hi.bitwiseAND((1 << BITS) - 1), 2 * BITS))
 
 
 def _discount(c: Column) -> Column:
     return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, n, g, logp, bow): interpolated modified Kneser-Ney of all orders.
-
-    ``bow`` is the logarithm of the back-off weight of g as a context (null: never one)."""
-    count = {ORDER: counts}
-    for n in range(ORDER - 1, 0, -1):
-        low = F.col("g").bitwiseAND((1 << 6 * n) - 1).alias("g")
-        count[n] = count[n + 1].groupBy("lang", low).agg(F.count("*").alias("c"))
-    lower = context = None
-    out = []
-    for n in range(1, ORDER + 1):
-        often = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.expr("n1 / greatest(n1 + 2 * n2, 1)")
-        d = [F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), F.lit(float(k)) - (k + 1) * y * F.expr(f"n{k + 1} / greatest(n{k}, 1)"))).alias(f"d{k}") for k in (1, 2, 3)]
-        discounts = count[n].groupBy("lang").agg(*often).select("lang", *d)
-        rows = count[n].join(discounts, "lang").withColumn("h", F.shiftright("g", 6))
-        gamma = F.sum(_discount(F.col("c"))) / F.sum("c")
-        contexts = rows.groupBy("lang", "h").agg(F.sum("c").alias("total"), gamma.alias("gamma"))
-        rows = rows.join(contexts, ["lang", "h"])
-        first = F.greatest(F.col("c") - _discount(F.col("c")), F.lit(0.0)) / F.col("total")
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, hi, lo, key, logp) of the n-grams of the highest order, by interpolated modified Kneser-Ney.
+
+    Each order's counts and probabilities are written before the next one reads them."""
+    count = {order: counts}
+    for n in range(order - 1, 0, -1):
+        hi, lo = _suffix(n)
+        count[n] = materialise(count[n + 1].groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c")), f"count{n}")
+    often = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    stats = None
+    for n, table in count.items():
+        part = table.groupBy("lang").agg(*often, F.count("*").cast("double").alias("size")).withColumn("n", F.lit(n))
+        stats = part if stats is None else stats.unionByName(part)
+    y = F.expr("n1 / greatest(n1 + 2 * n2, 1)")
+    d = [F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), F.lit(float(k)) - (k + 1) * y * F.expr(f"n{k + 1} / greatest(n{k}, 1)"))).alias(f"d{k}") for k in (1, 2, 3)]
+    stats = materialise(stats.select("n", "lang", "size", *d), "discounts")
+    few = stats.where("n = 1").count() <= BROADCAST_LANGUAGES
+    lower = None
+    for n in range(1, order + 1):
+        own = stats.where(F.col("n") == n).drop("n")
+        rows = count[n].join(F.broadcast(own) if few else own, "lang")
+        context_hi, context_lo = _context()
+        context = Window.partitionBy("lang", "context_hi", "context_lo")
+        rows = rows.withColumns({"context_hi": context_hi, "context_lo": context_lo})
+        total = F.sum("c").over(context)
+        first = F.greatest(F.col("c") - _discount(F.col("c")), F.lit(0.0)) / total
+        rows = rows.withColumns({"first": first, "gamma": F.sum(_discount(F.col("c"))).over(context) / total})
         if lower is None:
-            p = rows.select("lang", "g", (first + F.col("gamma") / 64).alias("p"))
-            nothing = contexts.select("lang", F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.lit(float(np.log(1 / 64))).alias("logp"), F.log("gamma").alias("bow"))
-            out.append(nothing)
+            p = F.col("first") + F.col("gamma") / F.col("size")
         else:
-            below = lower.select("lang", F.col("g").alias("low"), F.col("p").alias("p_low"))
-            rows = rows.withColumn("low", F.col("g").bitwiseAND((1 << 6 * (n - 1)) - 1)).join(below, ["lang", "low"])
-            p = rows.select("lang", "g", (first + F.col("gamma") * F.col("p_low")).alias("p"))
-            weights = contexts.select("lang", F.col("h").alias("g"), F.log("gamma").alias("bow"))
-            out.append(lower.join(weights, ["lang", "g"], "left").select("lang", F.lit(n - 1).alias("n"), "g", F.log("p").alias("logp"), "bow"))
-        lower = materialise(p, f"order{n}")
-    out.append(lower.select("lang", F.lit(ORDER).alias("n"), "g", F.log("p").alias("logp"), F.lit(None).cast("double").alias("bow")))
-    model = out[0]
-    for part in out[1:]:
-        model = model.unionByName(part)
-    return materialise(model, "model")
+            low_hi, low_lo = _suffix(n - 1)
+            below = lower.select("lang", F.col("hi").alias("low_hi"), F.col("lo").alias("low_lo"), F.col("p").alias("p_low"))
+            rows = rows.withColumns({"low_hi": low_hi, "low_lo": low_lo}).join(below, ["lang", "low_hi", "low_lo"])
+            p = F.col("first") + F.col("gamma") * F.col("p_low")
+        keys = ["lang", "hi", "lo", "key"] if n == order else ["lang", "hi", "lo"]
+        lower = materialise(rows.select(*keys, (F.log(p) if n == order else p).alias("logp" if n == order else "p")), f"order{n}")
+    return lower
 
 
 class Model:
-    """Sorted hash arrays: log probabilities and back-off weights of all orders and languages."""
+    """Hash arrays sorted for search: the 5-grams of a group with their log probabilities."""
 
-    def __init__(self, languages: list[str], lang: np.ndarray, n: np.ndarray, g: np.ndarray, logp: np.ndarray, bow: np.ndarray):
-        self.number = {x: i for i, x in enumerate(languages)}
-        key = self._key(lang.astype(np.uint64), n.astype(np.uint64), g.astype(np.uint64))
+    def __init__(self, key: np.ndarray, logp: np.ndarray):
         order = np.argsort(key)
-        self.key, self.logp = key[order], logp[order].astype(np.float32)
-        self.bow = np.nan_to_num(bow[order], nan=0.0).astype(np.float32)
-        self.bits = max(1, int(len(key)).bit_length() - 1)
+        self.key, self.logp = key[order], logp[order]
+        self.bits = max(1, int(len(key)).bit_length())
         edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
         self.begin = np.searchsorted(self.key, edges).astype(np.int32)
 
-    @staticmethod
-    def _key(lang, n, g) -> np.ndarray:
-        return mix64((np.uint64(1) + lang) * np.uint64(1 << 36) + n * np.uint64(1 << 32) + g)
-
-    def find(self, lang: np.ndarray, n: int, g: np.ndarray) -> np.ndarray:
-        """Positions of n-grams, -1 where there is none."""
-        key = self._key(lang, np.uint64(n), g.astype(np.uint64))
-        if not len(self.key):
-            return np.full(len(key), -1)
-        at = np.minimum(self.begin[(key >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64), len(self.key) - 1)
-        low = np.flatnonzero(self.key[at] < key)
+    def log_probabilities(self, key: np.ndarray) -> np.ndarray:
+        if not len(key):
+            return np.zeros(0)
+        at = self.begin[(key >> np.uint64(64 - self.bits)).astype(np.int64)] if len(self.key) else np.zeros(len(key), np.int32)
+        last = len(self.key) - 1
+        low = np.flatnonzero((self.key[np.minimum(at, last)] < key) & (at < last)) if last >= 0 else at[:0]
         while len(low):
             at[low] += 1
-            low = low[at[low] < len(self.key)]
-            low = low[self.key[at[low]] < key[low]]
-        at = np.minimum(at, len(self.key) - 1)
-        return np.where(self.key[at] == key, at, -1)
-
-    def log_probabilities(self, lang: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """Of the last code of each 5-gram after the four before, backing off where needed."""
-        at = self.find(lang, ORDER, g)
-        out = np.where(at >= 0, self.logp[np.maximum(at, 0)] if len(self.key) else 0.0, 0.0).astype(np.float64)
-        todo = np.flatnonzero(at < 0)
-        for n in range(ORDER - 1, 0, -1):
-            if not len(todo):
-                break
-            mask = np.uint32((1 << 6 * n) - 1)
-            context = self.find(lang[todo], n, (g[todo] >> np.uint32(6)) & mask)
-            out[todo] += np.where(context >= 0, self.bow[np.maximum(context, 0)], 0.0) if len(self.key) else 0.0
-            at = self.find(lang[todo], n, g[todo] & mask)
-            out[todo[at >= 0]] += self.logp[at[at >= 0]] if len(self.key) else 0.0
-            todo = todo[at < 0]
-        if len(todo):
-            nothing = self.find(lang[todo], 0, np.zeros(len(todo), dtype=np.uint32))
-            out[todo] += np.log(1 / 64) + (np.where(nothing >= 0, self.bow[np.maximum(nothing, 0)], 0.0) if len(self.key) else 0.0)
-        return out
-
-
-def _collected(table: DataFrame, languages: list[str]) -> Model:
-    """The model's arrays at the driver: 24 bytes an entry, languages by number."""
-    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
-    compact = table.select(number.cast("int").alias("lang"), F.col("n").cast("byte"), "g", F.col("logp").cast("float"), F.coalesce("bow", F.lit(0.0)).cast("float").alias("bow"))
-    arrow = compact.coalesce(8).toArrow()
-    return Model(languages, *(arrow[c].to_numpy() for c in ("lang", "n", "g", "logp", "bow")))
-
-
-def _measured(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(id, row, lang, basic counts, lm_sum, lm_n); without a model lm_sum is 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-    def measure(batches):
-        model = shared.value
+            low = low[(self.key[at[low]] < key[low]) & (at[low] < last)]
+        if last < 0 or (self.key[np.minimum(at, last)] != key).any():
+            raise ValueError("a 5-gram is not in the model: the documents changed between two readings")
+        return self.logp[at]
+
+
+def _pieces(docs: DataFrame, groups: int) -> DataFrame:
+    """(g, piece): the documents in compressed pieces, dealt into groups by input partition."""
+    schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+
+    def pack(batches):
+        g = TaskContext.get().partitionId() % groups
+        codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
-            langs = _language(batch["lang"])
-            cols: dict[str, list[np.ndarray]] = {k: [np.zeros(0, dtype=np.int64)] for k in (*names, "lm_n")}
-            sums = [np.zeros(0)]
-            for c in chunks(batch["text"]):
-                for k, v in base_counts(c).items():
-                    cols[k].append(v.astype(np.int64))
-                g, doc = ngrams(c)
-                cols["lm_n"].append(np.bincount(doc, minlength=c.n))
-                if model is not None:
-                    number = np.array([model.number.get(x, 1 << 20) for x in langs[c.first : c.first + c.n]], dtype=np.uint64)
-                    sums.append(np.bincount(doc, weights=model.log_probabilities(number[doc], g), minlength=c.n))
-                else:
-                    sums.append(np.zeros(c.n))
-            arrays = [pa.array(np.concatenate(cols[k]), pa.int64()) for k in names]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["row"], pa.array(langs.tolist(), pa.string()), *arrays, pa.array(np.concatenate(sums)), pa.array(np.concatenate(cols["lm_n"]), pa.int64())],
-                names=["id", "row", "lang", *names, "lm_sum", "lm_n"],
-            )
+            for c in chunks(batch["text"], size=PIECE_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, schema, options=codec) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([batch[x].slice(c.first, c.n).cast(schema.field(x).type) for x in schema.names], schema=schema))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["g", "piece"])
+        release()
+
+    return docs.mapInArrow(pack, "g int, piece binary").repartition(groups, "g")
+
+
+def _unpacked(pieces):
+    for piece in pieces:
+        with pa.ipc.open_stream(piece.as_buffer()) as batches:
+            yield from batches
+
 
-    schema = "id long, row long, lang string, " + ", ".join(f"{k} long" for k in names) + ", lm_sum double, lm_n long"
-    return docs.select("id", "row", "lang", "text").mapInArrow(measure, schema)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(row, lm_sum) by joining each document's distinct 5-grams with the model."""
+def measure(docs: DataFrame, model: DataFrame, groups: int) -> DataFrame:
+    """(id, lang, basic counts, lm_sum, lm_n): the log probability and the number of a document's 5-grams."""
+    pieces = _pieces(docs, groups)
 
-    def distinct(batches):
+    def asked(batches):
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            langs, rows = _language(batch["lang"]), batch["row"].to_numpy()
-            for c in chunks(batch["text"]):
-                g, doc = ngrams(c)
-                key, n = np.unique((doc.astype(np.uint64) << np.uint64(32)) | g, return_counts=True)
-                doc = (key >> np.uint64(32)).astype(np.int64) + c.first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[doc]), pa.array(langs[doc].tolist(), pa.string()), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)],
-                    names=["row", "lang", "g", "k"],
-                )
+            for g, piece in zip(batch["g"].to_pylist(), batch["piece"], strict=True):
+                own = held.setdefault(g, [])
+                for rows in _unpacked([piece]):
+                    numbers = _numbers(rows["lang"].to_pylist())
+                    own += [np.unique(ngrams(c, numbers[c.first : c.first + c.n])[0]) for c in chunks(rows["text"])]
+                held[g] = [np.unique(np.concatenate(own))] if own else []
+        for g, own in held.items():
+            for key in own:
+                for i in range(0, len(key), 100_000):
+                    part = key[i : i + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g, dtype=np.int32)), pa.array(part)], names=["g", "key"])
+        release()
+
+    wanted = pieces.mapInArrow(asked, "g int, key long").join(model.select("key", "logp"), "key").select("g", "key", "logp")
+    schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), *((k, pa.int64()) for k in COUNTS), ("lm_sum", pa.float64()), ("lm_n", pa.int64())])
+
+    def scored(left, right):
+        model = Model(right["key"].to_numpy().view(np.uint64), right["logp"].to_numpy())
+        out = []
+        for rows in _unpacked(left["piece"]):
+            names, cols = rows["lang"].to_pylist(), {k: [np.zeros(0, dtype=np.int64)] for k in (*COUNTS, "lm_n")}
+            numbers, sums = _numbers(names), [np.zeros(0)]
+            for c in chunks(rows["text"]):
+                for k, v in base_counts(c).items():
+                    cols[k].append(v.astype(np.int64))
+                key, _, doc, _ = ngrams(c, numbers[c.first : c.first + c.n])
+                cols["lm_n"].append(np.bincount(doc, minlength=c.n))
+                sums.append(np.bincount(doc, weights=model.log_probabilities(key), minlength=c.n))
+            own = [np.concatenate(cols[k]) for k in COUNTS]
+            out.append(pa.RecordBatch.from_arrays([rows["id"], rows["lang"], *map(pa.array, own), pa.array(np.concatenate(sums)), pa.array(np.concatenate(cols["lm_n"]))], schema=schema))
+        release()
+        return pa.Table.from_batches(out, schema=schema)
+
+    kinds = "id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", lm_sum double, lm_n long"
+    return pieces.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(scored, kinds)
+
 
-    grams = docs.select("row", "lang", "text").mapInArrow(distinct, "row long, lang string, g long, k long")
-    top = model.where(F.col("n") == ORDER).select("lang", "g", "logp")
-    return grams.join(top, ["lang", "g"]).groupBy("row").agg(F.sum(F.col("k") * F.col("logp")).alias("lm_sum"))
+def _bands(usable: DataFrame, keys: list[str], least_docs: int, least_iqr: float, width: float) -> DataFrame:
+    """(keys, low, high): the band of each group of documents that is large enough, from binned quartiles."""
+    bins = usable.groupBy(*keys, F.floor(F.col("score") * 512).alias("bin")).agg(F.sum("k").alias("k"))
+    upto = Window.partitionBy(*keys).orderBy("bin")
+    bins = bins.withColumn("upto", F.sum("k").over(upto)).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / 512
+    bands = bins.groupBy(*keys).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("docs")).where(F.col("docs") >= least_docs)
+    iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(least_iqr))
+    return bands.select(*keys, (F.col("q1") - width * iqr).alias("low"), (F.col("q3") + width * iqr).alias("high"))
 
 
 def judge_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    width: float = 4.0, least_iqr: float = 0.04, least_chars: int = 200, least_docs: int = 20, most_entries: int = MOST_ENTRIES,
+    width: float = 2.0, least_iqr: float = 0.02, least_docs: int = 50, group_chars: int = 48_000_000,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, kept) of each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = materialise(count_ngrams(rows, "lang", "text"), "counts")
-    table = kneser_ney(counts)
-    if table.count() <= most_entries:
-        languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
-        model = _collected(table, languages)
-        measured = materialise(_measured(rows.withColumn("row", F.lit(0).cast("long")), model), "measured")
-    else:
-        keyed = rows.withColumn("row", F.xxhash64("id", "lang", "text"))
-        sums = _joined_scores(keyed.dropDuplicates(["row"]), table)
-        measured = _measured(keyed, None).drop("lm_sum").join(sums, "row", "left")
-        measured = materialise(measured.withColumn("lm_sum", F.coalesce("lm_sum", F.lit(0.0))), "measured")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _language_key(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = materialise(count_ngrams(docs, lang_col, text_col), "counts")
+    all_chars = counts.agg(F.sum("c")).first()[0] or 0
+    measured = materialise(measure(rows, kneser_ney(counts), -(-all_chars // group_chars) or 1), "measured")
 
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     score = F.when(F.col("lm_n") > 0, -F.col("lm_sum") / F.col("lm_n"))
-    judged = measured.withColumn("base_failed", failed).withColumn("score", score)
-    usable = judged.where(~F.col("base_failed") & (F.col("lm_n") >= least_chars))
-    bins = usable.groupBy("lang", F.floor(F.col("score") * 512).alias("bin")).agg(F.count("*").alias("k"))
-    upto = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("k").over(upto)).withColumn("all", F.sum("k").over(Window.partitionBy("lang")))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / 512
-    bands = bins.groupBy("lang").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("docs")).where(F.col("docs") >= least_docs)
-    iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(least_iqr))
-    bands = bands.select("lang", (F.col("q1") - width * iqr).alias("low"), (F.col("q3") + width * iqr).alias("high"))
-    out = judged.join(bands, "lang", "left")
-    inside = F.col("low").isNull() | (F.col("lm_n") < least_chars) | F.col("score").between(F.col("low"), F.col("high"))
+    judged = measured.withColumns({"base_failed": failed, "score": score, "size": F.floor(F.log2("lm_n")).cast("int")})
+    usable = judged.where("NOT base_failed AND lm_n > 0").withColumns({"k": F.lit(1), "everything": F.lit(True)})
+    usable = materialise(usable.groupBy("lang", "size", "everything", (F.floor(F.col("score") * 512) / 512).alias("score")).agg(F.sum("k").alias("k")), "scores")
+    out = judged.withColumn("everything", F.lit(True))
+    for i, keys in enumerate((["lang", "size"], ["size"], ["everything"])):
+        bands = _bands(usable, keys, least_docs, least_iqr, width)
+        few = bands.count() <= BROADCAST_LANGUAGES
+        out = out.join(F.broadcast(bands) if few else bands, keys, "left").withColumnsRenamed({"low": f"low{i}", "high": f"high{i}"})
+    low, high = (F.coalesce(*(f"{x}{i}" for i in range(3))) for x in ("low", "high"))
+    inside = F.coalesce(F.col("score").between(low, high), F.lit(True))
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.exp("score").alias("perplexity"), (~F.col("base_failed") & inside).alias("kept"),

@@ -6,6 +6,7 @@ never cut: helpers work on whole documents, a few megabytes of documents at a ti
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -28,6 +29,10 @@ _LOWER[65:91] += 32
 _M = 0x9E3779B97F4A7C15
 _MI = pow(_M, -1, 1 << 64)
 _pow: dict[int, np.ndarray] = {}
+try:  # glibc keeps freed memory unless it is told to trim
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -162,6 +167,16 @@ def in_remainder(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def release() -> None:
+    """At the end of a task: give what this worker has freed back to the machine, and its table of powers."""
+    for base, have in list(_pow.items()):
+        if len(have) > 2 * CHUNK_BYTES:
+            del _pow[base]
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from changegraph.llm import quality_gam, quality_rules, toxicity
@@ -28,65 +29,50 @@ def test_basic_counts_equal_brute_force(spark):
     assert all(r.kept is False for r in got if r.base_failed)
 
 
-def grams(text):
-    import pyarrow as pa
-
-    return [int(g) for c in chunks(pa.array([text])) for g in quality_rules.ngrams(c)[0]]
-
-
 def test_kneser_ney_equals_brute_force(spark):
-    texts = ["abcabcabdabcab. Abc", "abd abc abd abcd xyzabc", "aaaaabaaaacaaaab"]
+    texts = ["abcabcabdabcab. Abc", "abd abc äbd abcd xyzabc", "aaaaabaaaacaaaab", "привет привет мир, мир привет"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     table = quality_rules.kneser_ney(quality_rules.count_ngrams(docs))
-    got = {(r.n, r.g): (r.logp, r.bow) for r in table.collect()}
-    count = {5: collections.Counter(g for t in texts for g in grams(t))}
+    low = (1 << 21) - 1
+    letters = lambda hi, lo: "".join(chr(x) for x in (hi >> 21, hi & low, lo >> 42, lo >> 21 & low, lo & low))
+    got = {letters(r.hi, r.lo): r.logp for r in table.collect()}
+    count = {5: collections.Counter(t[i : i + 5] for t in texts for i in range(len(t) - 4))}
     for n in (4, 3, 2, 1):
-        count[n] = collections.Counter(g & ((1 << 6 * n) - 1) for g in count[n + 1])
-    p, gamma = {(0, 0): 1 / 64}, {}
+        count[n] = collections.Counter(g[1:] for g in count[n + 1])
+    p = {"": 1 / len(count[1])}
     for n in range(1, 6):
         k = collections.Counter(count[n].values())
         y = k[1] / max(k[1] + 2 * k[2], 1)
         d = [max(0.1, min(i - 0.05, i - (i + 1) * y * k[i + 1] / max(k[i], 1))) for i in (1, 2, 3)]
         by = collections.defaultdict(list)
         for g, c in count[n].items():
-            by[g >> 6].append((g, c))
-        for h, own in by.items():
+            by[g[:-1]].append((g, c))
+        for own in by.values():
             total = sum(c for _, c in own)
-            gamma[n - 1, h] = sum(d[min(c, 3) - 1] for _, c in own) / total
+            gamma = sum(d[min(c, 3) - 1] for _, c in own) / total
             for g, c in own:
-                low = p[0, 0] if n == 1 else p[n - 1, g & ((1 << 6 * (n - 1)) - 1)]
-                p[n, g] = max(c - d[min(c, 3) - 1], 0) / total + gamma[n - 1, h] * low
-    assert len(got) == len(p)
-    for (n, g), (logp, bow) in got.items():
-        assert math.isclose(logp, math.log(p[n, g]), abs_tol=1e-9)
-        assert bow is None or math.isclose(bow, math.log(gamma[n, g]), abs_tol=1e-9)
-
-
-def model_of(table):
-    r = table.collect()
-    a = lambda k: np.array([x[k] if x[k] is not None else np.nan for x in r], dtype=np.float64)
-    return quality_rules.Model(["en"], np.zeros(len(r), dtype=np.int64), a("n").astype(np.int64), a("g").astype(np.int64), a("logp"), a("bow"))
-
-
-def test_hash_arrays_find_all_and_back_off(spark):
-    docs = spark.createDataFrame([(0, "abcabcabdabcab abcd", "en")], "doc_id long, text string, lang string")
-    table = quality_rules.kneser_ney(quality_rules.count_ngrams(docs))
-    model = model_of(table)
-    top = {r.g: r.logp for r in table.where("n = 5").collect()}
-    g = np.array(list(top), dtype=np.uint32)
-    lang = np.zeros(len(g), dtype=np.uint64)
-    assert np.allclose(model.log_probabilities(lang, g), [top[int(x)] for x in g], atol=1e-6)
-    contexts = {x >> 6 for x in top}
-    for h in contexts:  # probabilities after a context sum to one
-        all_next = np.array([(h << 6) | c for c in range(64)], dtype=np.uint32)
-        assert abs(np.exp(model.log_probabilities(np.zeros(64, dtype=np.uint64), all_next)).sum() - 1) < 1e-3
-
-
-def test_large_models_are_joined_with_the_same_result(spark):
-    a = quality_rules.judge_quality(frame(spark), least_docs=3)
-    b = quality_rules.judge_quality(frame(spark), least_docs=3, most_entries=0)
-    key = lambda df: sorted((str(tuple(r)[:7]), round(r.perplexity or 0, 3), r.kept) for r in df.collect())
-    assert key(a) == key(b)
+                p[g] = max(c - d[min(c, 3) - 1], 0) / total + gamma * p[g[1:]]
+    assert got.keys() == count[5].keys()
+    assert all(math.isclose(v, math.log(p[g]), abs_tol=1e-9) for g, v in got.items())
+    # Every text's own sum, through groups that ask for what they have.
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit("=en").alias("lang"), "text")
+    for groups in (1, 3):
+        for r in quality_rules.measure(rows, table, groups).collect():
+            own = [texts[r.id][i : i + 5] for i in range(len(texts[r.id]) - 4)]
+            assert r.lm_n == len(own) and math.isclose(r.lm_sum, sum(math.log(p[g]) for g in own), abs_tol=1e-6)
+
+
+def test_languages_are_apart_and_null_is_none_of_them(spark):
+    docs = spark.createDataFrame([(0, "abcdefgh", None), (1, "abcdefgh", "(none)"), (2, "abcdefgh", "")], "doc_id long, text string, lang string")
+    assert quality_rules.count_ngrams(docs).groupBy("lang").count().count() == 3
+    assert {r.c for r in quality_rules.count_ngrams(docs).collect()} == {1}
+
+
+def test_a_changed_model_is_noticed():
+    model = quality_rules.Model(np.array([5, 9], dtype=np.uint64), np.array([-1.0, -2.0]))
+    assert model.log_probabilities(np.array([9, 5, 9], dtype=np.uint64)).tolist() == [-2.0, -1.0, -2.0]
+    with pytest.raises(ValueError):
+        model.log_probabilities(np.array([7], dtype=np.uint64))
 
 
 def test_strange_text_is_rejected_and_clean_text_kept(spark):
