@@ -42,6 +42,7 @@ PIECE_BYTES = 4 << 20
 #: Up to so many languages, their discounts are sent to all tasks; beyond, they are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 
+_PLACE = mix64(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -86,18 +87,48 @@ def _points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(c.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4").astype(np.uint64), bounds
 
 
-def ngrams(c: Chunk, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first position, document) of the 5-grams of all documents, and the code points.
+def ngrams(c: Chunk, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the 5-grams of all documents: a key (a hash of the 5-gram and its language), the first position; and how many each document has.
 
-    ``languages`` has a 64-bit number a document; ``key`` is a hash of it and the 5-gram."""
+    ``languages`` has a 64-bit number a document. Positions are those of ``_points``."""
     points, bounds = _points(c)
     n = len(points) - ORDER + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), points
-    doc = np.repeat(np.arange(c.n), np.diff(bounds))[:n]
-    at = np.flatnonzero(np.arange(n) + ORDER <= bounds[1:][doc])
-    doc = doc[at]
-    return mix64(window_hashes(points, ORDER)[at] ^ languages[doc]), at, doc, points
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(c.n, np.int64)
+    size = np.diff(bounds)
+    ok = np.ones(n, dtype=bool)
+    for k in range(1, ORDER):  # the last four of each document begin no 5-gram
+        last = bounds[1:] - k
+        ok[last[(last >= 0) & (last < n)]] = False
+    with np.errstate(over="ignore"):
+        total = np.repeat(languages, size)[:n]
+        for k in range(ORDER):
+            total += points[k : n + k] * _PLACE[k]
+    return mix64(total[ok]), np.flatnonzero(ok), np.maximum(size - ORDER + 1, 0)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and how often each occurs."""
+    s = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
+
+
+def _places(key: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """A place of each distinct key in ``key``, by a table over the first bits; keys that share an entry are sorted."""
+    shift = np.uint64(42)
+    entry = (key >> shift).astype(np.int64)
+    table = np.zeros(1 << 22, dtype=np.int32)
+    table[entry] = np.arange(len(key), dtype=np.int32)
+    at = table[(distinct >> shift).astype(np.int64)]
+    other = np.flatnonzero(key[at] != distinct)
+    if len(other):
+        shared = np.zeros(1 << 22, dtype=bool)
+        shared[(distinct[other] >> shift).astype(np.int64)] = True
+        some = np.flatnonzero(shared[entry])
+        some = some[np.argsort(key[some])]
+        at[other] = some[np.searchsorted(key[some], distinct[other])]
+    return at
 
 
 def _language_key(lang: Column) -> Column:
@@ -114,45 +145,46 @@ def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """(lang, hi, lo, key, c): how often each 5-gram occurs in all documents of a language; tasks send partial counts."""
 
     def count(batches):
-        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        names: dict[str, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def merged(lang):
-            key, hi, lo, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
+        def merged():
+            key, lang, hi, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(key)
-            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            return key[order][first], hi[order][first], lo[order][first], np.add.reduceat(n[order], first)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            own = order[first]
+            return key[first], lang[own], hi[own], lo[own], np.add.reduceat(n[order], first)
 
         for batch in batches:
-            names = batch["lang"].to_pylist()
-            numbers, names = _numbers(names), np.array(names, dtype=object)
+            texts = batch["lang"].to_pylist()
+            numbers, langs = _numbers(texts), np.array([names.setdefault(x, len(names)) for x in texts], dtype=np.int32)
             for c in chunks(batch["text"]):
-                own = names[c.first : c.first + c.n]
-                key, at, doc, points = ngrams(c, numbers[c.first : c.first + c.n])
-                for lang in set(own):
-                    mine = (own == lang)[doc]
-                    k, p = (key, at) if mine.all() else (key[mine], at[mine])
-                    if not len(k):
-                        continue
-                    order = np.argsort(k)
-                    k = k[order]
-                    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                    p, n = p[order[first]], np.diff(np.append(first, len(k)))
-                    hi = (points[p] << np.uint64(BITS)) | points[p + 1]
-                    lo = (points[p + 2] << np.uint64(2 * BITS)) | (points[p + 3] << np.uint64(BITS)) | points[p + 4]
-                    held.setdefault(lang, []).append((k[first], hi, lo, n))
-                    size += len(first)
-                if size > 2_000_000:
-                    held = {lang: [merged(lang)] for lang in held}
-                    size = 0
-        for lang in list(held):
-            key, hi, lo, n = merged(lang)
+                own = slice(c.first, c.first + c.n)
+                key, at, n_own = ngrams(c, numbers[own])
+                if not len(key):
+                    continue
+                distinct, n = _distinct(key)
+                place = _places(key, distinct)
+                points, _ = _points(c)
+                p = at[place]
+                lang = langs[own][np.searchsorted(np.cumsum(n_own), place, side="right")]
+                hi = (points[p] << np.uint64(BITS)) | points[p + 1]
+                lo = (points[p + 2] << np.uint64(2 * BITS)) | (points[p + 3] << np.uint64(BITS)) | points[p + 4]
+                held.append((distinct, lang, hi, lo, n))
+                size += len(distinct)
+                if size > 4_000_000:
+                    held = [merged()]
+                    size = 2 * len(held[0][0])
+        if held:
+            key, lang, hi, lo, n = merged()
+            known = pa.array(list(names), pa.string())
             for i in range(0, len(key), 100_000):
                 own = slice(i, i + 100_000)
-                names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(key[own]), dtype=np.int8)), pa.array([lang])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [names, *(pa.array(x[own].view(np.int64)) for x in (hi, lo, key)), pa.array(n[own].astype(np.int64))], names=["lang", "hi", "lo", "key", "c"]
-                )
+                text = pa.DictionaryArray.from_arrays(pa.array(lang[own]), known).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([text, *(pa.array(x[own].view(np.int64)) for x in (hi, lo, key)), pa.array(n[own].astype(np.int64))], names=["lang", "hi", "lo", "key", "c"])
+        held = []
         release()
 
     rows = docs.select(_language_key(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -277,8 +309,8 @@ def measure(docs: DataFrame, model: DataFrame, groups: int) -> DataFrame:
                 own = held.setdefault(g, [])
                 for rows in _unpacked([piece]):
                     numbers = _numbers(rows["lang"].to_pylist())
-                    own += [np.unique(ngrams(c, numbers[c.first : c.first + c.n])[0]) for c in chunks(rows["text"])]
-                held[g] = [np.unique(np.concatenate(own))] if own else []
+                    own += [_distinct(ngrams(c, numbers[c.first : c.first + c.n])[0])[0] for c in chunks(rows["text"])]
+                held[g] = [_distinct(np.concatenate(own))[0]] if own else []
         for g, own in held.items():
             for key in own:
                 for i in range(0, len(key), 100_000):
@@ -298,9 +330,9 @@ def measure(docs: DataFrame, model: DataFrame, groups: int) -> DataFrame:
             for c in chunks(rows["text"]):
                 for k, v in base_counts(c).items():
                     cols[k].append(v.astype(np.int64))
-                key, _, doc, _ = ngrams(c, numbers[c.first : c.first + c.n])
-                cols["lm_n"].append(np.bincount(doc, minlength=c.n))
-                sums.append(np.bincount(doc, weights=model.log_probabilities(key), minlength=c.n))
+                key, _, n = ngrams(c, numbers[c.first : c.first + c.n])
+                cols["lm_n"].append(n)
+                sums.append(np.bincount(np.repeat(np.arange(c.n), n), weights=model.log_probabilities(key), minlength=c.n))
             own = [np.concatenate(cols[k]) for k in COUNTS]
             out.append(pa.RecordBatch.from_arrays([rows["id"], rows["lang"], *map(pa.array, own), pa.array(np.concatenate(sums)), pa.array(np.concatenate(cols["lm_n"]))], schema=schema))
         release()
