@@ -7,13 +7,20 @@ of their own. Six registers make a band; documents that share a band are candida
 Jaccard estimate from equal registers, corrected for accidental equality, drops hopeless
 candidates; the rest are confirmed on the full sets.
 
-Only components are asked for, so within a band all members are tried against one of them
-(the hub), never against each other. Members outside a band's largest component are then
-probed against other members, a few in each of their bands, until nothing new links. What
-is still apart is compared exactly: sketches of members outside the largest component
-against all others of their band, in blocks of bounded size, a pair only in the first band
-that it shares. At similarity 0.8 a pair shares none of the 42 bands with probability 3e-6
-and falls below the estimate's slack (four standard deviations or more) with 3e-5.
+Only components are asked for, so a member is first tried against one hub, the smallest
+member of most of its bands, and what links is contracted to a component. Of its other
+hubs it is then tried against those of other components only, and members outside a
+band's largest component are probed against a member of it and another one outside. What is
+still apart is compared exactly: members outside the largest component against all others
+of their band that are not in their own component, in blocks of bounded size, a pair only in
+the first band that it shares. Blocks first hold registers alone; full sets are sent
+only for members that have a likely partner. At similarity 0.8 a pair of independent
+registers shares none of the 42 bands with probability 3e-6 and falls below the estimate's
+slack (four standard deviations or more) with 3e-5.
+
+A band that a third of all rows share is a hot key: its statistics are counted with partial
+sums and written first, so that the joins with them are plain ones, which adaptive
+execution splits.
 
 Defined results: a document without words has an empty set and is linked with nothing.
 With fewer words than a shingle, the whole sequence is the only shingle. Equal sets are one
@@ -32,14 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import chunks, materialise, mix64, window_hashes
+from changegraph.llm.text import chunks, materialise, mix64, release, window_hashes
 
 BUCKETS, ROWS = 256, 6
 BANDS = BUCKETS // ROWS
 #: A list of ids up to this many rows (8 bytes each) may be broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 500_000
-#: Bands of up to so many members are joined with themselves; larger ones are compared in blocks.
-SMALL = 64
 _STARTS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(56)
 #: For each bucket, an order of all buckets to borrow from.
 _BORROW = np.stack([np.random.default_rng([7, b]).permutation(BUCKETS) for b in range(BUCKETS)])
@@ -104,6 +109,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 [batch["id"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())],
                 names=["id", "n_shingles", "key1", "key2", "regs"],
             )
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(sketch, "id long, n_shingles long, key1 long, key2 long, regs binary")
@@ -160,6 +166,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int
             if batch.num_rows:
                 s = [x.astype("<u8").tobytes() for x in shingle_sets(batch["text"], size)]
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(s, pa.binary())], names=["id", "s"])
+        release()
 
     ids = materialise(ids.distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
@@ -210,65 +217,87 @@ def _mixed(shared: DataFrame, comp: DataFrame) -> DataFrame:
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n_all"), F.max("n").alias("n_largest")
     )
-    return materialise(placed.join(sizes.where("parts > 1"), "band"), "mixed")
+    sizes = materialise(sizes.where("parts > 1"), "sizes")
+    return materialise(placed.join(sizes, "band"), "mixed")
 
 
 def _probes(mixed: DataFrame, turn: int) -> DataFrame:
     """Pairs of each outside member with one member of the largest component and one other outside member of its band."""
     draw, inside = F.xxhash64("id", F.lit(turn)), F.col("component") == F.col("largest")
-    picked = mixed.groupBy("band").agg(F.min_by("id", F.when(inside, draw)).alias("p"), F.min_by("id", F.when(~inside, draw)).alias("q"))
+    picked = materialise(mixed.groupBy("band").agg(F.min_by("id", F.when(inside, draw)).alias("p"), F.min_by("id", F.when(~inside, draw)).alias("q")), "picked")
     pairs = mixed.where(~inside).join(picked, "band").select("id", "hub", F.explode(F.array("p", "q")).alias("y"))
     return pairs.where("id <> y AND id <> hub AND y <> hub").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
 
 
-def _apart(mixed: DataFrame, reps: DataFrame, sets: DataFrame, least: float, percent: int, block: int = 512, small: int = SMALL) -> DataFrame:
-    """All pairs of different components that share a band and may be links.
+def _blocks(mixed: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Members outside a band's largest component, and all members, in blocks that meet each other once."""
+    rows = mixed.join(reps, "id")
+    across = F.ceil((F.col("n_all") - F.col("n_largest")) / block).cast("int")
+    down = F.ceil(F.col("n_all") / block).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    left = rows.where("component <> largest").withColumn("bx", part(across)).withColumn("by", F.explode(F.sequence(F.lit(0), down - 1)))
+    right = rows.withColumn("by", part(down)).withColumn("bx", F.explode(F.sequence(F.lit(0), across - 1)))
+    return left, right, ["band", "bx", "by"]
 
-    In bands of more than ``small`` members, pairs whose estimate reaches ``least`` are compared
-    on their sets (``sets``: id, s) at once, so that only links leave the task."""
-    outside = mixed.where("component <> largest")
-    x = outside.select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-    y = mixed.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "hub", "largest", "n_all")
-    few = (
-        x.join(y.where(F.col("n_all") <= small), "band")
-        .where("cx <> cy AND x <> hub AND y <> hub AND (cy = largest OR x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
 
-    def compare(left, right):
-        out_a, out_b = [], []
+def _apart(mixed: DataFrame, reps: DataFrame, sets, least: float, percent: int, block: int = 512) -> DataFrame:
+    """(a, b): the links between members of one band that are in different components.
+
+    Blocks of registers find the members that have a partner whose estimate reaches
+    ``least``; ``sets`` (ids -> (id, s)) gives the sets of those alone, and blocks of them
+    confirm, so that only links leave a task."""
+
+    def pairs(left, right):
+        """(row of left, ids of right that it is likely to be linked with, a pair in its first shared band only)."""
+        r = np.frombuffer(b"".join(right["regs"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+        ids, comps, n = (right[c].to_numpy() for c in ("id", "component", "n_shingles"))
+        no, largest, hub = left["no"][0].as_py(), left["largest"][0].as_py(), left["hub"][0].as_py()
+        for row in left.to_pylist():
+            if row["id"] == hub:
+                continue
+            ok = (comps != row["component"]) & ((comps == largest) | (ids > row["id"])) & (ids != hub)
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            equal = r[at] == np.frombuffer(row["regs"], dtype=np.uint16)
+            likely = estimate(equal.sum(axis=1), n[at], np.full(len(at), row["n_shingles"])) >= least
+            at, equal = at[likely], equal[likely]
+            if len(at):
+                yield row, at[equal[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == no]
+
+    def likely(left, right):
+        found = [np.zeros(0, dtype=np.int64)]
         if left.num_rows and right.num_rows:
-            r = np.frombuffer(b"".join(right["regs"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
-            ids, comps, n = (right[c].to_numpy() for c in ("id", "component", "n_shingles"))
-            full = [np.frombuffer(x, dtype="<u8") for x in right["s"].to_pylist()]
-            no, largest, hub = left["no"][0].as_py(), left["largest"][0].as_py(), left["hub"][0].as_py()
-            for row in left.to_pylist():
-                ok = (comps != row["component"]) & ((comps == largest) | (ids > row["id"])) & (ids != hub) & (row["id"] != hub)
-                equal = r == np.frombuffer(row["regs"], dtype=np.uint16)
-                ok &= estimate(equal.sum(axis=1), n, np.full(len(n), row["n_shingles"])) >= least
-                at = np.flatnonzero(ok)
+            ids = right["id"].to_numpy()
+            for row, at in pairs(left, right):
                 if len(at):
-                    at = at[equal[at, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == no]
-                    s = np.frombuffer(row["s"], dtype="<u8")
-                    both = np.array([len(np.intersect1d(s, full[j], assume_unique=True)) for j in at], dtype=np.int64)
-                    at = at[100 * both >= percent * (len(s) + n[at] - both)]
-                    out_a.append(np.minimum(ids[at], row["id"]))
-                    out_b.append(np.maximum(ids[at], row["id"]))
-        join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, dtype=np.int64), pa.int64())
-        return pa.table([join(out_a), join(out_b)], names=["a", "b"])
-
-    many = mixed.where(F.col("n_all") > small).join(reps, "id").join(sets, "id")
-    across = F.ceil((F.col("n_all") - F.col("n_largest")) / block).cast("int")
-    down = F.ceil(F.col("n_all") / block).cast("int")
-    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    left = many.where("component <> largest").withColumn("bx", part(across)).withColumn("by", F.explode(F.sequence(F.lit(0), down - 1)))
-    right = many.withColumn("by", part(down)).withColumn("bx", F.explode(F.sequence(F.lit(0), across - 1)))
-    keys = ["band", "bx", "by"]
-    left = left.select(*keys, "no", "id", "component", "largest", "hub", "n_shingles", "regs", "s")
-    right = right.select(*[F.col(c).alias(c) for c in (*keys, "id", "component", "n_shingles", "regs", "s")])
-    blocks = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
-    return _likely(few, reps, least).union(blocks).distinct()
+                    found += [np.array([row["id"]]), ids[at]]
+        return pa.table([pa.array(np.unique(np.concatenate(found)))], names=["id"])
+
+    def confirm(left, right):
+        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        if left.num_rows and right.num_rows:
+            ids, n = right["id"].to_numpy(), right["n_shingles"].to_numpy()
+            full = [np.frombuffer(x, dtype="<u8") for x in right["s"].to_pylist()]
+            for row, at in pairs(left, right):
+                s = np.frombuffer(row["s"], dtype="<u8")
+                both = np.array([len(np.intersect1d(s, full[j], assume_unique=True)) for j in at], dtype=np.int64)
+                at = at[100 * both >= percent * (len(s) + n[at] - both)]
+                out_a.append(np.minimum(ids[at], row["id"]))
+                out_b.append(np.maximum(ids[at], row["id"]))
+        return pa.table([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    left_cols, right_cols = ("no", "id", "component", "largest", "hub", "n_shingles", "regs"), ("id", "component", "n_shingles", "regs")
+
+    def compared(members: DataFrame, f, schema: str, *more: str) -> DataFrame:
+        left, right, keys = _blocks(members, reps, block)
+        left, right = left.select(*keys, *left_cols, *more), right.select(*[F.col(c).alias(c) for c in (*keys, *right_cols, *more)])
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(f, schema)
+
+    some = materialise(compared(mixed, likely, "id long").distinct(), "partners")
+    left_over = materialise(mixed.join(some, "id", "left_semi").drop("n_all", "n_largest"), "left")
+    sizes = left_over.groupBy("band").agg(F.count("*").alias("n_all"), F.count_if(F.col("component") == F.col("largest")).alias("n_largest"))
+    return compared(left_over.join(materialise(sizes, "sizes"), "band").join(sets(some), "id"), confirm, "a long, b long", "s").distinct()
 
 
 def near_duplicates(
@@ -289,8 +318,8 @@ def near_duplicates(
 
     every = bands(reps)
     hubs = every.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = materialise(every.join(hubs, "band"), "bands")
-    tried = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    shared = materialise(every.join(materialise(hubs, "hubs"), "band"), "bands")
+    tried = materialise(shared.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")), "tried")
     links: list[DataFrame] = []
 
     def link(likely: DataFrame) -> bool:
@@ -303,7 +332,12 @@ def near_duplicates(
         return False
 
     none = classes.select(F.col("rep").alias("id"), F.col("rep").alias("component")).where("false")
-    comp = components(links[0]) if link(_likely(tried, reps, least)) else none
+    one = materialise(tried.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first")
+    comp = components(links[0]) if link(_likely(one, reps, least)) else none
+    other = tried.join(one, ["a", "b"], "left_anti").join(comp.select(F.col("id").alias("a"), F.col("component").alias("_a")), "a", "left")
+    other = other.join(comp.select(F.col("id").alias("b"), F.col("component").alias("_b")), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)")
+    if link(_likely(other.select("a", "b"), reps, least)):
+        comp = components(reduce(DataFrame.union, links))
     for turn in range(most_turns):
         mixed = _mixed(shared, comp)
         if not link(_likely(_probes(mixed, turn), reps, least)):
@@ -312,8 +346,9 @@ def near_duplicates(
     else:
         mixed = _mixed(shared, comp)
     if mixed.limit(1).count():
-        sets = _sets(docs, mixed.where(F.col("n_all") > SMALL).select("id"), id_col, text_col, shingle)
-        if link(_apart(mixed, reps, sets, least, percent)):
+        found = materialise(_apart(mixed, reps, lambda ids: _sets(docs, ids, id_col, text_col, shingle), least, percent), "links")
+        if found.limit(1).count():
+            links.append(found)
             comp = components(reduce(DataFrame.union, links))
 
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
