@@ -1,29 +1,34 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case runs of letters. A bounded, documented sample of labelled documents gives
-the examples; every term of every example is indexed, with its inverse document frequency
-counted over all documents, and every document is searched against all examples. Terms that
-many examples have are columns of a dense matrix that scores a batch of documents at once,
-the others are posting lists; the best are then computed again in full precision, so that the
-neighbours found are exactly the nearest. They are the evidence.
+Terms are lower-case runs of letters and their marks, as 64-bit hashes. A bounded, documented
+sample of labelled documents gives the examples; all their terms are indexed, every text is
+searched, and inverse document frequencies are counted over all documents. A few telling
+words weigh little in the cosine of a long text, so a term's weight has a third factor beside
+its frequency in the text and its rarity: how much its presence changes the odds of the label,
+as the lower bound of the odds ratio that the examples support (1 where they tell nothing, so
+that no term is dropped).
+
+The index is in blocks of like examples. Terms that many examples have are columns of a small
+dense matrix a block, the others are posting lists. A batch of queries takes, block by block,
+the sum of the largest weights as a bound, starts with each query's best block, and then
+visits only blocks whose bound reaches the k-th best cosine so far. The candidates' cosines
+are summed again in full precision, so the neighbours found are exactly the nearest, and they
+are the evidence.
 
 Neighbours vote with weight cosine ** power, together with a prior of one vote at the
-sample's base rate. A few bad words weigh little in the cosine of a long text, so a second
-vote comes from the neighbours over the terms alone whose presence goes with the label
-(chi-square, and a least share of labelled documents among those that have the term), found
-by block-max pruning. A logistic regression fitted on both votes of the sample (leaving each
-example itself out) turns them into a probability.
-
-Defined results: a null or empty text has no terms, so it has no neighbours and only the priors
-vote. With no labels at all the score is 0. A document labelled twice counts once, as its highest
-label. Only rows with an id can be labelled. Rows with the same id are scored each. Extra
-columns are ignored; an empty table gives an empty result.
+sample's base rate. A logistic regression fitted on the votes for the examples (leaving each
+example itself out) turns the vote into a probability.
+
+Defined results: a null or empty text has no terms, so it has no neighbours and only the prior
+votes. With no labels at all the score is 0. A document labelled twice counts once, as its highest
+label; of rows that share a labelled id the smallest text is the example. Only rows with an id
+can be labelled. Rows with the same id are scored each. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,194 +36,238 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import materialise, n_groups
+from changegraph.llm.text import Chunk, chunks, materialise, n_groups, release
 
-_TERM = re.compile(r"[^\W\d_]+")
 #: At most so many labelled documents are examples; the rest of the labels is not used.
 MOST_EXAMPLES = 20_000
-#: Of the vote over the label's terms only; the search over all terms has no such bound.
-MOST_TERMS = 4_096
-#: At most so many terms are columns of the dense matrix; the others are posting lists.
+#: At most so many terms are columns of dense matrices; the others are posting lists.
 MOST_COLUMNS = 256
 
 
-@dataclass
-class Index:
-    """Examples by term: weights of examples in blocks, and the largest of each block."""
-
-    terms: list[str]
-    idf: np.ndarray
-    labels: np.ndarray
-    ids: np.ndarray
-    offsets: np.ndarray  # by (term, block), into the two below
-    rows: np.ndarray
-    weights: np.ndarray
-    largest: np.ndarray  # (terms, blocks)
-    block: int
-    base: float
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest examples with a cosine above 0, nearest first; ties by row."""
-        n_blocks = self.largest.shape[1]
-        bound = weights @ self.largest[terms]
-        order = np.argsort(-bound, kind="stable")
-        found_rows, found = np.zeros(0, dtype=np.int64), np.zeros(0)
-        done, step = 0, 4
-        while done < n_blocks and bound[order[done]] > 0:
-            if len(found) >= k and bound[order[done]] < found[k - 1] - 1e-9:
-                break
-            some = order[done : done + step]
-            done, step = done + step, step * 4
-            # All postings of the query's terms in these blocks, as one run of positions.
-            cell = (terms[:, None] * n_blocks + some).ravel()
-            begin, size = self.offsets[cell], self.offsets[cell + 1] - self.offsets[cell]
-            ends = np.cumsum(size)
-            at = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
-            rows, place = np.unique(self.rows[at], return_inverse=True)
-            values = np.bincount(place, weights=np.repeat(np.repeat(weights, len(some)), size) * self.weights[at], minlength=len(rows))
-            ok = rows != without
-            found_rows, found = np.concatenate([found_rows, rows[ok]]), np.concatenate([found, values[ok]])
-            top = np.lexsort((found_rows, -found))[:k]
-            found_rows, found = found_rows[top], found[top]
-        return found_rows, found
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin .. begin + size of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
-    def vote(self, rows: np.ndarray, cosines: np.ndarray, power: float) -> float:
-        w = cosines**power
-        return (float(w @ self.labels[rows]) + self.base) / (float(w.sum()) + 1.0)
 
+def _cuts(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
-class AllTerms:
-    """All examples by all their terms: ``size`` terms of each example, in ``terms`` and ``counts`` one example after the other.
-
-    Only these travel to the tasks, which build the matrix and the lists themselves."""
-
-    def __init__(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray, most_columns: int = MOST_COLUMNS):
-        self.given = size, terms, counts, labels, ids, idf, most_columns
-        self.size, self.own_terms, self.labels, self.ids, self.idf = size, terms, labels.astype(np.float64), ids, idf
-        self.base = float((self.labels.sum() + 1) / (len(ids) + 2))
-        self.first = np.cumsum(size) - size
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        w = (1.0 + np.log(counts)) * idf[terms]
-        self.own_weights = w / np.sqrt(np.bincount(row, weights=w * w, minlength=len(ids)))[row]
-        often = np.bincount(terms, minlength=len(idf))
-        some = np.argsort(-often, kind="stable")[:most_columns]
-        some = some[often[some] * 64 > len(ids)]
-        self.column = np.full(len(idf), -1, dtype=np.int32)
-        self.column[some] = np.arange(len(some))
-        self.dense = np.zeros((len(some), len(ids)), dtype=np.float32)
-        at = self.column[terms]
-        self.dense[at[at >= 0], row[at >= 0]] = self.own_weights[at >= 0]
-        left = np.flatnonzero(at < 0)
-        left = left[np.argsort(terms[left], kind="stable")]
-        self.rows, self.weights = row[left], self.own_weights[left].astype(np.float32)
-        self.begin = np.searchsorted(terms[left], np.arange(len(idf) + 1))
-        self.scratch = None
-
-    def __reduce__(self):
-        return AllTerms, self.given
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(rows, cosines) of the k nearest examples of each query with a cosine above 0, nearest first; ties by row."""
-        out = []
-        for i in range(0, len(queries), 64):
-            some = queries[i : i + 64]
-            q = np.zeros((len(some), len(self.dense)), dtype=np.float32)
-            for j, (t, w) in enumerate(some):
-                at = self.column[t]
-                q[j, at[at >= 0]] = w[at >= 0]
-            scores = q @ self.dense
-            for j, (t, w) in enumerate(some):
-                out.append(self._best(t, w, scores[j], k, -1 if without is None else without[i + j]))
-        return out
 
-    def _best(self, t: np.ndarray, w: np.ndarray, score: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        if not len(t) or not len(score):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        rare = self.column[t] < 0
-        begin, size = self.begin[t[rare]], self.begin[t[rare] + 1] - self.begin[t[rare]]
-        at = _ranges(begin, size)
-        score = score + np.bincount(self.rows[at], weights=np.repeat(w[rare], size) * self.weights[at], minlength=len(score))
-        if without >= 0:
-            score[without] = 0.0
-        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
-        rows = np.flatnonzero((score > 0) & (score >= least - 1e-4))
-        # The sums above are of single precision: what can be among the best is summed again.
-        if self.scratch is None:
-            self.scratch = np.zeros(len(self.idf))
-        self.scratch[t] = w
-        at = _ranges(self.first[rows], self.size[rows])
-        cosines = np.bincount(np.repeat(np.arange(len(rows)), self.size[rows]), weights=self.own_weights[at] * self.scratch[self.own_terms[at]], minlength=len(rows))
-        self.scratch[t] = 0.0
-        top = np.lexsort((rows, -cosines))[:k]
-        return rows[top], cosines[top]
+def term_chunks(column: pa.Array) -> Iterator[tuple[Chunk, np.ndarray]]:
+    """Chunks of texts and the hashes of their terms, one after the other."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")), r"[^\p{L}\p{M}]+", " ")
+    for c in chunks(letters):
+        yield c, c.word_hashes()
 
-    vote = Index.vote
 
+def _counted(doc: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size by document, distinct numbers by document, counts) of (document, number below 2**32)."""
+    key = np.sort((doc.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    own = key[first]
+    size = np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=n)
+    return size, (own & np.uint64(0xFFFFFFFF)).astype(np.int64), np.diff(np.append(first, len(key)))
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The positions begin .. begin + size of all ranges, one after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+def _lists(size: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_cuts(size), pa.int32()), pa.array(values, kind))
 
 
-def _terms_of(known: DataFrame) -> DataFrame:
-    """(label, term): the distinct terms of each example."""
+def _example_vectors(known: DataFrame) -> DataFrame:
+    """(id, label, terms, counts): the hashes of each example's distinct terms and how often each occurs."""
 
-    def terms(batches):
+    def count(batches):
         for batch in batches:
-            own = [sorted(set(_TERM.findall((t or "").lower()))) for t in batch["text"].to_pylist()]
-            labels = np.repeat(batch["label"].to_numpy(zero_copy_only=False), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([t for x in own for t in x], pa.string())], names=["label", "term"])
+            for c, h in term_chunks(batch["text"]):
+                values, number = np.unique(h, return_inverse=True)
+                size, own, n = _counted(c.word_docs(), number, c.n)
+                rows = batch.slice(c.first, c.n)
+                yield pa.RecordBatch.from_arrays(
+                    [rows["id"], rows["label"], _lists(size, values[own].view(np.int64), pa.int64()), _lists(size, n, pa.int32())], names=["id", "label", "terms", "counts"]
+                )
+        release()
 
-    return known.select("label", "text").mapInArrow(terms, "label int, term string")
+    return known.select("id", "label", "text").mapInArrow(count, "id long, label int, terms array<long>, counts array<int>")
 
 
-def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, terms, counts): the terms of each text that examples have, by number, and how often."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # bounded by the examples
+def _vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(id, terms, counts): the terms of each text that examples have, by number in the sorted ``terms``, and how often."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # 8 bytes a term of at most ``most_examples`` texts
 
     def count(batches):
-        known = number.value
+        known = shared.value
+        bits = max(1, len(known).bit_length())
+        begin = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         for batch in batches:
-            at, n = [], []
-            for text in batch["text"].to_pylist():
-                own: dict[int, int] = {}
-                for t in _TERM.findall((text or "").lower()):
-                    i = known.get(t)
-                    if i is not None:
-                        own[i] = own.get(i, 0) + 1
-                at.append(list(own))
-                n.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
+            for c, h in term_chunks(batch["text"]):
+                at = begin[(h >> np.uint64(64 - bits)).astype(np.int64)] if len(known) else np.zeros(0, np.int64)
+                low = np.flatnonzero(at < len(known)) if len(known) else at
+                low = low[known[at[low]] < h[low]]
+                while len(low):
+                    at[low] += 1
+                    low = low[at[low] < len(known)]
+                    low = low[known[at[low]] < h[low]]
+                ok = np.flatnonzero(at < len(known))
+                ok = ok[known[at[ok]] == h[ok]]
+                size, own, n = _counted(c.word_docs()[ok], at[ok], c.n)
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(c.first, c.n), _lists(size, own, pa.int32()), _lists(size, n, pa.int32())], names=["id", "terms", "counts"])
+        release()
 
     return docs.select("id", "text").mapInArrow(count, "id long, terms array<int>, counts array<int>")
 
 
-def _weights(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(terms, dtype=np.int64)
-    w = (1.0 + np.log(np.array(counts, dtype=np.float64))) * idf[t] if len(t) else np.zeros(0)
-    norm = np.sqrt((w * w).sum())
-    return t, (w / norm if norm > 0 else w)
-
-
-def _build(vectors: list, labels: list[int], ids: list[int], terms: list[str], idf: np.ndarray, block: int) -> Index:
-    label = np.array(labels, dtype=np.float64)
-    weighted = [_weights(t, c, idf) for t, c in vectors]
-    has = np.array([len(t) > 0 for t, _ in weighted], dtype=bool)
-    base = float((label[~has].sum() + 1) / ((~has).sum() + 2)) if len(label) else 0.0
-    # Similar examples side by side make tight bounds: order by heaviest term.
-    keep = sorted(np.flatnonzero(has), key=lambda i: (weighted[i][0][int(np.argmax(weighted[i][1]))], ids[i]))
-    n_blocks = max(1, -(-len(keep) // block))
-    flat = [(int(t), row // block, row, float(w)) for row, i in enumerate(keep) for t, w in zip(*weighted[i], strict=True)]
-    flat.sort()
-    key = np.array([t * n_blocks + b for t, b, _, _ in flat], dtype=np.int64)
-    weights = np.array([w for *_, w in flat], dtype=np.float64)
-    largest = np.zeros(len(terms) * n_blocks)
-    np.maximum.at(largest, key, weights)
-    return Index(
-        terms, idf, label[keep], np.array(ids, dtype=np.int64)[keep], np.searchsorted(key, np.arange(len(terms) * n_blocks + 1)),
-        np.array([r for _, _, r, _ in flat], dtype=np.int64), weights, largest.reshape(len(terms), n_blocks), block, base,
-    )
+def _document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """(documents by term, documents): tasks count, and a row a term reaches the driver."""
+
+    def count(batches):
+        df, rows = np.zeros(n_terms + 1, dtype=np.int64), 0
+        for batch in batches:
+            df += np.bincount(batch["terms"].flatten().to_numpy(), minlength=n_terms + 1)
+            df[n_terms] += batch.num_rows  # the last one counts documents
+        t = np.flatnonzero(df)
+        for i in range(0, len(t), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(t[i : i + 100_000], pa.int32()), pa.array(df[t[i : i + 100_000]])], names=["t", "n"])
+
+    rows = vectors.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_terms + 1, dtype=np.int64)
+    df[rows["t"].to_numpy()] = rows["n"].to_numpy()
+    return df[:-1], int(df[-1])
+
+
+def odds_factors(toxic: np.ndarray, having: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """The least change of the label's odds by each term's presence, up or down, that the examples support (two standard errors)."""
+    cells = [x + 0.5 for x in (toxic, having - toxic, n_toxic - toxic, n - n_toxic - (having - toxic))]
+    change = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+    return np.exp(np.maximum(np.abs(change) - 2 * np.sqrt(sum(1 / x for x in cells)), 0))
+
+
+class Index:
+    """Examples in blocks, with the largest weight of each term in each block.
+
+    ``size`` terms of each example are in ``terms`` and ``counts``, one example after the
+    other; ``weight`` has the rarity and the odds factor of each term, ``factor`` the latter."""
+
+    def __init__(self, size, terms, counts, labels, ids, weight, factor, block: int = 512, most_columns: int = MOST_COLUMNS):
+        n = len(ids)
+        often = np.bincount(terms, minlength=len(weight))
+        columns = np.argsort(-often, kind="stable")[:most_columns]
+        columns = columns[often[columns] * 64 > n]
+        self.column = np.full(len(weight), -1, dtype=np.int32)
+        self.column[columns] = np.arange(len(columns))
+        row = np.repeat(np.arange(n), size)
+        w = (1.0 + np.log(counts)) * weight[terms]
+        # Like examples side by side make tight bounds: by the most telling term, then by the commonest ones (the language).
+        tells = np.where(factor[terms] > 1.5, w, 0.0)
+        first = _cuts(size)[:-1]
+        top = np.full(n, -1, dtype=np.int64)
+        by_weight = np.lexsort((-tells, row))
+        some = np.flatnonzero(size > 0)
+        top[some] = np.where(tells[by_weight[first[some]]] > 0, terms[by_weight[first[some]]], -1)
+        rank = np.where(self.column[terms] >= 0, self.column[terms], most_columns)
+        by_rank = np.lexsort((rank, row))
+        common = np.full((n, 2), most_columns)
+        common[some, 0] = rank[by_rank[first[some]]]
+        two = np.flatnonzero(size > 1)
+        common[two, 1] = rank[by_rank[first[two] + 1]]
+        order = np.lexsort((ids, common[:, 1], common[:, 0], top))
+        at = _ranges(first[order], size[order])
+        self.size, self.terms, w = size[order], terms[at], w[at]
+        self.first = _cuts(self.size)[:-1]
+        self.labels, self.ids, self.weight = labels[order].astype(np.float64), ids[order], weight
+        row = np.repeat(np.arange(n), self.size)
+        self.own = w / np.sqrt(np.bincount(row, weights=w * w, minlength=n))[row]
+        self.base = float((self.labels.sum() + 1) / (n + 2))
+        self.starts = np.arange(0, max(n, 1), block)
+        self.stops = np.minimum(self.starts + block, n)
+        at = self.column[self.terms]
+        self.largest = np.zeros((len(columns), len(self.starts)), dtype=np.float32)
+        self.blocks = []
+        for b, (i, j) in enumerate(zip(self.starts, self.stops, strict=True)):
+            p = np.flatnonzero((at >= 0) & (row >= i) & (row < j)) if n else np.zeros(0, np.int64)
+            own, place = np.unique(at[p], return_inverse=True)
+            dense = np.zeros((len(own), j - i), dtype=np.float32)
+            dense[place, row[p] - i] = self.own[p]
+            self.blocks.append((own, dense))
+            if len(own):
+                self.largest[own, b] = dense.max(axis=1)
+        left = np.flatnonzero(at < 0)
+        left = left[np.argsort(self.terms[left], kind="stable")]
+        self.rows, self.posted = row[left].astype(np.int64), self.own[left].astype(np.float32)
+        self.begin = np.searchsorted(self.terms[left], np.arange(len(weight) + 1))
+        self.scratch = np.zeros(len(weight))
+
+    def weights(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the terms of some texts, of length 1 a text."""
+        row = np.repeat(np.arange(len(size)), size)
+        w = (1.0 + np.log(counts)) * self.weight[terms]
+        return w / np.sqrt(np.bincount(row, weights=w * w, minlength=len(size)))[row]
+
+    def nearest(self, size: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cosines) of the k nearest examples of each text with a cosine above 0, nearest first; ties by id."""
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(size)
+        cuts, out = _cuts(size), []
+        for i in range(0, len(size), 64):
+            j = min(i + 64, len(size))
+            own = slice(cuts[i], cuts[j])
+            out += self._batch(size[i:j], terms[own], w[own], k, None if without is None else without[i:j])
+        return out
+
+    def _batch(self, size, terms, w, k, without):
+        q, n = len(size), len(self.ids)
+        query, at = np.repeat(np.arange(q), size), self.column[terms]
+        dense = np.zeros((q, len(self.largest)), dtype=np.float32)
+        dense[query[at >= 0], at[at >= 0]] = w[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        begin = self.begin[terms[rare]]
+        listed = self.begin[terms[rare] + 1] - begin
+        places = _ranges(begin, listed)
+        score = np.bincount(np.repeat(query[rare] * n, listed) + self.rows[places], weights=np.repeat(w[rare], listed) * self.posted[places], minlength=q * n)
+        score = score.astype(np.float32).reshape(q, n)
+        bound = dense @ self.largest + np.maximum.reduceat(score, self.starts, axis=1)
+        least, done = np.zeros(q, dtype=np.float32), np.zeros(bound.shape, dtype=bool)
+
+        def visit(b: int, some: np.ndarray) -> None:
+            i, j = self.starts[b], self.stops[b]
+            columns, matrix = self.blocks[b]
+            own = dense[np.ix_(some, columns)] @ matrix + score[some, i:j]
+            if without is not None:
+                out = np.flatnonzero((without[some] >= i) & (without[some] < j))
+                own[out, without[some[out]] - i] = 0.0
+            score[some, i:j] = own
+            done[some, b] = True
+            if j - i >= k:
+                least[some] = np.maximum(least[some], np.partition(own, j - i - k, axis=1)[:, j - i - k])
+
+        best = bound.argmax(axis=1)
+        for b in np.unique(best):
+            visit(b, np.flatnonzero(best == b))
+        for b in np.argsort(-bound.max(axis=0), kind="stable"):
+            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= least - 1e-4) & ~done[:, b])
+            if len(some):
+                visit(b, some)
+        cuts, out = _cuts(size), []
+        for x in range(q):
+            some = [np.flatnonzero(score[x, self.starts[b] : self.stops[b]] > max(least[x] - 1e-4, 0)) + self.starts[b] for b in np.flatnonzero(done[x])]
+            own = slice(cuts[x], cuts[x + 1])
+            out.append(self._exact(terms[own], w[own], np.concatenate(some) if some else np.zeros(0, np.int64), score[x], k))
+        return out
+
+    def _exact(self, terms, w, rows, score, k):
+        """The k nearest of ``rows``, whose sums of single precision are summed again."""
+        if len(rows) > k:
+            rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k] - 1e-4]
+        self.scratch[terms] = w
+        at = _ranges(self.first[rows], self.size[rows])
+        cosines = np.bincount(np.repeat(np.arange(len(rows)), self.size[rows]), weights=self.own[at] * self.scratch[self.terms[at]], minlength=len(rows))
+        self.scratch[terms] = 0.0
+        top = np.lexsort((self.ids[rows], -cosines))[:k]
+        return rows[top], cosines[top]
+
+    def vote(self, rows: np.ndarray, cosines: np.ndarray, power: float) -> float:
+        w = cosines**power
+        return (float(w @ self.labels[rows]) + self.base) / (float(w.sum()) + 1.0)
 
 
 def _log_odds(votes: np.ndarray) -> np.ndarray:
@@ -226,112 +275,87 @@ def _log_odds(votes: np.ndarray) -> np.ndarray:
     return np.log(v / (1 - v))
 
 
-def _platt(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Logistic regression of the label on the log odds of the votes (a column each), lightly regularised towards
-    their mean; a vote whose weight is not positive is left out. Weights by vote, then the constant."""
-    n, m = votes.shape
-    start = np.append(np.full(m, 1.0 / m), 0.0)
-    if not n or labels.min() == labels.max():
-        return start
-    x = np.column_stack([_log_odds(votes), np.ones(n)])
+def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and constant of a logistic regression of the label on the vote's log odds, lightly regularised towards the vote itself."""
+    start = np.array([1.0, 0.0])
+    if not len(votes) or labels.min() == labels.max():
+        return 1.0, 0.0
+    x = np.column_stack([_log_odds(votes), np.ones(len(votes))])
     loss = lambda theta: float(np.logaddexp(0, np.where(labels > 0, -1, 1) * (x @ theta)).sum() + ((theta - start) ** 2).sum() / 2)
-    use = np.ones(m + 1, dtype=bool)
-    while use[:m].any():
-        theta = np.where(use, start, 0.0)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            grad = (x.T @ (p - labels) + (theta - start))[use]
-            hess = ((x * (p * (1 - p))[:, None]).T @ x + np.eye(m + 1))[np.ix_(use, use)]
-            step, move = np.zeros(m + 1), 1.0
-            step[use] = np.linalg.solve(hess, grad)
-            while move > 1e-6 and loss(theta - move * step) > loss(theta):
-                move /= 2
-            theta = theta - move * step
-        if (theta[:m][use[:m]] > 0).all():
-            return theta
-        use[:m] &= theta[:m] > 0
-    return start
+    theta = start
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - labels) + (theta - start))
+        move = 1.0
+        while move > 1e-6 and loss(theta - move * step) > loss(theta):
+            move /= 2
+        theta = theta - move * step
+    return float(theta[0]), float(theta[1])
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-    k: int = 15, power: float = 2.0, least_chi2: float = 25.0, least_share: float = 0.4, most_examples: int = MOST_EXAMPLES, block: int = 64,
+    k: int = 15, power: float = 2.0, most_examples: int = MOST_EXAMPLES, block: int = 512,
 ) -> DataFrame:
     """(id, score, evidence) of each document; ``labels`` must hold only rows that may be learnt from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
     marks = marks.groupBy(F.col(label_id).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    sample = marks.orderBy(F.xxhash64("id"), "id").limit(most_examples)
-    sample = materialise(sample, "sample")  # at most ``most_examples`` rows, so it may be broadcast
-    known = materialise(rows.join(F.broadcast(sample), "id").dropDuplicates(["id"]), "examples")
-
-    by_term = _terms_of(known).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
-    by_term = materialise(by_term, "terms")
-    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    n, p = float(total["n"]), float(total["p"])
-    a, c = F.col("a"), F.col("c")
-    chi2 = n * (F.abs(a * (n - p - c + a) - (c - a) * (p - a)) - n / 2) ** 2 / (c * (n - c) * p * (n - p))
-    picked = by_term.where((c >= 2) & (c < n) & (a * n > c * p) & (a >= least_share * c)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2) if 0 < p < n else by_term.where("false").withColumn("chi2", F.lit(0.0))
-    marking = sorted(r["term"] for r in picked.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).select("term").collect())
-    terms = sorted(by_term.select("term").toArrow()["term"].to_pylist())  # the terms of at most ``most_examples`` texts
-    number = {t: i for i, t in enumerate(terms)}
-    narrow = np.full(len(terms), -1, dtype=np.int64)
-    narrow[[number[t] for t in marking]] = np.arange(len(marking))
+    sample = materialise(marks.orderBy(F.xxhash64("id"), "id").limit(most_examples), "sample")  # bounded, so it may be broadcast
+    known = rows.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    examples = materialise(_example_vectors(known), "examples")
 
-    vectors = materialise(_vectors(rows, terms), "vectors")
-    df = np.zeros(len(terms))
-    often = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # at most a row a term
-    df[often["t"].to_numpy()] = often["count"].to_numpy()
-    idf = np.log((1.0 + vectors.count()) / (1.0 + df)) + 1.0
-
-    own = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
-    labels_, ids = own["label"].to_numpy(), own["id"].to_numpy()
-    flat = [own[x].combine_chunks().flatten().to_numpy().astype(np.int32) for x in ("terms", "counts")]
+    own = examples.orderBy("id").toArrow()  # the distinct terms of at most ``most_examples`` texts
+    ids, label = own["id"].to_numpy(), own["label"].to_numpy()
     size = pc.list_value_length(own["terms"]).to_numpy().astype(np.int64)
-    index = AllTerms(size, *flat, labels_, ids, idf)
-    at = narrow[flat[0]]
-    cuts = np.cumsum(np.bincount(np.repeat(np.arange(len(ids)), size)[at >= 0], minlength=len(ids)))[:-1]
-    few = [[x.tolist() for x in np.split(y[at >= 0], cuts)] if len(ids) else [] for y in (at, flat[1])]
-    by_mark = _build(list(zip(*few, strict=True)), labels_.tolist(), ids.tolist(), marking, idf[narrow >= 0], block)
-    none = not len(ids)
-    number = own = flat = few = None
-    shared = spark.sparkContext.broadcast((index, by_mark, narrow))
-    nobody = np.zeros(0, dtype=np.int64), np.zeros(0)
-
-    def voted(batch, leave_out):
-        """Both votes of each row, and its neighbours over all terms; ``leave_out``: rows are examples, which do not vote on themselves."""
-        index, by_mark, narrow = shared.value
-        vectors = list(zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True))
-        row_of = {int(i): row for row, i in enumerate(index.ids)} if leave_out else {}
-        place = {int(i): row for row, i in enumerate(by_mark.ids)} if leave_out else {}
-        ids = batch["id"].to_pylist() if leave_out else [None] * len(vectors)
-        near = index.nearest([_weights(t, c, index.idf) for t, c in vectors], k, [row_of[i] for i in ids] if leave_out else None)
-        votes = np.zeros((len(vectors), 2))
-        for j, (t, c) in enumerate(vectors):
-            at = narrow[np.array(t, dtype=np.int64)]
-            few = at[at >= 0].tolist(), np.array(c, dtype=np.int64)[at >= 0].tolist()
-            marked = by_mark.nearest(*_weights(*few, by_mark.idf), k, place.get(ids[j], -1)) if few[0] else nobody
-            votes[j] = index.vote(*near[j], power), by_mark.vote(*marked, power)
-        return votes, near
+    terms, numbers = np.unique(own["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
+    numbers, counts = numbers.astype(np.int32), own["counts"].combine_chunks().flatten().to_numpy()
+    own = None
+
+    vectors = materialise(_vectors(rows, terms), "vectors")
+    df, n_docs = _document_frequencies(vectors, len(terms))
+    toxic = np.bincount(numbers, weights=np.repeat(label, size), minlength=len(terms))
+    factor = odds_factors(toxic, np.bincount(numbers, minlength=len(terms)), int(label.sum()), len(label))
+    weight = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * factor
+    given = size, numbers, counts, label, ids, weight, factor, block
+    shared = spark.sparkContext.broadcast(given)
+    held: list[Index] = []
+
+    def index() -> Index:
+        if not held:  # tasks build it from the examples, once each
+            held.append(Index(*shared.value))
+        return held[0]
 
     def left_out(batches):
         for batch in batches:
-            votes, _ = voted(batch, True)
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(votes[:, 0]), pa.array(votes[:, 1])], names=["label", "wide", "few"])
-
-    examples = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).repartition(n_groups(spark), "id")
-    fit = examples.mapInArrow(left_out, "label int, wide double, few double").toArrow().sort_by([("label", "ascending"), ("wide", "ascending"), ("few", "ascending")])
-    scale = _platt(np.column_stack([fit["wide"].to_numpy(), fit["few"].to_numpy()]), fit["label"].to_numpy().astype(np.float64))
+            x = index()
+            row_of = {int(i): row for row, i in enumerate(x.ids)}
+            n = pc.list_value_length(batch["terms"]).to_numpy().astype(np.int64)
+            t = np.searchsorted(terms_shared.value, batch["terms"].flatten().to_numpy().view(np.uint64))
+            near = x.nearest(n, t, x.weights(n, t, batch["counts"].flatten().to_numpy()), k, np.array([row_of[i] for i in batch["id"].to_pylist()], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array([x.vote(*own, power) for own in near], pa.float64())], names=["label", "vote"])
+
+    terms_shared = spark.sparkContext.broadcast(terms)
+    fit = examples.repartition(n_groups(spark), "id").mapInArrow(left_out, "label int, vote double").toArrow().sort_by([("label", "ascending"), ("vote", "ascending")])
+    slope, constant = _platt(fit["vote"].to_numpy(), fit["label"].to_numpy().astype(np.float64))
+    none = not len(ids)
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def judge(batches):
         for batch in batches:
-            votes, near = voted(batch, False)
-            index = shared.value[0]
-            scores = np.zeros(len(votes)) if none else 1.0 / (1.0 + np.exp(-(_log_odds(votes) @ scale[:2] + scale[2])))
-            evidence = [[{"id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(x)} for i, x in zip(*own, strict=True)] for own in near]
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["id", "score", "evidence"])
+            x = index()
+            n = pc.list_value_length(batch["terms"]).to_numpy().astype(np.int64)
+            t = batch["terms"].flatten().to_numpy()
+            near = x.nearest(n, t, x.weights(n, t, batch["counts"].flatten().to_numpy()), k)
+            votes = np.array([x.vote(*own, power) for own in near])
+            scores = np.zeros(len(votes)) if none else 1.0 / (1.0 + np.exp(-(_log_odds(votes) * slope + constant)))
+            at = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in near)])
+            cosines = np.concatenate([np.zeros(0), *(c for _, c in near)])
+            parts = pa.StructArray.from_arrays([pa.array(x.ids[at]), pa.array(x.labels[at].astype(np.int32)), pa.array(cosines)], fields=list(kind.value_type))
+            evidence = pa.ListArray.from_arrays(pa.array(_cuts(np.array([len(r) for r, _ in near], dtype=np.int64)), pa.int32()), parts)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64()), evidence], names=["id", "score", "evidence"])
+        release()
 
     out = vectors.mapInArrow(judge, "id long, score double, evidence array<struct<id: long, label: int, cosine: double>>")
     return out.withColumnRenamed("id", id_col)

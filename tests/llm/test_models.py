@@ -112,28 +112,28 @@ def test_toxicity_held_out_and_evidence(spark):
     assert all(e.id not in {r.doc_id for r in out} for r in out for e in r.evidence)
 
 
-def test_pruned_neighbours_equal_all_cosines():
+def test_nearest_examples_equal_all_cosines():
     rnd = np.random.default_rng(4)
-    vectors = []
-    for _ in range(500):
-        t = np.unique(rnd.integers(0, 60, rnd.integers(0, 6)))
-        vectors.append((t.tolist(), rnd.integers(1, 5, len(t)).tolist()))
-    idf = rnd.random(60) + 0.5
-    index = toxicity._build(vectors, [int(i % 2) for i in range(500)], list(range(500)), [str(i) for i in range(60)], idf, 16)
-    dense = np.zeros((len(index.ids), 60))
-    for row, i in enumerate(index.ids):
-        t, w = toxicity._weights(*vectors[i], idf)
-        dense[row, t] = w
-    for q in range(0, 500, 7):
-        t, w = toxicity._weights(*vectors[q], idf)
-        if not len(t):
-            continue
-        x = np.zeros(60)
-        x[t] = w
-        cos = dense @ x
-        want = np.sort(cos[cos > 0])[::-1][:15]
-        rows_, got = index.nearest(t, w, 15)
-        assert np.allclose(got, want) and np.allclose(cos[rows_], got)
+    n_terms = 400
+    own = [np.unique((n_terms * rnd.random(rnd.integers(0, 30)) ** 3).astype(np.int64)) for _ in range(700)]
+    size = np.array([len(t) for t in own])
+    terms, counts = np.concatenate(own), rnd.integers(1, 5, size.sum())
+    factor = np.where(rnd.random(n_terms) < 0.05, 8.0, 1.0)
+    weight = (rnd.random(n_terms) + 0.5) * factor
+    ids = rnd.permutation(600)
+    n = size[:600].sum()
+    index = toxicity.Index(size[:600], terms[:n].astype(np.int32), counts[:n], ids % 2, ids, weight, factor, block=16, most_columns=20)
+    dense = np.zeros((700, n_terms))
+    dense[np.repeat(np.arange(700), size), terms] = index.weights(size, terms, counts)
+    of = {int(i): row for row, i in enumerate(ids)}
+    for without in (None, np.array([{int(i): r for r, i in enumerate(index.ids)}[int(ids[x])] if x < 600 else -1 for x in range(700)])):
+        found = index.nearest(size, terms, index.weights(size, terms, counts), 15, without)
+        for q, (rows_, got) in enumerate(found):
+            cos = dense[:600] @ dense[q]
+            if without is not None and q < 600:
+                cos[q] = 0
+            assert np.allclose(got, np.sort(cos[cos > 0])[::-1][:15], atol=1e-9)
+            assert np.allclose(cos[[of[int(i)] for i in index.ids[rows_]]], got, atol=1e-9)
 
 
 def test_odd_rows_and_missing_labels(spark):
@@ -157,24 +157,12 @@ def test_chunks_never_cut_texts():
     assert all(isinstance(c, Chunk) for c in parts)
 
 
-def test_all_terms_search_equals_all_cosines():
-    rnd = np.random.default_rng(6)
-    idf = rnd.random(400) + 0.5
-    vectors = []
-    for _ in range(600):
-        t = np.unique((400 * rnd.random(rnd.integers(0, 30)) ** 3).astype(np.int64))
-        vectors.append((t.tolist(), rnd.integers(1, 5, len(t)).tolist()))
-    size = np.array([len(t) for t, _ in vectors[:500]])
-    flat = [np.array([x for v in vectors[:500] for x in v[j]], dtype=np.int32) for j in (0, 1)]
-    index = toxicity.AllTerms(size, *flat, np.arange(500) % 2, np.arange(500), idf, most_columns=20)
-    dense = np.zeros((600, 400))
-    for row, v in enumerate(vectors):
-        t, w = toxicity._weights(*v, idf)
-        dense[row, t] = w
-    found = index.nearest([toxicity._weights(*v, idf) for v in vectors], 15)
-    for q, (rows_, got) in enumerate(found):
-        cos = dense[:500] @ dense[q]
-        assert np.allclose(got, np.sort(cos[cos > 0])[::-1][:15], atol=1e-12) and np.allclose(cos[rows_], got, atol=1e-12)
+def test_terms_are_runs_of_letters():
+    import pyarrow as pa
+
+    texts = ["Straße, ÉTÉ! a1b\u00a0naïve “quoted”", None, "", "été straße", "x" * 3000]
+    found = [h.tolist() for c, h in toxicity.term_chunks(pa.array(texts))][0]
+    assert len(found) == 6 + 2 + 1 and found[1] == found[6] and found[0] == found[7]
 
 
 def test_toxicity_searches_every_text_with_terms_of_examples(spark):
