@@ -97,6 +97,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     """(id, n_shingles, key1, key2, regs): set size, 128-bit identity of the set, registers."""
 
     def sketch(batches):
+        release()
         for batch in batches:
             n, k1, k2, regs = [], [], [], []
             for s in shingle_sets(batch["text"], size):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import chunks, n_groups, window_hashes
+from changegraph.llm.text import chunks, n_groups, release, window_hashes
 
 #: Difference covers by period: every difference modulo the period is one of two members.
 COVERS = {1: (0,), 2: (0, 1), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -144,6 +144,8 @@ def remove_repeats(
             h, _, shared = _smallest(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
             out = [(b, x, (h[i] & _LOW).astype("<u4").tobytes(), np.packbits(shared[i]).tobytes()) for b, i in _by_bucket(h, buckets)]
             yield from _blobs(out).to_batches()
+        held.clear()
+        release()
 
     def shared_anchors(table):
         keys, sizes = _joined(table["keys"], "<u4")
@@ -236,6 +238,7 @@ def remove_repeats(
                     parts = [x for x, y in zip(parts, gone[c.word_bounds[i] : c.word_bounds[i + 1]].tolist(), strict=True) if not y]
                 kept.append(b" ".join(parts))
         text = pa.array(kept, type=pa.binary()).cast(pa.string())
+        release()
         return _with(pa.table([left["id"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], schema=out_schema), left, carried)
 
     repeated = rows.mapInArrow(anchors, _BLOBS).groupBy("bucket").applyInArrow(shared_anchors, _BLOBS)

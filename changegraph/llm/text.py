@@ -167,8 +167,14 @@ def in_remainder(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+#: What other modules remember in a worker and forget when it turns to other work.
+caches: list[dict] = []
+
+
 def release() -> None:
-    """At the end of a task: give what this worker has freed back to the machine, and its table of powers."""
+    """At the end of a task: forget what only other work needs, and give freed memory back to the machine."""
+    for cache in caches:
+        cache.clear()
     for base, have in list(_pow.items()):
         if len(have) > 2 * CHUNK_BYTES:
             del _pow[base]

@@ -35,16 +35,18 @@ def _filesystem(uri: str):
 
 
 def write_token_files(
-    docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 256 << 20
 ) -> DataFrame:
-    """Writes the shards to ``out_dir`` (a URI that all executors reach); returns the manifest.
+    """Writes shards of at most about ``shard_bytes`` of text to ``out_dir`` (a URI that all executors reach); returns the manifest.
 
     Manifest: (shard, bytes_per_id, n_docs, n_null, n_ids, base), base being the number of
     ids in all shards before it."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     order = [F.asc_nulls_first("id"), F.asc("h")]
-    rows = rows.repartitionByRange(2 * n_groups(docs.sparkSession), *order).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2 * n_groups(docs.sparkSession), -(-size // shard_bytes))
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def write(batches):
         enc = encoder(tokenizer_path)

@@ -12,8 +12,10 @@ import os
 import re
 from array import array
 
-#: Pieces that a worker remembers, with and without a leading space, before it starts anew.
-REMEMBERED = 1_000_000
+from changegraph.llm.text import caches
+
+#: Pieces that a worker remembers, with and without a leading space (each some 200 bytes), before it starts anew.
+REMEMBERED = 300_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Every white space character but space and line feed, after str.isspace.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
@@ -71,6 +73,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+caches.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:

@@ -96,6 +96,7 @@ def _vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(terms)  # 8 bytes a term of at most ``most_examples`` texts
 
     def count(batches):
+        release()
         known = shared.value
         bits = max(1, len(known).bit_length())
         begin = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
