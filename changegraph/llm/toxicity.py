@@ -74,26 +74,20 @@ def _lists(size: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(_cuts(size), pa.int32()), pa.array(values, kind))
 
 
-def _example_vectors(known: DataFrame) -> DataFrame:
-    """(id, label, terms, counts): the hashes of each example's distinct terms and how often each occurs."""
+def _example_terms(known: DataFrame) -> DataFrame:
+    """(term): the hashes of the examples' terms, each once."""
 
-    def count(batches):
+    def distinct(batches):
         for batch in batches:
-            for c, h in term_chunks(batch["text"]):
-                values, number = np.unique(h, return_inverse=True)
-                size, own, n = _counted(c.word_docs(), number, c.n)
-                rows = batch.slice(c.first, c.n)
-                yield pa.RecordBatch.from_arrays(
-                    [rows["id"], rows["label"], _lists(size, values[own].view(np.int64), pa.int64()), _lists(size, n, pa.int32())], names=["id", "label", "terms", "counts"]
-                )
+            for _, h in term_chunks(batch["text"]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["term"])
         release()
 
-    return known.select("id", "label", "text").mapInArrow(count, "id long, label int, terms array<long>, counts array<int>")
+    return known.select("text").mapInArrow(distinct, "term long").distinct()
 
 
-def _vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(id, terms, counts): the terms of each text that examples have, by number in the sorted ``terms``, and how often."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # 8 bytes a term of at most ``most_examples`` texts
+def _vectors(docs: DataFrame, shared) -> DataFrame:
+    """(id, terms, counts): the terms of each text that examples have, by number in the sorted terms that are broadcast, and how often."""
 
     def count(batches):
         release()
@@ -143,6 +137,16 @@ def odds_factors(toxic: np.ndarray, having: np.ndarray, n_toxic: int, n: int) ->
     return np.exp(np.maximum(np.abs(change) - 2 * np.sqrt(sum(1 / x for x in cells)), 0))
 
 
+class Shared:
+    """What an index is built from; a task that reads it gets the index, built once a worker."""
+
+    def __init__(self, *given):
+        self.given = given
+
+    def __reduce__(self):
+        return Index, self.given
+
+
 class Index:
     """Examples in blocks, with the largest weight of each term in each block.
 
@@ -156,53 +160,65 @@ class Index:
         columns = columns[often[columns] * 64 > n]
         self.column = np.full(len(weight), -1, dtype=np.int32)
         self.column[columns] = np.arange(len(columns))
-        row = np.repeat(np.arange(n), size)
-        w = (1.0 + np.log(counts)) * weight[terms]
-        # Like examples side by side make tight bounds: by the most telling term, then by the commonest ones (the language).
-        tells = np.where(factor[terms] > 1.5, w, 0.0)
-        first = _cuts(size)[:-1]
-        top = np.full(n, -1, dtype=np.int64)
-        by_weight = np.lexsort((-tells, row))
-        some = np.flatnonzero(size > 0)
-        top[some] = np.where(tells[by_weight[first[some]]] > 0, terms[by_weight[first[some]]], -1)
-        rank = np.where(self.column[terms] >= 0, self.column[terms], most_columns)
-        by_rank = np.lexsort((rank, row))
-        common = np.full((n, 2), most_columns)
-        common[some, 0] = rank[by_rank[first[some]]]
-        two = np.flatnonzero(size > 1)
-        common[two, 1] = rank[by_rank[first[two] + 1]]
-        order = np.lexsort((ids, common[:, 1], common[:, 0], top))
-        at = _ranges(first[order], size[order])
+        row = np.repeat(np.arange(n, dtype=np.int32), size)
+        w = self._of(counts, terms, weight)
+        order = self._order(size, terms, row, np.where(factor[terms] > 1.5, w, np.float32(0)), ids)
+        at = _ranges(_cuts(size)[:-1][order], size[order])
         self.size, self.terms, w = size[order], terms[at], w[at]
         self.first = _cuts(self.size)[:-1]
         self.labels, self.ids, self.weight = labels[order].astype(np.float64), ids[order], weight
-        row = np.repeat(np.arange(n), self.size)
-        self.own = w / np.sqrt(np.bincount(row, weights=w * w, minlength=n))[row]
+        row = np.repeat(np.arange(n, dtype=np.int32), self.size)
+        self.own = w / np.sqrt(np.bincount(row, weights=w * w, minlength=n)).astype(np.float32)[row]
         self.base = float((self.labels.sum() + 1) / (n + 2))
         self.starts = np.arange(0, max(n, 1), block)
         self.stops = np.minimum(self.starts + block, n)
         at = self.column[self.terms]
         self.largest = np.zeros((len(columns), len(self.starts)), dtype=np.float32)
         self.blocks = []
+        cuts = _cuts(self.size)
         for b, (i, j) in enumerate(zip(self.starts, self.stops, strict=True)):
-            p = np.flatnonzero((at >= 0) & (row >= i) & (row < j)) if n else np.zeros(0, np.int64)
+            p = np.flatnonzero(at[cuts[i] : cuts[j]] >= 0) + cuts[i]
             own, place = np.unique(at[p], return_inverse=True)
             dense = np.zeros((len(own), j - i), dtype=np.float32)
             dense[place, row[p] - i] = self.own[p]
             self.blocks.append((own, dense))
             if len(own):
                 self.largest[own, b] = dense.max(axis=1)
-        left = np.flatnonzero(at < 0)
+        left = np.flatnonzero(at < 0).astype(np.int32)
         left = left[np.argsort(self.terms[left], kind="stable")]
-        self.rows, self.posted = row[left].astype(np.int64), self.own[left].astype(np.float32)
+        self.rows, self.posted = row[left], self.own[left]
         self.begin = np.searchsorted(self.terms[left], np.arange(len(weight) + 1))
         self.scratch = np.zeros(len(weight))
 
+    @staticmethod
+    def _of(counts, terms, weight) -> np.ndarray:
+        w = np.log(counts.astype(np.float32))
+        w += 1
+        w *= weight.astype(np.float32)[terms]
+        return w
+
+    def _order(self, size, terms, row, tells, ids) -> np.ndarray:
+        """Like examples side by side make tight bounds: by the most telling term, then by the two commonest ones (the language)."""
+        n, none = len(size), len(self.column)
+        some = np.flatnonzero(size > 0)
+        first = _cuts(size)[:-1][some]
+        top, common = np.full(n, -1, dtype=np.int64), np.full((n, 2), none)
+        if len(some):
+            most = np.zeros(n, dtype=np.float32)
+            most[some] = np.maximum.reduceat(tells, first)
+            at = np.flatnonzero((tells > 0) & (tells == most[row]))
+            top[row[at]] = terms[at]
+            rank = np.where(self.column[terms] >= 0, self.column[terms], none)
+            for k in range(2):
+                common[some, k] = np.minimum.reduceat(rank, first)
+                rank[rank == common[:, k][row]] = none
+        return np.lexsort((ids, common[:, 1], common[:, 0], top))
+
     def weights(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of the terms of some texts, of length 1 a text."""
         row = np.repeat(np.arange(len(size)), size)
-        w = (1.0 + np.log(counts)) * self.weight[terms]
-        return w / np.sqrt(np.bincount(row, weights=w * w, minlength=len(size)))[row]
+        w = self._of(counts, terms, self.weight)
+        return w / np.sqrt(np.bincount(row, weights=w * w, minlength=len(size))).astype(np.float32)[row]
 
     def nearest(self, size: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, cosines) of the k nearest examples of each text with a cosine above 0, nearest first; ties by id."""
@@ -305,50 +321,46 @@ def score_toxicity(
     marks = marks.groupBy(F.col(label_id).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = materialise(marks.orderBy(F.xxhash64("id"), "id").limit(most_examples), "sample")  # bounded, so it may be broadcast
     known = rows.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    examples = materialise(_example_vectors(known), "examples")
+    known = materialise(known, "known")
+    share = spark.sparkContext.broadcast
+
+    terms = np.sort(_example_terms(known).toArrow()["term"].to_numpy().view(np.uint64))  # of at most ``most_examples`` texts
+    n_terms, terms = len(terms), share(terms)
+    examples = materialise(_vectors(known, terms).join(F.broadcast(sample), "id"), "examples")
+    vectors = materialise(_vectors(rows, terms), "vectors")
+    df, n_docs = _document_frequencies(vectors, n_terms)
 
-    own = examples.orderBy("id").toArrow()  # the distinct terms of at most ``most_examples`` texts
+    own = examples.select("id", "label", "terms", "counts").orderBy("id").toArrow()  # 8 bytes a term of an example
     ids, label = own["id"].to_numpy(), own["label"].to_numpy()
     size = pc.list_value_length(own["terms"]).to_numpy().astype(np.int64)
-    terms, numbers = np.unique(own["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
-    numbers, counts = numbers.astype(np.int32), own["counts"].combine_chunks().flatten().to_numpy()
-    own = None
-
-    vectors = materialise(_vectors(rows, terms), "vectors")
-    df, n_docs = _document_frequencies(vectors, len(terms))
-    toxic = np.bincount(numbers, weights=np.repeat(label, size), minlength=len(terms))
-    factor = odds_factors(toxic, np.bincount(numbers, minlength=len(terms)), int(label.sum()), len(label))
+    numbers, counts = (own[c].combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
+    toxic = np.bincount(numbers[np.repeat(label == 1, size)], minlength=n_terms)
+    factor = odds_factors(toxic, np.bincount(numbers, minlength=n_terms), int(label.sum()), len(label))
     weight = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * factor
-    given = size, numbers, counts, label, ids, weight, factor, block
-    shared = spark.sparkContext.broadcast(given)
-    held: list[Index] = []
+    none, shared = not len(ids), share(Shared(size, numbers, counts, label, ids, weight, factor, block))
+    own = numbers = counts = None
 
-    def index() -> Index:
-        if not held:  # tasks build it from the examples, once each
-            held.append(Index(*shared.value))
-        return held[0]
+    def nearest(batch, without=None):
+        x = shared.value
+        n = pc.list_value_length(batch["terms"]).to_numpy().astype(np.int64)
+        t = batch["terms"].flatten().to_numpy()
+        return x, x.nearest(n, t, x.weights(n, t, batch["counts"].flatten().to_numpy()), k, without)
 
     def left_out(batches):
+        row_of = {int(i): row for row, i in enumerate(shared.value.ids)}
         for batch in batches:
-            x = index()
-            row_of = {int(i): row for row, i in enumerate(x.ids)}
-            n = pc.list_value_length(batch["terms"]).to_numpy().astype(np.int64)
-            t = np.searchsorted(terms_shared.value, batch["terms"].flatten().to_numpy().view(np.uint64))
-            near = x.nearest(n, t, x.weights(n, t, batch["counts"].flatten().to_numpy()), k, np.array([row_of[i] for i in batch["id"].to_pylist()], dtype=np.int64))
+            x, near = nearest(batch, np.array([row_of[i] for i in batch["id"].to_pylist()], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array([x.vote(*own, power) for own in near], pa.float64())], names=["label", "vote"])
+        release()
 
-    terms_shared = spark.sparkContext.broadcast(terms)
-    fit = examples.repartition(n_groups(spark), "id").mapInArrow(left_out, "label int, vote double").toArrow().sort_by([("label", "ascending"), ("vote", "ascending")])
+    fit = examples.select("id", "label", "terms", "counts").repartition(n_groups(spark), "id").mapInArrow(left_out, "label int, vote double")
+    fit = fit.toArrow().sort_by([("label", "ascending"), ("vote", "ascending")])  # two numbers an example
     slope, constant = _platt(fit["vote"].to_numpy(), fit["label"].to_numpy().astype(np.float64))
-    none = not len(ids)
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def judge(batches):
         for batch in batches:
-            x = index()
-            n = pc.list_value_length(batch["terms"]).to_numpy().astype(np.int64)
-            t = batch["terms"].flatten().to_numpy()
-            near = x.nearest(n, t, x.weights(n, t, batch["counts"].flatten().to_numpy()), k)
+            x, near = nearest(batch)
             votes = np.array([x.vote(*own, power) for own in near])
             scores = np.zeros(len(votes)) if none else 1.0 / (1.0 + np.exp(-(_log_odds(votes) * slope + constant)))
             at = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in near)])
