@@ -170,16 +170,16 @@ class Index:
         row = np.repeat(np.arange(n, dtype=np.int32), self.size)
         self.own = w / np.sqrt(np.bincount(row, weights=w * w, minlength=n)).astype(np.float32)[row]
         self.base = float((self.labels.sum() + 1) / (n + 2))
-        self.starts = np.arange(0, max(n, 1), block)
-        self.stops = np.minimum(self.starts + block, n)
+        self.block, n_blocks = block, max(1, -(-n // block))
         at = self.column[self.terms]
-        self.largest = np.zeros((len(columns), len(self.starts)), dtype=np.float32)
+        self.largest = np.zeros((len(columns), n_blocks), dtype=np.float32)
         self.blocks = []
         cuts = _cuts(self.size)
-        for b, (i, j) in enumerate(zip(self.starts, self.stops, strict=True)):
+        for b in range(n_blocks):
+            i, j = b * block, min(b * block + block, n)
             p = np.flatnonzero(at[cuts[i] : cuts[j]] >= 0) + cuts[i]
             own, place = np.unique(at[p], return_inverse=True)
-            dense = np.zeros((len(own), j - i), dtype=np.float32)
+            dense = np.zeros((len(own), block), dtype=np.float32)  # the last block is filled up with nothing
             dense[place, row[p] - i] = self.own[p]
             self.blocks.append((own, dense))
             if len(own):
@@ -198,7 +198,7 @@ class Index:
         return w
 
     def _order(self, size, terms, row, tells, ids) -> np.ndarray:
-        """Like examples side by side make tight bounds: by the most telling term, then by the two commonest ones (the language)."""
+        """Like examples side by side make tight bounds: by the commonest term (the language), the most telling one, the next common one."""
         n, none = len(size), len(self.column)
         some = np.flatnonzero(size > 0)
         first = _cuts(size)[:-1][some]
@@ -212,7 +212,7 @@ class Index:
             for k in range(2):
                 common[some, k] = np.minimum.reduceat(rank, first)
                 rank[rank == common[:, k][row]] = none
-        return np.lexsort((ids, common[:, 1], common[:, 0], top))
+        return np.lexsort((ids, common[:, 1], top, common[:, 0]))
 
     def weights(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of the terms of some texts, of length 1 a text."""
@@ -232,30 +232,33 @@ class Index:
         return out
 
     def _batch(self, size, terms, w, k, without):
-        q, n = len(size), len(self.ids)
-        query, at = np.repeat(np.arange(q), size), self.column[terms]
+        q, block, n_blocks = len(size), self.block, len(self.blocks)
+        query, at, cuts = np.repeat(np.arange(q), size), self.column[terms], _cuts(size)
         dense = np.zeros((q, len(self.largest)), dtype=np.float32)
         dense[query[at >= 0], at[at >= 0]] = w[at >= 0]
-        rare = np.flatnonzero(at < 0)
-        begin = self.begin[terms[rare]]
-        listed = self.begin[terms[rare] + 1] - begin
-        places = _ranges(begin, listed)
-        score = np.bincount(np.repeat(query[rare] * n, listed) + self.rows[places], weights=np.repeat(w[rare], listed) * self.posted[places], minlength=q * n)
-        score = score.astype(np.float32).reshape(q, n)
-        bound = dense @ self.largest + np.maximum.reduceat(score, self.starts, axis=1)
+        score = np.empty((q, n_blocks * block), dtype=np.float32)
+        for x in range(q):
+            own = slice(cuts[x], cuts[x + 1])
+            rare = at[own] < 0
+            t = terms[own][rare]
+            begin = self.begin[t]
+            listed = self.begin[t + 1] - begin
+            places = _ranges(begin, listed)
+            score[x] = np.bincount(self.rows[places], weights=np.repeat(w[own][rare], listed) * self.posted[places], minlength=n_blocks * block)
+        score = score.reshape(q, n_blocks, block)
+        bound = dense @ self.largest + score.max(axis=2)
         least, done = np.zeros(q, dtype=np.float32), np.zeros(bound.shape, dtype=bool)
 
         def visit(b: int, some: np.ndarray) -> None:
-            i, j = self.starts[b], self.stops[b]
             columns, matrix = self.blocks[b]
-            own = dense[np.ix_(some, columns)] @ matrix + score[some, i:j]
+            own = dense[np.ix_(some, columns)] @ matrix + score[some, b]
             if without is not None:
-                out = np.flatnonzero((without[some] >= i) & (without[some] < j))
-                own[out, without[some[out]] - i] = 0.0
-            score[some, i:j] = own
+                out = np.flatnonzero(without[some] // block == b)
+                own[out, without[some[out]] % block] = 0.0
+            score[some, b] = own
             done[some, b] = True
-            if j - i >= k:
-                least[some] = np.maximum(least[some], np.partition(own, j - i - k, axis=1)[:, j - i - k])
+            if block >= k:
+                least[some] = np.maximum(least[some], np.partition(own, block - k, axis=1)[:, block - k])
 
         best = bound.argmax(axis=1)
         for b in np.unique(best):
@@ -264,12 +267,10 @@ class Index:
             some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= least - 1e-4) & ~done[:, b])
             if len(some):
                 visit(b, some)
-        cuts, out = _cuts(size), []
-        for x in range(q):
-            some = [np.flatnonzero(score[x, self.starts[b] : self.stops[b]] > max(least[x] - 1e-4, 0)) + self.starts[b] for b in np.flatnonzero(done[x])]
-            own = slice(cuts[x], cuts[x + 1])
-            out.append(self._exact(terms[own], w[own], np.concatenate(some) if some else np.zeros(0, np.int64), score[x], k))
-        return out
+        score[~done] = 0.0
+        score = score.reshape(q, n_blocks * block)
+        rows = (np.flatnonzero(score[x] > max(least[x] - 1e-4, 0)) for x in range(q))
+        return [self._exact(terms[cuts[x] : cuts[x + 1]], w[cuts[x] : cuts[x + 1]], own, score[x], k) for x, own in enumerate(rows)]
 
     def _exact(self, terms, w, rows, score, k):
         """The k nearest of ``rows``, whose sums of single precision are summed again."""
