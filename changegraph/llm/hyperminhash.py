@@ -212,14 +212,20 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
-def _mixed(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the bands that hold several components, with the band's largest one."""
-    placed = shared.where("members > 2").join(comp, "id", "left").select("band", "no", "id", "hub", F.coalesce("component", "id").alias("component"))
+def _mixed(shared: DataFrame, tried: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the bands that hold several components, with the band's largest one.
+
+    Such a band has a member in another component than its hub (``tried``: hub a, member b and
+    their bands), so bands inside one component are left out before their members are looked up."""
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    apart = tried.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)")
+    apart = materialise(apart.select(F.explode("bands").alias("band")).distinct(), "apart")
+    placed = shared.where("members > 2").join(apart, "band").join(comp, "id", "left")
+    placed = materialise(placed.select("band", "no", "id", "hub", F.coalesce("component", "id").alias("component")), "placed")
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n_all"), F.max("n").alias("n_largest")
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n_all"), F.max("n").alias("n_largest")
     )
-    sizes = materialise(sizes.where("parts > 1"), "sizes")
-    return materialise(placed.join(sizes, "band"), "mixed")
+    return materialise(placed.join(materialise(sizes, "sizes"), "band"), "mixed")
 
 
 def _probes(mixed: DataFrame, turn: int) -> DataFrame:
@@ -320,7 +326,7 @@ def near_duplicates(
     every = bands(reps)
     hubs = every.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = materialise(every.join(materialise(hubs, "hubs"), "band"), "bands")
-    tried = materialise(shared.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")), "tried")
+    tried = materialise(shared.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"), F.collect_list("band").alias("bands")), "tried")
     links: list[DataFrame] = []
 
     def link(likely: DataFrame) -> bool:
@@ -340,12 +346,12 @@ def near_duplicates(
     if link(_likely(other.select("a", "b"), reps, least)):
         comp = components(reduce(DataFrame.union, links))
     for turn in range(most_turns):
-        mixed = _mixed(shared, comp)
+        mixed = _mixed(shared, tried, comp)
         if not link(_likely(_probes(mixed, turn), reps, least)):
             break
         comp = components(reduce(DataFrame.union, links))
     else:
-        mixed = _mixed(shared, comp)
+        mixed = _mixed(shared, tried, comp)
     if mixed.limit(1).count():
         found = materialise(_apart(mixed, reps, lambda ids: _sets(docs, ids, id_col, text_col, shingle), least, percent), "links")
         if found.limit(1).count():

@@ -11,9 +11,8 @@ that no term is dropped).
 The index is in blocks of like examples. Terms that many examples have are columns of a small
 dense matrix a block, the others are posting lists. A batch of queries takes, block by block,
 the sum of the largest weights as a bound, starts with each query's best block, and then
-visits only blocks whose bound reaches the k-th best cosine so far. The candidates' cosines
-are summed again in full precision, so the neighbours found are exactly the nearest, and they
-are the evidence.
+visits only blocks whose bound reaches the k-th best cosine so far, so the neighbours found
+are exactly the nearest (weights and sums are of single precision), and they are the evidence.
 
 Neighbours vote with weight cosine ** power, together with a prior of one vote at the
 sample's base rate. A logistic regression fitted on the votes for the examples (leaving each
@@ -41,7 +40,7 @@ from changegraph.llm.text import Chunk, chunks, materialise, n_groups, release
 #: At most so many labelled documents are examples; the rest of the labels is not used.
 MOST_EXAMPLES = 20_000
 #: At most so many terms are columns of dense matrices; the others are posting lists.
-MOST_COLUMNS = 256
+MOST_COLUMNS = 512
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,7 +156,7 @@ class Index:
         n = len(ids)
         often = np.bincount(terms, minlength=len(weight))
         columns = np.argsort(-often, kind="stable")[:most_columns]
-        columns = columns[often[columns] * 64 > n]
+        columns = columns[often[columns] * 256 > n]
         self.column = np.full(len(weight), -1, dtype=np.int32)
         self.column[columns] = np.arange(len(columns))
         row = np.repeat(np.arange(n, dtype=np.int32), size)
@@ -188,7 +187,6 @@ class Index:
         left = left[np.argsort(self.terms[left], kind="stable")]
         self.rows, self.posted = row[left], self.own[left]
         self.begin = np.searchsorted(self.terms[left], np.arange(len(weight) + 1))
-        self.scratch = np.zeros(len(weight))
 
     @staticmethod
     def _of(counts, terms, weight) -> np.ndarray:
@@ -225,8 +223,8 @@ class Index:
         if not len(self.ids):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(size)
         cuts, out = _cuts(size), []
-        for i in range(0, len(size), 64):
-            j = min(i + 64, len(size))
+        for i in range(0, len(size), 128):
+            j = min(i + 128, len(size))
             own = slice(cuts[i], cuts[j])
             out += self._batch(size[i:j], terms[own], w[own], k, None if without is None else without[i:j])
         return out
@@ -270,18 +268,16 @@ class Index:
         score[~done] = 0.0
         score = score.reshape(q, n_blocks * block)
         rows = (np.flatnonzero(score[x] > max(least[x] - 1e-4, 0)) for x in range(q))
-        return [self._exact(terms[cuts[x] : cuts[x + 1]], w[cuts[x] : cuts[x + 1]], own, score[x], k) for x, own in enumerate(rows)]
+        return [self._top(own, score[x], k) for x, own in enumerate(rows)]
 
-    def _exact(self, terms, w, rows, score, k):
-        """The k nearest of ``rows``, whose sums of single precision are summed again."""
+    def _top(self, rows, score, k):
+        """The k nearest of ``rows``."""
+        cosines = score[rows]
         if len(rows) > k:
-            rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k] - 1e-4]
-        self.scratch[terms] = w
-        at = _ranges(self.first[rows], self.size[rows])
-        cosines = np.bincount(np.repeat(np.arange(len(rows)), self.size[rows]), weights=self.own[at] * self.scratch[self.terms[at]], minlength=len(rows))
-        self.scratch[terms] = 0.0
+            some = np.flatnonzero(cosines >= np.partition(cosines, len(rows) - k)[len(rows) - k])
+            rows, cosines = rows[some], cosines[some]
         top = np.lexsort((self.ids[rows], -cosines))[:k]
-        return rows[top], cosines[top]
+        return rows[top], np.minimum(cosines[top].astype(np.float64), 1.0)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray, power: float) -> float:
         w = cosines**power
