@@ -161,13 +161,21 @@ class Index:
         self.column[columns] = np.arange(len(columns))
         row = np.repeat(np.arange(n, dtype=np.int32), size)
         w = self._of(counts, terms, weight)
-        order = self._order(size, terms, row, np.where(factor[terms] > 1.5, w, np.float32(0)), ids)
-        at = _ranges(_cuts(size)[:-1][order], size[order])
-        self.size, self.terms, w = size[order], terms[at], w[at]
+        order = self._order(size, terms, row, np.where((factor > 1.5)[terms], w, np.float32(0)), ids)
+        # Positions in the new order, in 32 bits: these arrays are the largest that a worker holds.
+        begin, self.size = _cuts(size)[:-1][order], size[order]
         self.first = _cuts(self.size)[:-1]
+        at = np.repeat((begin - self.first).astype(np.int32), self.size)
+        at += np.arange(len(at), dtype=np.int32)
+        self.terms, w = terms[at], w[at]
+        at = None
         self.labels, self.ids, self.weight = labels[order].astype(np.float64), ids[order], weight
         row = np.repeat(np.arange(n, dtype=np.int32), self.size)
-        self.own = w / np.sqrt(np.bincount(row, weights=w * w, minlength=n)).astype(np.float32)[row]
+        norm, some = np.ones(n), np.flatnonzero(self.size)
+        if len(some):
+            norm[some] = np.sqrt(np.add.reduceat(w * w, self.first[some], dtype=np.float64))
+        w /= norm.astype(np.float32)[row]
+        self.own = w
         self.base = float((self.labels.sum() + 1) / (n + 2))
         self.block, n_blocks = block, max(1, -(-n // block))
         at = self.column[self.terms]
