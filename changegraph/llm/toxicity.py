@@ -205,16 +205,17 @@ class Index:
 
     def _order(self, size, terms, row, tells, ids) -> np.ndarray:
         """Like examples side by side make tight bounds: by the commonest term (the language), the most telling one, the next common one."""
-        n, none = len(size), len(self.column)
+        n, none = len(size), MOST_COLUMNS
         some = np.flatnonzero(size > 0)
         first = _cuts(size)[:-1][some]
-        top, common = np.full(n, -1, dtype=np.int64), np.full((n, 2), none)
+        top, common = np.full(n, -1, dtype=np.int64), np.full((n, 2), none, dtype=np.int16)
         if len(some):
             most = np.zeros(n, dtype=np.float32)
             most[some] = np.maximum.reduceat(tells, first)
             at = np.flatnonzero((tells > 0) & (tells == most[row]))
             top[row[at]] = terms[at]
-            rank = np.where(self.column[terms] >= 0, self.column[terms], none)
+            at = tells = None
+            rank = np.where(self.column >= 0, self.column, none).astype(np.int16)[terms]
             for k in range(2):
                 common[some, k] = np.minimum.reduceat(rank, first)
                 rank[rank == common[:, k][row]] = none
