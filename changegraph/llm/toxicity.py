@@ -192,9 +192,11 @@ class Index:
             if len(own):
                 self.largest[own, b] = dense.max(axis=1)
         left = np.flatnonzero(at < 0).astype(np.int32)
-        left = left[np.argsort(self.terms[left], kind="stable")]
+        at = self.terms[left]
+        self.begin = _cuts(np.bincount(at, minlength=len(weight)))
+        left = left[np.argsort(at, kind="stable")]
+        at = None
         self.rows, self.posted = row[left], self.own[left]
-        self.begin = np.searchsorted(self.terms[left], np.arange(len(weight) + 1))
 
     @staticmethod
     def _of(counts, terms, weight) -> np.ndarray:
