@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 # Languages by file extension.
 LANGUAGES = {
-    "java": "java", "kt": "kotlin", "kts": "kotlin", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "py": "python",
-    "rs": "rust", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift",
-    "scala": "scala", "html": "html", "css": "css", "scss": "scss", "json": "json", "xml": "xml", "yaml": "yaml", "yml": "yaml", "toml": "toml",
-    "md": "markdown", "sql": "sql", "sh": "bash", "properties": "properties",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "html": "html", "htm": "html", "css": "css", "scss": "scss",
+    "json": "json", "yml": "yaml", "yaml": "yaml", "xml": "xml", "properties": "properties", "sql": "sql", "md": "markdown", "rs": "rust", "py": "python",
+    "go": "go", "sh": "shell", "bash": "shell", "zsh": "shell", "toml": "toml", "gradle": "groovy",
 }
 # Globs of generated files.
 GENERATED = (
-    "**/generated/**", "**/dist/**", "**/build/**", "**/target/**", "**/node_modules/**", "**/vendor/**", "**/*.min.js", "**/*.min.css",
-    "**/*.map", "**/*.snap", "**/*.pb.go", "**/*_pb2.py", "**/*.lock", "**/package-lock.json", "**/pnpm-lock.yaml", "**/go.sum",
+    "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/bun.lockb", "**/Cargo.lock", "**/gradle.lockfile", "**/gradle/wrapper/**", "**/gradlew",
+    "**/gradlew.bat", "**/mvnw", "**/mvnw.cmd", "**/.mvn/wrapper/**", "**/*.min.js", "**/*.min.css", "**/*.map", "**/*.snap", "**/generated/**",
+    "**/generated-sources/**", "**/__generated__/**", "**/*.generated.*", "**/*.g.dart", "**/*.pb.go",
 )
 # Directories of tests and endings of test file names.
 TEST_DIRS = ("test", "tests", "__tests__", "e2e", "androidTest", "testFixtures", "integrationTest")
@@ -91,36 +92,48 @@ def split_path(path: Column) -> Column:
     )
 
 
-# Layers by pattern of the lower-cased path; the first that fits wins.
+# Layers of the lower-cased path; the first that fits wins. Parts of the path, then extensions, then whole file names.
 LAYERS = (
-    ("tests", r"(^|/)(tests?|__tests__|e2e)/|\.(spec|test)\.|(test|tests|it)\.(java|kt)$"),
-    ("persistence", r"repositor|(^|/)(dao|persistence|migrations?)/|\.sql$"),
-    ("model", r"(^|/)(models?|entit(y|ies)|domain|dto)/"),
-    ("build", r"(^|/)(pom\.xml|build\.gradle(\.kts)?|package\.json|cargo\.toml|dockerfile|makefile)$|(^|/)\.github/"),
-    ("docs", r"(^|/)docs?/|\.(md|adoc|rst|txt)$"),
-    ("config", r"(^|/)config/|\.(ya?ml|properties|toml|ini|json)$"),
-    ("api", r"(^|/)(controllers?|api|rest|routes?)/|controller\."),
-    ("ui", r"(^|/)(components?|views?|pages|ui)/|\.(html|css|scss|tsx|jsx|vue)$"),
-    ("service", r"(^|/)services?/|service\."),
+    ("tests", ("test", "spec", "/e2e/", "fixture"), (), ()),
+    ("persistence", ("migration", "changelog", "flyway", "liquibase", "repositor", "/dao"), ("sql",), ()),
+    ("model", ("model", "entity", "entities", "domain", "dto"), (), ()),
+    (
+        "build", (".github/", ".gitlab-ci", "ci/"), ("cmake", "gradle", "kts"),
+        ("pom.xml", "build.gradle", "build.gradle.kts", "package.json", "cargo.toml", "cmakelists.txt", "makefile", "dockerfile"),
+    ),
+    ("docs", ("docs/", "doc/"), ("md", "adoc", "rst", "txt"), ()),
+    ("config", ("config",), ("yml", "yaml", "properties", "toml", "json", "xml", "ini", "conf", "env"), ()),
+    ("api", ("controller", "/api/", "resource", "endpoint", "/rest/", "route"), (), ()),
+    ("ui", ("component", "/ui/", "/pages/", "/views/"), ("html", "css", "scss", "less", "tsx", "jsx", "vue"), ()),
+    ("service", ("service", "usecase", "use-case", "application"), (), ()),
 )
 
 
 def guess_layer(path: Column) -> Column:
-    out = F.lit("core")
-    for name, pattern in reversed(LAYERS):
-        out = F.when(F.lower(path).rlike(pattern), name).otherwise(out)
+    lower, out = F.lower(path), F.lit("core")
+    name = file_name(lower)
+    ext = F.regexp_extract(name, r"\.([^.]*)$", 1)
+    for layer, parts, extensions, names in reversed(LAYERS):
+        fits = F.lit(False)
+        for x in parts:
+            fits = fits | lower.contains(x)
+        out = F.when(fits | ext.isin(*extensions) | name.isin(*names), layer).otherwise(out)
     return out
 
 
-# Ranks of layers by word prefix; others have rank 1.
-LAYER_RANKS = ((3, "test|doc"), (2, "api|ui|front|view|component|page|controller"), (0, "model|persist|config|entit|domain|repositor|schema|data"))
+# Ranks of layers by word prefix, the first that fits; others have rank 1.
+LAYER_RANKS = (
+    (3, ("test", "spec", "e2e", "fixture", "docs", "documentation", "example", "sample", "bench")),
+    (2, ("api", "controller", "endpoint", "rest", "route", "web", "ui", "front", "view", "component", "page", "cli", "entry", "handler", "job", "consumer", "listener")),
+    (0, ("model", "entit", "domain", "schema", "persist", "database", "db", "migration", "repositor", "dao", "config", "contract", "type", "dto", "build", "depend")),
+)
 
 
 def layer_rank(layer: Column) -> Column:
     words = F.split(F.lower(layer), "[^a-z0-9]+")
     out = F.lit(1)
     for rank, prefixes in reversed(LAYER_RANKS):
-        out = F.when(_any_prefix(words, prefixes), rank).otherwise(out)
+        out = F.when(_any_prefix(words, "|".join(prefixes)), rank).otherwise(out)
     return out
 
 

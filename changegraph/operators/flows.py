@@ -67,20 +67,20 @@ def impacted_flows(steps: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def compare_flows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(entry_id, status, added, removed): flows that are new, removed, changed or same between two lists of steps."""
-    own = lambda df, name: df.select("entry_id", "symbol_id").distinct().withColumn(name, F.lit(True))
-    rows = own(before, "_b").join(own(after, "_a"), ["entry_id", "symbol_id"], "full_outer")
-    out = rows.groupBy("entry_id").agg(
+    """(snapshot_id, entry_id, status, added, removed): flows that are new, removed, changed or same between two lists of steps."""
+    own = lambda df, name: df.select(P, "entry_id", "symbol_id").distinct().withColumn(name, F.lit(True))
+    rows = own(before, "_b").join(own(after, "_a"), [P, "entry_id", "symbol_id"], "full_outer")
+    out = rows.groupBy(P, "entry_id").agg(
         F.count_if("_b").alias("_nb"), F.count_if("_a").alias("_na"), F.count_if(F.col("_b").isNull()).alias("added"), F.count_if(F.col("_a").isNull()).alias("removed")
     )
     status = F.when(F.col("_nb") == 0, "new").when(F.col("_na") == 0, "removed").when((F.col("added") > 0) | (F.col("removed") > 0), "changed").otherwise("same")
-    return out.select("entry_id", status.alias("status"), "added", "removed")
+    return out.select(P, "entry_id", status.alias("status"), "added", "removed")
 
 
 def group_edges(members: DataFrame, edges: DataFrame, least: float = 0.3) -> DataFrame:
-    """(review_id, a, b): group a depends on group b through the symbols of their hunks. members: (review_id, group_id, symbol_id)."""
-    side = lambda name, key: members.select("review_id", F.col("group_id").alias(name), F.col("symbol_id").alias(key)).distinct()
-    rows = edges.where(F.col("confidence") >= least).join(side("a", "from_id"), "from_id").join(side("b", "to_id"), ["review_id", "to_id"])
+    """(review_id, a, b): group a depends on group b through the symbols of their hunks. members: (snapshot_id, review_id, group_id, symbol_id)."""
+    side = lambda name, key: members.select(P, "review_id", F.col("group_id").alias(name), F.col("symbol_id").alias(key)).distinct()
+    rows = edges.where(F.col("confidence") >= least).join(side("a", "from_id"), [P, "from_id"]).join(side("b", "to_id"), [P, "review_id", "to_id"])
     return rows.where("a <> b").select("review_id", "a", "b").distinct()
 
 

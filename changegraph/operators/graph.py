@@ -237,6 +237,21 @@ def callers(edges: DataFrame, overrides: DataFrame) -> DataFrame:
     return direct.unionByName(through).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def tests_of(edges: DataFrame, symbols: DataFrame, above: DataFrame) -> DataFrame:
+    """(symbol_id, test_id, confidence, line, via): direct tests, and test classes and files of the types around a symbol at half the confidence.
+
+    above: (symbol_id, ancestor_id) as ``ancestors`` gives. One row for a symbol and a test, the surest."""
+    tests = edges.where("kind = 'tests'").select(P, "from_id", "to_id", "confidence", "line")
+    direct = tests.select(P, F.col("to_id").alias("symbol_id"), F.col("from_id").alias("test_id"), "confidence", "line", F.lit(None).cast("string").alias("via"))
+    whole = symbols.where(F.col("kind").isin(*TYPE_KINDS, "file")).select(P, F.col("symbol_id").alias("from_id"))
+    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(P, F.col("symbol_id").alias("to_id"))
+    around = above.select(P, "symbol_id", F.col("ancestor_id").alias("to_id")).join(types, [P, "to_id"], "left_semi")
+    outer = around.join(tests.join(whole, [P, "from_id"], "left_semi"), [P, "to_id"])
+    outer = outer.select(P, "symbol_id", F.col("from_id").alias("test_id"), (F.col("confidence") * 0.5).alias("confidence"), "line", F.col("to_id").alias("via"))
+    w = Window.partitionBy(P, "symbol_id", "test_id").orderBy(F.desc("confidence"), F.asc_nulls_first("via"), "line")
+    return direct.unionByName(outer).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int | None = 3000) -> DataFrame:
     """(symbol_id, dist): undirected expansion by ``hops``; at most ``cap`` symbols a snapshot, nearest first (the feature's own limit; None: all)."""
     both = edges.select(P, "from_id", "to_id").union(edges.select(P, F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))

@@ -82,13 +82,19 @@ def aside_summary(classes: DataFrame, k: int = 8) -> DataFrame:
 def word_inventory(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, word): distinct identifiers, of the asked names only if given."""
     out = texts.select("snapshot_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("word")).distinct()
-    return out if names is None else out.join(names.select("word").distinct(), "word", "left_semi").select("snapshot_id", "word")
+    key = ["snapshot_id", "word"]
+    return out if names is None else out.join(names.select(*key).distinct(), key, "left_semi").select(*key)
 
 
 def confirm_renames(pairs: DataFrame, base_words: DataFrame, head_words: DataFrame) -> DataFrame:
-    """(review_id, old, new): pairs whose old name is gone from the head and whose new one was not in the base."""
-    gone = pairs.join(head_words.select(F.col("word").alias("old")).distinct(), "old", "left_anti")
-    return gone.join(base_words.select(F.col("word").alias("new")).distinct(), "new", "left_anti").select("review_id", "old", "new").distinct()
+    """(review_id, hunk_id, old, new) of hunks all of whose pairs are confirmed: the old name is gone from the review's head and the new one was not in its base.
+
+    pairs: (review_id, hunk_id, old, new); words: (review_id, word)."""
+    there = head_words.select("review_id", F.col("word").alias("old")).distinct().withColumn("_there", F.lit(True))
+    was = base_words.select("review_id", F.col("word").alias("new")).distinct().withColumn("_was", F.lit(True))
+    rows = pairs.distinct().join(there, ["review_id", "old"], "left").join(was, ["review_id", "new"], "left")
+    doubt = rows.where("_there OR _was").select("review_id", "hunk_id").distinct()
+    return rows.join(doubt, ["review_id", "hunk_id"], "left_anti").select("review_id", "hunk_id", "old", "new")
 
 
 TOKEN = r"""("[^"]*"|'[^']*'|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|\S)"""
@@ -113,8 +119,9 @@ def rename_shape(lines: DataFrame) -> DataFrame:
 
 
 def step_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(entry_id, step_id, change): added, removed, or rerouted (in both, with other parents). Both: (entry_id, step_id, parent_id)."""
-    own = lambda df, name: df.groupBy("entry_id", "step_id").agg(F.array_sort(F.collect_set("parent_id")).alias(name))
-    rows = own(before, "_b").join(own(after, "_a"), ["entry_id", "step_id"], "full_outer")
+    """(snapshot_id, entry_id, step_id, change): added, removed, or rerouted (in both, with other parents). Both: (snapshot_id, entry_id, step_id, parent_id)."""
+    key = ["snapshot_id", "entry_id", "step_id"]
+    own = lambda df, name: df.groupBy(*key).agg(F.array_sort(F.collect_set("parent_id")).alias(name))
+    rows = own(before, "_b").join(own(after, "_a"), key, "full_outer")
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "rerouted")
-    return rows.withColumn("change", change).where("change IS NOT NULL").select("entry_id", "step_id", "change")
+    return rows.withColumn("change", change).where("change IS NOT NULL").select(*key, "change")

@@ -42,17 +42,66 @@ def pair_changed_lines(lines: DataFrame) -> DataFrame:
     return changed.withColumn("k", k).groupBy(*HUNK, "run", "k").agg(pick("removed").alias("old_idx"), pick("added").alias("new_idx"))
 
 
-def hunk_digest(lines: DataFrame, n: int = 3, width: int = 80) -> DataFrame:
-    """(review_id, hunk_id, added, removed, digest): the first ``n`` changed lines that are not blank, squashed."""
-    text = squash(F.col("text"), width)
+def hunk_digest(lines: DataFrame, n: int = 3, width: int = 80, section_width: int = 60) -> DataFrame:
+    """(review_id, hunk_id, added, removed, digest): ``@@ section @@ +a -r | first changed lines``.
+
+    ``lines`` also has section, the text of the hunk's header. The first ``n`` changed lines that
+    are not blank are squashed, and what is longer than its width ends in an ellipsis."""
+    short = lambda c, w: F.when(F.length(c) > w, F.concat(F.substring(c, 1, w), F.lit("…"))).otherwise(c)
+    text = squash(F.col("text"), 1 << 30)
     own = (F.col("kind") != "context") & (text != "")
-    shown = F.struct("idx", F.concat(F.when(F.col("kind") == "added", "+").otherwise("-"), text).alias("t"))
+    shown = F.struct("idx", F.concat(F.when(F.col("kind") == "added", "+").otherwise("-"), short(text, width)).alias("t"))
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.when(own, shown))), 1, n), lambda x: x["t"])
-    return lines.groupBy(*HUNK).agg(
-        F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"), F.array_join(first, " | ").alias("digest")
+    section = short(squash(F.coalesce(F.max("section"), F.lit("")), 1 << 30), section_width)
+    rows = lines.groupBy(*HUNK).agg(
+        F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"), first.alias("_first"), section.alias("_section")
+    )
+    head = F.when(F.col("_section") != "", F.concat(F.lit("@@ "), "_section", F.lit(" @@ "))).otherwise("")
+    tail = F.when(F.size("_first") > 0, F.concat(F.lit(" | "), F.array_join("_first", " ⏎ "))).otherwise("")
+    return rows.select(*HUNK, "added", "removed", F.concat(head, F.lit("+"), "added", F.lit(" -"), "removed", tail).alias("digest"))
+
+
+# Languages where a line that begins with ``import`` is prose or data.
+NO_IMPORTS = ("markdown", "json", "yaml", "xml", "html", "properties", "toml", "sql", "shell", "css", "scss")
+
+
+def _imports(t: Column, script: Column) -> Column:
+    """Whether a trimmed line begins an import, package or re-export."""
+    after = F.ltrim(F.substr(t, F.lit(7)))
+    plain = t.rlike(r"^import([ {*]|$|\s*\()")
+    whole = ~(script & after.rlike("^[\"'`]")) & ((after == "(") | ~after.startswith("("))
+    source = F.regexp_extract(t, r"^.*? from (.*)$", 1)
+    return (
+        F.when(plain, whole).when(t.startswith("from "), t.contains(" import ") | t.endswith(" import"))
+        .when(t.rlike("^(export |})"), F.ltrim(source).rlike("^[\"'`]"))
+        .when(t.rlike("^(pub use |use )"), ~t.contains("(") & t.rlike("[;{]$")).when(t.startswith("using "), t.endswith(";") & ~t.contains("("))
+        .otherwise(t.rlike("^(package |#include|#import|require |require_relative )") | t.contains("= require("))
     )
 
 
+def import_lines(lines: DataFrame) -> DataFrame:
+    """Adds is_import; ``lines`` also has language. An import that opens a bracket goes on to the line that closes one.
+
+    A script's import without bindings and a dynamic import are code. Whether a line stands in an
+    open import follows from the last line that surely opened or closed one, and from how many
+    lines since then could do both."""
+    t = F.trim(F.col("text"))
+    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c)))
+    begins = _imports(t, F.coalesce(F.col("language").isin("typescript", "tsx", "javascript"), F.lit(False)))
+    opens = begins & ((count("{") > count("}")) | (count("(") > count(")")))
+    closes = t.contains("}") | t.contains(")")
+    rows = lines.withColumns({"_begins": begins, "_opens": opens, "_closes": closes})
+    rows = rows.withColumn("_sure", F.when(F.col("_opens") != F.col("_closes"), F.col("_opens")))
+    upto = _running().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_since", F.count("_sure").over(upto))
+    since = Window.partitionBy(*HUNK, "_since").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = F.sum((F.col("_opens") & F.col("_closes")).cast("int")).over(since)
+    after = F.coalesce(F.first("_sure", ignorenulls=True).over(since), F.lit(False)) != (both % 2 == 1)
+    rows = rows.withColumn("_after", after).withColumn("_inside", F.coalesce(F.lag("_after").over(_running()), F.lit(False)))
+    known = ~F.coalesce(F.col("language").isin(*NO_IMPORTS), F.lit(False))
+    return rows.withColumn("is_import", known & (F.col("_inside") | F.col("_begins"))).drop("_begins", "_opens", "_closes", "_sure", "_since", "_after", "_inside")
+
+
 def hunk_content_hash(lines: DataFrame) -> DataFrame:
     """(review_id, hunk_id, content_hash) from the path, signs and texts; line numbers play no part. ``lines`` also has path."""
     sign = F.when(F.col("kind") == "added", "+").when(F.col("kind") == "removed", "-").otherwise(" ")
@@ -113,23 +162,22 @@ def directory_rollup(files: DataFrame) -> DataFrame:
     )
 
 
-def group_by_directory(items: DataFrame, most: int = 40, max_depth: int = 12) -> DataFrame:
+def group_by_directory(items: DataFrame, most: int = 40) -> DataFrame:
     """Adds dir: the shallowest directory prefix of at most ``most`` total weight, else the whole directory.
 
     Depth by depth, groups that are small or have nothing deeper are peeled off; the rest goes
     one component further."""
     parts = F.split(directory(F.col("path")), "/")
-    rest, done = items.withColumn("_parts", parts), None
-    for depth in range(1, max_depth + 1):
+    rest, done, depth = items.withColumn("_parts", parts), None, 0
+    while done is None or not rest.isEmpty():
+        depth += 1
         here = rest.withColumn("dir", F.array_join(F.slice("_parts", 1, depth), "/"))
         sizes = here.groupBy("review_id", "dir").agg(F.sum("weight").alias("_w"), F.max(F.size("_parts")).alias("_deep"))
         here = store(here.join(sizes, ["review_id", "dir"]))
-        final = (F.col("_w") <= most) | (F.col("_deep") <= depth) | F.lit(depth == max_depth)
+        final = (F.col("_w") <= most) | (F.col("_deep") <= depth)
         out = here.where(final).drop("_w", "_deep", "_parts")
         done = out if done is None else done.unionByName(out)
         rest = store(here.where(~final).drop("_w", "_deep", "dir"))
-        if rest.isEmpty():
-            break
     return done
 
 

@@ -46,8 +46,13 @@ def resolve_names(refs: DataFrame, defs: DataFrame, imports: DataFrame, wildcard
     package = refs.join(d.withColumnRenamed("def_package", "package"), [P, "package", "name"])
     wild = refs.join(wildcards.withColumnRenamed("package", "def_package"), [P, "file"]).join(d, [P, "def_package", "name"])
     # A name known in many places is ambiguous; only names within the limit are looked up anywhere.
-    few = d.join(d.groupBy(P, "name").count().where(F.col("count") <= MOST_CANDIDATES).drop("count"), [P, "name"])
-    anywhere = refs.join(few, [P, "name"])
+    few = lambda df: df.join(df.groupBy(P, "name").count().where(F.col("count") <= MOST_CANDIDATES).drop("count"), [P, "name"])
+    if "is_test" in refs.columns and "is_test" in defs.columns:  # main code does not see tests
+        main = defs.where("NOT is_test").select(P, "name", "symbol_id")
+        anywhere = refs.where("NOT is_test").join(few(main), [P, "name"]).select(P, "ref_id", "symbol_id")
+        anywhere = anywhere.union(refs.where("is_test").join(few(d), [P, "name"]).select(P, "ref_id", "symbol_id"))
+    else:
+        anywhere = refs.join(few(d), [P, "name"])
     rows = tier(same_file, 0)
     for n, df in enumerate((named, package, wild, anywhere), 1):
         rows = rows.unionByName(tier(df, n))
@@ -59,15 +64,22 @@ def resolve_names(refs: DataFrame, defs: DataFrame, imports: DataFrame, wildcard
     return rows.withColumn("_n", n).where(F.col("_n") <= MOST_CANDIDATES).select(P, "ref_id", "symbol_id", (value / F.col("_n")).alias("confidence"), "tier")
 
 
-def renormalise(candidates: DataFrame, cap: int = MOST_CANDIDATES) -> DataFrame:
+def renormalise(candidates: DataFrame, cap: int | None = MOST_CANDIDATES) -> DataFrame:
     """Candidates that fit the arity, with the others' confidence shared out (at most 1); more than ``cap`` left is ambiguous.
 
-    candidates: (ref_id, symbol_id, confidence, arity, params, variadic)."""
-    fits = F.col("arity").isNull() | (F.col("arity") == F.col("params")) | (F.col("variadic") & (F.col("arity") >= F.col("params") - 1))
+    candidates: (ref_id, symbol_id, confidence, arity, params, variadic, lang). Where none fits,
+    languages with default values keep callables of more parameters at 0.8 times, Java none. An
+    unknown arity or number of parameters fits."""
+    fits = F.col("arity").isNull() | F.col("params").isNull() | (F.col("arity") == F.col("params")) | (F.col("variadic") & (F.col("arity") + 1 >= F.col("params")))
     w = Window.partitionBy(P, "ref_id")
-    rows = candidates.withColumn("_before", F.count("*").over(w)).where(fits).withColumn("_after", F.count("*").over(w))
-    rows = rows.where(F.col("_after") <= cap)
-    return rows.withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") * F.col("_before") / F.col("_after"))).drop("_before", "_after")
+    rows = candidates.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_before", F.count("*").over(w))
+    loose = ~F.bool_or("_fits").over(w) & (F.coalesce(F.col("lang"), F.lit("")) != "java") & (F.col("params") > F.col("arity"))
+    rows = rows.withColumn("_loose", F.coalesce(loose, F.lit(False))).where("_fits OR _loose").withColumn("_after", F.count("*").over(w))
+    if cap is not None:
+        rows = rows.where(F.col("_after") <= cap)
+    c = F.col("confidence") * F.when(F.col("_loose"), 0.8).otherwise(1.0)
+    c = F.when(F.col("_after") == F.col("_before"), c).otherwise(F.least(F.lit(1.0), c * F.col("_before") / F.col("_after")))
+    return rows.withColumn("confidence", c).drop("_before", "_after", "_fits", "_loose")
 
 
 def resolve_module_path(imports: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")) -> DataFrame:
@@ -130,34 +142,64 @@ def bind_config_keys(uses: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def pair_tests_with_subjects(tests: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(test, subject, by): the subject of the test's stem, else the longest subject stem (3 or more) that begins it.
+    """(review_id, test, subject, by): the subject of the test's stem, else the longest subject stem (3 or more) that begins it.
 
-    tests: (test, stem, dir); subjects: (subject, stem, dir). The same directory is preferred."""
+    tests: (review_id, test, stem, dir); subjects: (review_id, subject, stem, dir). The same directory is preferred.
+    Of each stem only the best subject in each directory, and overall, is joined."""
     prefixes = F.transform(F.sequence(F.lit(3), F.length("stem")), lambda i: F.substring(F.col("stem"), F.lit(1), i))
-    t = tests.where("length(stem) >= 3").select("test", F.col("dir").alias("_dir"), F.col("stem").alias("_stem"), F.explode(prefixes).alias("stem"))
-    rows = t.join(subjects, "stem")
-    best = F.struct(-F.length("stem"), F.when(F.col("dir") == F.col("_dir"), 0).otherwise(1), F.col("subject"))
-    out = rows.groupBy("test").agg(F.min_by(F.struct("subject", (F.col("stem") == F.col("_stem")).alias("exact")), best).alias("x"))
-    return out.select("test", F.col("x.subject").alias("subject"), F.when(F.col("x.exact"), "stem").otherwise("prefix").alias("by"))
-
-
-def carry_over_reviewed(reviewed: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reviewed hashes that are still there, and (review_id, path, done) of files whose hunks all are."""
-    kept = reviewed.join(hunks.select("review_id", "content_hash").distinct(), ["review_id", "content_hash"], "left_semi").distinct()
-    marked = hunks.join(kept.withColumn("_done", F.lit(True)), ["review_id", "content_hash"], "left")
+    t = tests.where("length(stem) >= 3").select("review_id", "test", F.col("dir").alias("_dir"), F.col("stem").alias("_stem"), F.explode(prefixes).alias("stem"))
+    here = subjects.groupBy("review_id", "stem", F.col("dir").alias("_dir")).agg(F.min("subject").alias("_here"))
+    anywhere = subjects.groupBy("review_id", "stem").agg(F.min("subject").alias("_any"))
+    rows = t.join(anywhere, ["review_id", "stem"]).join(here, ["review_id", "stem", "_dir"], "left")
+    found = F.struct(F.coalesce("_here", "_any").alias("subject"), (F.col("stem") == F.col("_stem")).alias("exact"))
+    out = rows.groupBy("review_id", "test").agg(F.max_by(found, F.length("stem")).alias("x"))
+    return out.select("review_id", "test", F.col("x.subject").alias("subject"), F.when(F.col("x.exact"), "stem").otherwise("prefix").alias("by"))
+
+
+def carry_over_reviewed(reviewed: DataFrame, hunks: DataFrame, hunkless: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reviewed hashes that are still there, and (review_id, path, done) of files whose hunks all are; a file without hunks (path, file_key) by its own key."""
+    own = hunks.select("review_id", "path", "content_hash")
+    if hunkless is not None:
+        own = own.unionByName(hunkless.select("review_id", "path", F.col("file_key").alias("content_hash")))
+    kept = reviewed.join(own.select("review_id", "content_hash").distinct(), ["review_id", "content_hash"], "left_semi").distinct()
+    marked = own.join(kept.withColumn("_done", F.lit(True)), ["review_id", "content_hash"], "left")
     return kept, marked.groupBy("review_id", "path").agg(F.bool_and(F.coalesce("_done", F.lit(False))).alias("done"))
 
 
 def reanchor_comments(drafts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(draft_id, line, moved, stale): the line of the same path, kind and text that is nearest; a tie or none is stale.
-
-    drafts: (draft_id, path, kind, text, line); lines: (path, kind, text, line)."""
-    near = drafts.join(lines.withColumnRenamed("line", "_line"), ["review_id", "path", "kind", "text"]).withColumn("_far", F.abs(F.col("_line") - F.col("line")))
-    best = near.groupBy("review_id", "draft_id").agg(F.min("_far").alias("_best"))
-    found = near.join(best, ["review_id", "draft_id"]).where("_far = _best").groupBy("review_id", "draft_id").agg(F.count("*").alias("_n"), F.min("_line").alias("_at"))
-    out = drafts.join(found, ["review_id", "draft_id"], "left")
-    one = F.coalesce(F.col("_n") == 1, F.lit(False))
-    return out.select("review_id", "draft_id", F.when(one, F.col("_at")).alias("line"), (one & (F.col("_at") != F.col("line"))).alias("moved"), (~one).alias("stale"))
+    """(review_id, draft_id, hunk_id, idx, start_idx, moved, stale): where a comment's line is now.
+
+    drafts: (review_id, draft_id, path, side, hunk_hash, idx, kind, text, line, start_idx, start_kind,
+    start_text); lines: (review_id, hunk_id, content_hash, path, idx, kind, text, old_line, new_line).
+    A hunk of the same content keeps the index (not moved). Else it is the nearest line of the
+    same path, kind and text; a tie or none is stale. The start of a range is kept if the same text
+    stands at the same distance before. Drafts and lines are put in one order by line, so that no
+    pairs of equal texts are made."""
+    key = ["review_id", "draft_id"]
+    first = lines.groupBy("review_id", F.col("content_hash").alias("hunk_hash"), "idx", "kind", "text").agg(F.min("hunk_id").alias("hunk_id"))
+    same = drafts.join(first, ["review_id", "hunk_hash", "idx", "kind", "text"]).select(*key, "hunk_id", F.col("idx").alias("at"), F.lit(False).alias("moved"))
+    rest = drafts.join(same.select(*key), key, "left_anti")
+
+    sided = lines.withColumn("_s", F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old_line").alias("n")), F.struct(F.lit("new").alias("side"), F.col("new_line").alias("n")))))
+    group = ["review_id", "path", "kind", "text", "side"]
+    places = sided.select("review_id", "path", "kind", "text", F.col("_s.side").alias("side"), F.coalesce("_s.n", F.lit(0)).cast("long").alias("n"), "hunk_id", "idx")
+    places = places.groupBy(*group, "n").agg(F.struct(F.col("n").alias("n"), F.count("*").alias("many"), F.min(F.struct("hunk_id", "idx")).alias("place")).alias("here"))
+    asked = rest.select(*group, F.col("line").cast("long").alias("n"), "draft_id")
+    rows = places.withColumn("draft_id", F.lit(None).cast(asked.schema["draft_id"].dataType)).unionByName(asked.withColumn("here", F.lit(None).cast(places.schema["here"].dataType)))
+    order = Window.partitionBy(*group).orderBy("n", F.col("here").isNull())
+    below = F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.first("here", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumns({"_b": below, "_a": above}).where("draft_id IS NOT NULL")
+    far = lambda c: F.abs(F.col(f"{c}.n") - F.col("n"))
+    rows = rows.withColumns({"_fb": far("_b"), "_fa": far("_a")})
+    nearer = F.when(F.col("_a").isNull() | (F.col("_fb") < F.col("_fa")), F.col("_b")).when(F.col("_b").isNull() | (F.col("_fa") < F.col("_fb")), F.col("_a"))
+    near = rows.withColumn("_x", nearer).where("_x.many = 1").select(*key, F.col("_x.place.hunk_id").alias("hunk_id"), F.col("_x.place.idx").alias("at"), F.lit(True).alias("moved"))
+
+    out = drafts.join(same.unionByName(near), key, "left").withColumn("_start", F.col("at") - (F.col("idx") - F.col("start_idx")))
+    starts = lines.select("review_id", "hunk_id", F.col("idx").alias("_start"), F.col("kind").alias("start_kind"), F.col("text").alias("start_text"), F.lit(True).alias("_kept"))
+    out = out.join(starts, ["review_id", "hunk_id", "_start", "start_kind", "start_text"], "left")
+    start = F.when(F.col("_kept") & (F.col("_start") < F.col("at")), F.col("_start"))
+    return out.select(*key, "hunk_id", F.col("at").alias("idx"), start.alias("start_idx"), F.coalesce("moved", F.lit(False)).alias("moved"), F.col("at").isNull().alias("stale"))
 
 
 def locate_positions(positions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from changegraph.operators import graph as g
 from changegraph.operators import groups as gr
 from changegraph.operators import lines as ln
 from changegraph.operators import matching as m
+from changegraph.operators import resolution as rs
 from changegraph.plans import views as v
 from changegraph.plans.views import sql, table
 from changegraph.sources import diffs as sd
@@ -268,12 +269,13 @@ def pair_changed_lines(spark, d):
     return ln.pair_changed_lines(v.lines(spark, d))
 
 
-@query(sql(""", t AS (SELECT review_id, hunk_id, idx, kind, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) AS t FROM lines),
+@query(sql(""", t AS (SELECT review_id, hunk_id, idx, kind, source, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM lines),
 r AS (SELECT *, row_number() OVER (PARTITION BY review_id, hunk_id ORDER BY idx) AS r FROM t WHERE kind <> 'context' AND t <> ''),
-x AS (SELECT review_id, hunk_id, string_agg(CASE kind WHEN 'added' THEN '+' ELSE '-' END || t, ' | ' ORDER BY idx) AS digest FROM r WHERE r <= 3 GROUP BY ALL)
-SELECT review_id, hunk_id, count_if(kind = 'added')::BIGINT AS added, count_if(kind = 'removed')::BIGINT AS removed, coalesce(any_value(digest), '') AS digest FROM t LEFT JOIN x USING (review_id, hunk_id) GROUP BY ALL""", "lines").replace("\\\\s", "\\s"))
+x AS (SELECT review_id, hunk_id, string_agg(CASE kind WHEN 'added' THEN '+' ELSE '-' END || CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '…' ELSE t END, ' ⏎ ' ORDER BY idx) AS digest FROM r WHERE r <= 3 GROUP BY ALL),
+n AS (SELECT review_id, hunk_id, max(source) AS s, count_if(kind = 'added')::BIGINT AS added, count_if(kind = 'removed')::BIGINT AS removed, any_value(digest) AS digest FROM t LEFT JOIN x USING (review_id, hunk_id) GROUP BY review_id, hunk_id)
+SELECT review_id, hunk_id, added, removed, CASE WHEN coalesce(s, '') = '' THEN '' ELSE '@@ ' || s || ' @@ ' END || '+' || added || ' -' || removed || coalesce(' | ' || digest, '') AS digest FROM n""", "lines").replace("\\\\", "\\"))
 def hunk_digest(spark, d):
-    return ln.hunk_digest(v.lines(spark, d))
+    return ln.hunk_digest(v.lines(spark, d).withColumn("section", F.col("source")))
 
 
 @query(sql("""SELECT review_id, hunk_id, substr(sha256(path || chr(0) || string_agg(CASE kind WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE ' ' END || text, chr(10) ORDER BY idx)), 1, 16) AS content_hash
@@ -356,14 +358,23 @@ def path_facts(spark, d):
     return v.files(spark, d).select("doc_id", "path", fp.module_of(p, F.lit(None)).alias("module"), fp.language(p).alias("language"), fp.is_test_path(p).alias("is_test"))
 
 
+@query("""WITH p AS (SELECT page_id, 'm' || (page_id % 5) || (['/package-lock.json', '/src/A.java', '/gradlew', '/generated/B.kt', '/x.min.js', '/y.js', '/a.g.dart', '/z.generated.ts', '/gradle/wrapper/w.jar', '/Cargo.lock', '/mvnw.txt'])[(page_id % 11 + 1)::INT] AS path FROM pages)
+SELECT page_id, path, page_id % 11 NOT IN (1, 5, 10) AS is_generated FROM p""")
+def mark_generated_defaults(spark, d):
+    names = ("/package-lock.json", "/src/A.java", "/gradlew", "/generated/B.kt", "/x.min.js", "/y.js", "/a.g.dart", "/z.generated.ts", "/gradle/wrapper/w.jar", "/Cargo.lock", "/mvnw.txt")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % 11 + 1).cast("int"))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("m"), (F.col("page_id") % 5).cast("string"), name).alias("path"))
+    return pages.withColumn("is_generated", fp.matches_any(F.col("path"), fp.GENERATED))
+
+
 @query(sql("""SELECT doc_id, (regexp_matches(path, '^docs/') OR path LIKE '%.map') AS is_generated FROM files""", "files"))
 def mark_generated(spark, d):
     return v.files(spark, d).select("doc_id", fp.matches_any(F.col("path"), ("docs/**", "**/*.map")).alias("is_generated"))
 
 
-@query(sql(""", x AS (SELECT doc_id, lower(path) AS p FROM files)
-SELECT doc_id, CASE WHEN regexp_matches(p, '(^|/)(tests?|__tests__|e2e)/|\\.(spec|test)\\.|(test|tests|it)\\.(java|kt)$') THEN 'tests' WHEN regexp_matches(p, '\\.sql$') THEN 'persistence'
-    WHEN regexp_matches(p, '(^|/)docs?/|\\.md$') THEN 'docs' WHEN regexp_matches(p, '(^|/)config/|\\.ya?ml$') THEN 'config' WHEN regexp_matches(p, '(^|/)components?/|\\.html$') THEN 'ui' ELSE 'core' END AS layer FROM x""", "files").replace("\\\\", "\\"))
+@query(sql(""", x AS (SELECT doc_id, lower(path) AS p, regexp_extract(path, '[^.]*$') AS e FROM files)
+SELECT doc_id, CASE WHEN contains(p, 'test') OR contains(p, 'spec') THEN 'tests' WHEN e = 'sql' THEN 'persistence' WHEN contains(p, 'docs/') OR e = 'md' THEN 'docs'
+    WHEN e = 'yml' OR contains(p, 'config') THEN 'config' WHEN e = 'html' OR contains(p, 'component') THEN 'ui' ELSE 'core' END AS layer FROM x""", "files"))
 def guess_layer(spark, d):
     return v.files(spark, d).select("doc_id", fp.guess_layer(F.col("path")).alias("layer"))
 
@@ -421,16 +432,17 @@ def word_inventory(spark, d):
     return gr.word_inventory(base.select(F.col("review_id").alias("snapshot_id"), "text"))
 
 
-@query(sql(""", w AS (SELECT DISTINCT head, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM versions),
-b AS (SELECT word FROM w WHERE head = 0), h AS (SELECT word FROM w WHERE head = 1)
-SELECT DISTINCT 'r' AS review_id, x.word AS old, upper(x.word[1]) || x.word[2:] AS new FROM w x
-WHERE x.word NOT IN (SELECT word FROM h) AND upper(x.word[1]) || x.word[2:] NOT IN (SELECT word FROM b)""", "versions"))
+@query(sql(""", w AS (SELECT DISTINCT review_id, head, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM versions),
+p AS (SELECT DISTINCT review_id, lower(word) AS hunk_id, word AS old, upper(word[1]) || word[2:] AS new FROM w),
+c AS (SELECT p.*, old IN (SELECT word FROM w WHERE head = 1 AND w.review_id IS NOT DISTINCT FROM p.review_id) OR new IN (SELECT word FROM w WHERE head = 0 AND w.review_id IS NOT DISTINCT FROM p.review_id) AS doubt FROM p WHERE review_id IS NOT NULL)
+SELECT review_id, hunk_id, old, new FROM c QUALIFY NOT bool_or(doubt) OVER (PARTITION BY review_id, hunk_id)""", "versions"))
 def confirm_renames(spark, d):
+    """Every word of a review may have got a capital; the spellings of a word are a hunk."""
     base, head = v.versions(spark, d)
-    words = lambda df: gr.word_inventory(df.select(F.lit("s").alias("snapshot_id"), "text"))
-    every = words(base).union(words(head)).select("word").distinct()
+    words = lambda df: gr.word_inventory(df.select(F.col("review_id").alias("snapshot_id"), "text")).withColumnRenamed("snapshot_id", "review_id")
+    every = words(base).union(words(head)).distinct().where("review_id IS NOT NULL")
     new = F.concat(F.upper(F.substring("word", 1, 1)), F.substr("word", F.lit(2)))
-    return gr.confirm_renames(every.select(F.lit("r").alias("review_id"), F.col("word").alias("old"), new.alias("new")), words(base), words(head))
+    return gr.confirm_renames(every.select("review_id", F.lower("word").alias("hunk_id"), F.col("word").alias("old"), new.alias("new")), words(base), words(head))
 
 
 def _assignment(spark, d):
@@ -495,9 +507,9 @@ def aside_summary(spark, d):
 
 @query(sql(""", x AS (SELECT lang, source, doc_id % 50 AS step, (doc_id % 3)::VARCHAR AS parent, doc_id % 2 AS head FROM documents),
 b AS (SELECT lang AS entry_id, step AS step_id, list_sort(list_distinct(list(parent))) AS p FROM x WHERE head = 0 AND source < 'src2' GROUP BY ALL), a AS (SELECT lang AS entry_id, step - 1 AS step_id, list_sort(list_distinct(list(parent))) AS p FROM x WHERE head = 1 GROUP BY ALL)
-SELECT entry_id, step_id, CASE WHEN b.p IS NULL THEN 'added' WHEN a.p IS NULL THEN 'removed' ELSE 'rerouted' END AS change FROM b FULL JOIN a USING (entry_id, step_id) WHERE b.p IS NULL OR a.p IS NULL OR b.p <> a.p""", "versions"))
+SELECT 's1' AS snapshot_id, entry_id, step_id, CASE WHEN b.p IS NULL THEN 'added' WHEN a.p IS NULL THEN 'removed' ELSE 'rerouted' END AS change FROM b FULL JOIN a USING (entry_id, step_id) WHERE b.p IS NULL OR a.p IS NULL OR b.p <> a.p""", "versions"))
 def step_changes(spark, d):
-    x = table(spark, d, "documents").select(F.col("lang").alias("entry_id"), "source", (F.col("doc_id") % 50).alias("step_id"), (F.col("doc_id") % 3).cast("string").alias("parent_id"), (F.col("doc_id") % 2).alias("head"))
+    x = table(spark, d, "documents").select(F.lit("s1").alias("snapshot_id"), F.col("lang").alias("entry_id"), "source", (F.col("doc_id") % 50).alias("step_id"), (F.col("doc_id") % 3).cast("string").alias("parent_id"), (F.col("doc_id") % 2).alias("head"))
     return gr.step_changes(x.where("head = 0 AND source < 'src2'"), x.where("head = 1").withColumn("step_id", F.col("step_id") - 1))
 
 
@@ -552,6 +564,100 @@ def resolve_names(spark, d):
     return out.select("snapshot_id", "ref_id", "symbol_id", "tier", F.round("confidence", 6).alias("confidence"))
 
 
+def _facts(spark, d):
+    """Customers as classes that refer to suppliers by name: (references, symbols, imports, wildcards) of the view of resolve_names."""
+    p = F.lit("s1").alias("snapshot_id")
+    c = table(spark, d, "customer")
+    own = F.concat(F.lit("c"), "c_custkey")
+    refs = c.select(
+        p, F.col("c_custkey").alias("ref_id"), F.col("c_mktsegment").alias("file"), F.col("c_nationkey").cast("long").alias("package"), F.concat(F.lit("S"), F.col("c_custkey") % 40).alias("name"),
+        own.alias("scope_id"), (F.col("c_custkey") % 9).cast("int").alias("line"), F.element_at(F.array(*map(F.lit, ("extends", "call", "type", "new"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("kind"),
+    )
+    file = F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").otherwise(F.concat(F.lit("f"), "s_suppkey"))
+    symbols = table(spark, d, "supplier").select(
+        p, F.concat(F.lit("s"), "s_suppkey").alias("symbol_id"), file.alias("file"), F.col("s_nationkey").cast("long").alias("package"), F.concat(F.lit("S"), F.col("s_suppkey") % 40).alias("name"), F.lit("interface").alias("kind"))
+    symbols = symbols.unionByName(c.select(p, own.alias("symbol_id"), F.col("c_mktsegment").alias("file"), F.lit(-1).cast("long").alias("package"), F.col("c_name").alias("name"), F.lit("class").alias("kind")))
+    imports = spark.range(25).select(p, F.lit("MACHINERY").alias("file"), F.concat(F.lit("S"), "id").alias("name"), F.col("id").alias("package"))
+    wild = table(spark, d, "nation").where("n_regionkey = 1").select(p, F.lit("FURNITURE").alias("file"), F.col("n_nationkey").cast("long").alias("package"))
+    return refs, symbols, imports, wild
+
+
+_RESOLVED = _RESOLVE[: _RESOLVE.rindex("SELECT 's1' AS snapshot_id")].rstrip() + """,
+res AS (SELECT ref_id, 's' || symbol_id AS to_id, [1.0, 0.95, 0.9, 0.85, 0.3][tier + 1]::DOUBLE / n AS confidence FROM k WHERE n <= 5)
+"""
+
+
+@query(_RESOLVED + "SELECT 's1' AS snapshot_id, 'c' || ref_id AS from_id, to_id, 'inherits' AS kind, round(confidence, 6) AS confidence, (ref_id % 9)::INT AS line FROM res WHERE ref_id % 4 = 0")
+def inheritance_edges(spark, d):
+    return rs.inheritance_edges(*_facts(spark, d))[0].withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_RESOLVED + """SELECT 's1' AS snapshot_id, 'c' || ref_id AS from_id, to_id, CASE WHEN ref_id % 4 = 2 THEN 'uses' ELSE 'calls' END AS kind, round(confidence, 6) AS confidence, (ref_id % 9)::INT AS line
+FROM res WHERE ref_id % 4 <> 0 AND NOT (ref_id % 4 = 2 AND to_id = 's' || (ref_id % 40))""")
+def reference_edges(spark, d):
+    """Calls, instantiations and type mentions; a customer lies inside the supplier whose number ends like its own."""
+    refs, symbols, imports, wild = _facts(spark, d)
+    above = refs.select("snapshot_id", F.col("scope_id").alias("symbol_id"), F.concat(F.lit("s"), F.col("ref_id") % 40).alias("ancestor_id"))
+    edges, _ = rs.reference_edges(refs, rs.resolve_types(refs, symbols, imports, wild), above)
+    return edges.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_RESOLVED + """, inh AS (SELECT 'c' || ref_id AS f, to_id AS sup, confidence AS c FROM res WHERE ref_id % 4 = 0 UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey % 7 + 1), 1.0 FROM supplier WHERE s_suppkey > 7),
+lv AS (SELECT 's' || s_suppkey AS t, 's' || s_suppkey AS r, 0 AS dist FROM supplier UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey % 7 + 1), 1 FROM supplier WHERE s_suppkey > 7),
+me AS (SELECT 's' || s_suppkey AS o, 'm' || (s_suppkey % 5) AS name, s_suppkey % 2 AS params, s_suppkey % 9 AS line FROM supplier UNION ALL SELECT 'c' || c_custkey, 'm' || (c_custkey % 3), c_custkey % 2, c_custkey % 9 FROM customer),
+hit AS (SELECT a.o, a.line, a.params, sup, inh.c, b.o AS b, b.params AS bp, dist, min(dist) OVER (PARTITION BY a.o, sup) AS best FROM me a JOIN inh ON inh.f = a.o JOIN lv ON t = sup JOIN me b ON b.o = r AND b.name = a.name)
+SELECT 's1' AS snapshot_id, o || '.m' AS from_id, b || '.m' AS to_id, 'overrides' AS kind, line::INT AS line, round(0.9 * max(c), 6) AS confidence FROM hit WHERE dist = best AND params = bp GROUP BY ALL""")
+def override_edges(spark, d):
+    """A method for each customer and supplier; customers inherit from what they name, suppliers from one of the first seven."""
+    refs, symbols, imports, wild = _facts(spark, d)
+    k = F.col("k")
+    people = symbols.withColumn("k", F.substr("symbol_id", F.lit(2)).cast("long")).where("kind IN ('class', 'interface')")
+    up = people.where("kind = 'interface' AND k > 7").select("snapshot_id", F.col("symbol_id").alias("from_id"), F.concat(F.lit("s"), k % 7 + 1).alias("to_id"), F.lit(1.0).alias("confidence"))
+    inherits = rs.inheritance_edges(refs, symbols, imports, wild)[0].select("snapshot_id", "from_id", "to_id", "confidence").unionByName(up)
+    name = F.concat(F.lit("m"), F.when(F.col("kind") == "interface", k % 5).otherwise(k % 3))
+    methods = people.select("snapshot_id", F.concat("symbol_id", F.lit(".m")).alias("symbol_id"), F.col("symbol_id").alias("container_id"), name.alias("name"), F.lit("method").alias("kind"), (k % 2).alias("params"), (k % 9).cast("int").alias("line"))
+    levels = rs.hierarchy(inherits, people.where("kind = 'interface'"))
+    return rs.override_edges(methods, inherits, levels).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH i AS (SELECT c_custkey AS import_id, c_mktsegment AS file, c_nationkey AS package, 'S' || (c_custkey % 40) AS name, c_custkey % 9 AS line, c_custkey % 2 = 0 AS jvm, 'f' || (c_custkey % 30) AS path FROM customer),
+s AS (SELECT 's' || s_suppkey AS symbol_id, CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' ELSE 'f' || s_suppkey END AS file, s_nationkey AS package, 'S' || (s_suppkey % 40) AS name FROM supplier),
+j AS (SELECT i.file AS f, symbol_id AS t, 1.0 / count(*) OVER (PARTITION BY import_id) AS c, line FROM i JOIN s USING (package, name) WHERE jvm),
+n AS (SELECT import_id, i.file AS f, symbol_id AS t, line FROM i JOIN s ON s.file = i.path AND s.name = i.name WHERE NOT jvm),
+u AS (SELECT * FROM j UNION ALL SELECT f, t, 1.0, line FROM n UNION ALL SELECT file, path, 1.0, line FROM i WHERE NOT jvm AND import_id NOT IN (SELECT import_id FROM n))
+SELECT DISTINCT 's1' AS snapshot_id, f AS from_id, t AS to_id, 'imports' AS kind, round(c, 6)::DOUBLE AS confidence, line::INT AS line FROM u""")
+def import_edges(spark, d):
+    refs, symbols, _, _ = _facts(spark, d)
+    imports = refs.select("snapshot_id", F.col("ref_id").alias("import_id"), "file", "package", "name", "line", (F.col("ref_id") % 2 == 0).alias("is_jvm"))
+    files = refs.select("snapshot_id", F.col("ref_id").alias("import_id"), F.concat(F.lit("f"), F.col("ref_id") % 30).alias("path"))
+    tops = symbols.where("kind = 'interface'").withColumn("container_id", F.col("file"))
+    return rs.import_edges(imports, tops, files).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(sql(""", above AS (SELECT 's' || s_suppkey AS symbol_id, 's' || (s_suppkey % 10 + 1) AS ancestor_id FROM supplier WHERE s_suppkey % 10 + 1 <> s_suppkey), t AS (SELECT * FROM edges WHERE kind = 'tests'),
+x AS (SELECT to_id AS symbol_id, from_id AS test_id, confidence FROM t UNION ALL SELECT symbol_id, from_id, confidence * 0.5 FROM above JOIN t ON to_id = ancestor_id)
+SELECT 's1' AS snapshot_id, symbol_id, test_id, round(max(confidence), 6) AS confidence FROM x GROUP BY ALL""", "candidates", "edges"))
+def tests_of(spark, d):
+    """Each supplier lies inside one of the first ten."""
+    s = table(spark, d, "supplier").select(F.lit("s1").alias("snapshot_id"), F.concat(F.lit("s"), "s_suppkey").alias("symbol_id"), F.concat(F.lit("s"), F.col("s_suppkey") % 10 + 1).alias("ancestor_id"))
+    out = g.tests_of(v.edges(spark, d), v.symbols(spark, d), s.where("symbol_id <> ancestor_id"))
+    return out.select("snapshot_id", "symbol_id", "test_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(sql(""", x AS (SELECT review_id, hunk_id, path, kind, idx // 5 AS j FROM lines WHERE kind <> 'context')
+SELECT DISTINCT review_id AS snapshot_id, hunk_id, path || CASE WHEN kind = 'added' AND (j + hunk_id) % 3 = 0 THEN '' ELSE '#f' || j END AS symbol_id FROM x WHERE review_id IS NOT NULL""", "lines"))
+def map_hunks_to_symbols(spark, d):
+    """Every five lines of a document are a function; a third of them are gone from the head."""
+    x = v.lines(spark, d).where("review_id IS NOT NULL").withColumnRenamed("review_id", "snapshot_id")
+    j = F.floor(F.col("idx") / 5)
+    spans = x.groupBy("snapshot_id", "path", "hunk_id", j.alias("j")).agg(F.count("*").alias("n"))
+    defs = spans.select("snapshot_id", F.concat("path", F.lit("#f"), "j").alias("symbol_id"), F.col("path").alias("file"), F.lit("function").alias("kind"), F.col("path").alias("container_id"), (5 * F.col("j") + 1).alias("start"), (5 * F.col("j") + 5).alias("stop"), F.col("j").alias("pos"), ((F.col("j") + F.col("hunk_id")) % 3 == 0).alias("gone"))
+    whole = spans.groupBy("snapshot_id", "path").agg(F.sum("n").alias("stop")).select("snapshot_id", F.col("path").alias("symbol_id"), F.col("path").alias("file"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("container_id"), F.lit(1).cast("long").alias("start"), "stop", F.lit(-1).cast("long").alias("pos"))
+    base, head = (whole.unionByName(df.drop("gone")) for df in (defs, defs.where("NOT gone")))
+    lines = x.select("snapshot_id", "hunk_id", "path", F.lit(None).cast("string").alias("old_path"), "kind", (F.col("idx") + 1).alias("old_line"), (F.col("idx") + 1).alias("new_line"))
+    return rs.map_hunks_to_symbols(lines, head, base)[0]
+
+
 @query(None)
 def match_routes(spark, d):
     calls = table(spark, d, "pages").select(F.lit("s1").alias("snapshot_id"), F.col("page_id").alias("call_id"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("ANY").alias("method"), ft.url_segments(F.col("url")).alias("segments"))
@@ -567,29 +673,42 @@ SELECT 's1' AS snapshot_id, call_id, 'GET /' || lang AS endpoint_id, round(0.9 *
 FROM c JOIN l ON s[len(s) - 1] = lang WHERE len(s) >= 2"""
 
 
-@query(sql(""", t AS (SELECT doc_id AS test, 'W' || (doc_id % 90) || 'Suite' AS stem, source AS dir FROM files WHERE doc_id % 2 = 0), s AS (SELECT doc_id AS subject, 'W' || ((doc_id - 1) % 90) AS stem, source AS dir FROM files WHERE doc_id % 2 = 1),
-j AS (SELECT test, subject, t.stem = s.stem AS exact, row_number() OVER (PARTITION BY test ORDER BY len(s.stem) DESC, (t.dir <> s.dir)::INT, subject) AS r FROM t JOIN s ON starts_with(t.stem, s.stem) AND len(s.stem) >= 3)
-SELECT test, subject, CASE WHEN exact THEN 'stem' ELSE 'prefix' END AS by FROM j WHERE r = 1""", "files"))
+@query(sql(""", t AS (SELECT review_id, doc_id AS test, 'W' || (doc_id % 90) || 'Suite' AS stem, source AS dir FROM files WHERE doc_id % 2 = 0), s AS (SELECT review_id, doc_id AS subject, 'W' || ((doc_id - 1) % 90) AS stem, source AS dir FROM files WHERE doc_id % 2 = 1),
+j AS (SELECT review_id, test, subject, t.stem = s.stem AS exact, row_number() OVER (PARTITION BY review_id, test ORDER BY len(s.stem) DESC, (t.dir <> s.dir)::INT, subject) AS r FROM t JOIN s USING (review_id) WHERE starts_with(t.stem, s.stem) AND len(s.stem) >= 3)
+SELECT review_id, test, subject, CASE WHEN exact THEN 'stem' ELSE 'prefix' END AS by FROM j WHERE r = 1""", "files"))
 def pair_tests_with_subjects(spark, d):
     f = v.files(spark, d)
     stem = F.concat(F.lit("W"), (F.col("doc_id") % 90).cast("string"))
-    tests = f.where("doc_id % 2 = 0").select(F.col("doc_id").alias("test"), F.concat(stem, F.lit("Suite")).alias("stem"), F.col("source").alias("dir"))
-    return m.pair_tests_with_subjects(tests, f.where("doc_id % 2 = 1").select(F.col("doc_id").alias("subject"), F.concat(F.lit("W"), ((F.col("doc_id") - 1) % 90).cast("string")).alias("stem"), F.col("source").alias("dir")))
-
-
-_DRAFTS = """, dr AS (SELECT review_id, hunk_id || '-' || idx AS draft_id, source AS path, kind, text, idx::BIGINT AS line FROM lines WHERE hunk_id % 2 = 0 AND kind <> 'context'),
-li AS (SELECT review_id, source AS path, kind, text, (idx + hunk_id % 7)::BIGINT AS line FROM lines WHERE hunk_id % 2 = 1)
+    tests = f.where("doc_id % 2 = 0").select("review_id", F.col("doc_id").alias("test"), F.concat(stem, F.lit("Suite")).alias("stem"), F.col("source").alias("dir"))
+    return m.pair_tests_with_subjects(tests, f.where("doc_id % 2 = 1").select("review_id", F.col("doc_id").alias("subject"), F.concat(F.lit("W"), ((F.col("doc_id") - 1) % 90).cast("string")).alias("stem"), F.col("source").alias("dir")))
+
+
+# Drafts on even documents' lines, placed in the odd ones: every fourth names the hunk that stands
+# there, others look for their text in their source.
+_DRAFTS = """, dr AS (
+    SELECT review_id, hunk_id || '-' || idx AS draft_id, source AS path, CASE WHEN hunk_id % 4 = 0 THEN 'h' || (hunk_id + 1) ELSE '' END AS hunk_hash, idx, kind, text, idx::BIGINT + 1 AS line, idx - 1 AS start_idx
+    FROM lines WHERE hunk_id % 2 = 0 AND kind <> 'context'),
+li AS (SELECT review_id, source AS path, hunk_id, 'h' || hunk_id AS content_hash, idx, kind, text, (idx + hunk_id % 7)::BIGINT AS n FROM lines WHERE hunk_id % 2 = 1),
+same AS (SELECT dr.review_id, draft_id, min(hunk_id) AS hunk_id, idx AS pos, false AS moved FROM dr JOIN li USING (idx, kind, text) WHERE dr.review_id = li.review_id AND content_hash = hunk_hash GROUP BY ALL),
+rest AS (SELECT * FROM dr ANTI JOIN same USING (review_id, draft_id)),
+near AS (SELECT rest.review_id, draft_id, li.hunk_id, li.idx AS pos, abs(li.n - rest.line) AS far FROM rest JOIN li USING (review_id, path, kind, text)),
+one AS (SELECT review_id, draft_id, min(hunk_id) AS hunk_id, min(pos) AS pos, true AS moved FROM (SELECT *, min(far) OVER (PARTITION BY review_id, draft_id) AS best FROM near) WHERE far = best GROUP BY ALL HAVING count(*) = 1),
+placed AS (SELECT * FROM same UNION ALL SELECT * FROM one)
 """
 
 
-@query(sql(_DRAFTS + """, n AS (SELECT dr.review_id, draft_id, li.line AS q, abs(li.line - dr.line) AS far, min(abs(li.line - dr.line)) OVER (PARTITION BY dr.review_id, draft_id) AS best FROM dr JOIN li USING (review_id, path, kind, text)),
-f AS (SELECT review_id, draft_id, count(*) AS n, min(q) AS q FROM n WHERE far = best GROUP BY ALL)
-SELECT dr.review_id, draft_id, CASE WHEN n = 1 THEN q END AS line, coalesce(n = 1, false) AND coalesce(q <> dr.line, false) AS moved, NOT coalesce(n = 1, false) AS stale FROM dr LEFT JOIN f USING (review_id, draft_id)""", "lines"))
+@query(sql(_DRAFTS + """SELECT dr.review_id, draft_id, p.hunk_id, p.pos::INT AS idx, coalesce(moved, false) AS moved, p.pos IS NULL AS stale FROM dr LEFT JOIN placed p USING (review_id, draft_id)""", "lines"))
 def reanchor_comments(spark, d):
     x = v.lines(spark, d)
-    drafts = x.where("hunk_id % 2 = 0 AND kind <> 'context'").select("review_id", F.concat_ws("-", F.col("hunk_id").cast("string"), F.col("idx").cast("string")).alias("draft_id"), F.col("source").alias("path"), "kind", "text", F.col("idx").cast("long").alias("line"))
-    lines = x.where("hunk_id % 2 = 1").select("review_id", F.col("source").alias("path"), "kind", "text", (F.col("idx") + F.col("hunk_id") % 7).cast("long").alias("line"))
-    return m.reanchor_comments(drafts, lines)
+    none = F.lit(None).cast("string")
+    drafts = x.where("hunk_id % 2 = 0 AND kind <> 'context'").select(
+        "review_id", F.concat_ws("-", F.col("hunk_id").cast("string"), F.col("idx").cast("string")).alias("draft_id"), F.col("source").alias("path"), F.lit("new").alias("side"),
+        F.when(F.col("hunk_id") % 4 == 0, F.concat(F.lit("h"), F.col("hunk_id") + 1)).otherwise("").alias("hunk_hash"), "idx", "kind", "text", (F.col("idx") + 1).alias("line"),
+        F.lit(None).cast("int").alias("start_idx"), none.alias("start_kind"), none.alias("start_text"),
+    )
+    n = (F.col("idx") + F.col("hunk_id") % 7).cast("int")
+    lines = x.where("hunk_id % 2 = 1").select("review_id", "hunk_id", F.concat(F.lit("h"), "hunk_id").alias("content_hash"), F.col("source").alias("path"), "idx", "kind", "text", n.alias("old_line"), n.alias("new_line"))
+    return m.reanchor_comments(drafts, lines).drop("start_idx")
 
 
 # Streaming
@@ -601,6 +720,8 @@ def _shared(spark: SparkSession) -> str:
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root or 'file://' + tempfile.gettempdir() + '/changegraph-shared'}/{uuid.uuid4().hex}"
 
 

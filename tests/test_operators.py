@@ -96,8 +96,8 @@ def test_flows_and_group_order(spark):
     symbols = spark.createDataFrame([("s", "c", True)], "snapshot_id string, symbol_id string, changed boolean")
     assert rows(flows.impacted_flows(steps, symbols), "entry_id", "changed_steps") == [("e", 1)]
     after = steps.where("symbol_id <> 'b'")
-    assert rows(flows.compare_flows(steps, after)) == [("e", "changed", 0, 1)]
-    members = spark.createDataFrame([("r", 1, "e"), ("r", 2, "a"), ("r", 3, "d")], "review_id string, group_id long, symbol_id string")
+    assert rows(flows.compare_flows(steps, after)) == [("s", "e", "changed", 0, 1)]
+    members = spark.createDataFrame([("s", "r", 1, "e"), ("s", "r", 2, "a"), ("s", "r", 3, "d"), ("t", "q", 1, "e"), ("t", "q", 2, "a")], "snapshot_id string, review_id string, group_id long, symbol_id string")
     own = spark.createDataFrame([("r", 1, False, 2, 1), ("r", 2, False, 1, 2), ("r", 3, True, 0, 3)], "review_id string, group_id long, mechanical boolean, rank int, ord int")
     assert rows(flows.order_groups(own, flows.group_edges(members, edges)), "group_id", "position") == [(1, 2), (2, 1), (3, 3)]
 
