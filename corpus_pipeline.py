@@ -32,7 +32,7 @@ def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose nearest labelled examples make them toxic (score of 0.5 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64("text") / 2).cast("long"))
+    key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1)))
     docs = docs.select(*COLUMNS).withColumn("_key", key)
     rejected = score_toxicity(docs, labels, id_col="_key").where("score >= 0.5").select("_key")
     return _without(docs, rejected, "_key").select(*COLUMNS)
