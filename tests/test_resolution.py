@@ -35,3 +35,35 @@ def test_import_lines(spark):
     flags = {(r.hunk_id, r.idx): r.is_import for r in got.collect()}
     assert [flags[1, i] for i in range(len(texts))] == [True, True, True, False, False, True, False, True, True]
     assert [flags[2, 0], flags[3, 0], flags[3, 1], flags[3, 2]] == [False, True, True, False]
+
+
+SYMBOLS = "snapshot_id string, symbol_id string, name string, kind string, file string, package string, container_id string, params int, variadic boolean, is_test boolean"
+REFS = "snapshot_id string, ref_id int, file string, package string, lang string, name string, arity int, is_test boolean"
+
+
+def test_constructors_fit_the_arity_or_give_the_type(spark):
+    symbols = spark.createDataFrame(
+        [
+            ("s", "A", "A", "class", "a.kt", "p", "a.kt", 0, False, False), ("s", "A.0", "A", "constructor", "a.kt", "p", "A", 0, False, False),
+            ("s", "A.2", "A", "constructor", "a.kt", "p", "A", 2, False, False), ("s", "B", "B", "class", "b.kt", "p", "b.kt", 1, False, False),
+        ],
+        SYMBOLS,
+    )
+    refs = spark.createDataFrame([("s", 1, "c.java", "p", "java", "A", 2, False), ("s", 2, "c.java", "p", "java", "B", 1, False), ("s", 3, "c.java", "p", "java", "Gone", 1, False)], REFS)
+    imports = spark.createDataFrame([], "snapshot_id string, file string, package string, name string")
+    wildcards = spark.createDataFrame([], "snapshot_id string, file string, package string")
+    got = resolution.resolve_constructors(refs, symbols, imports, wildcards)
+    assert rows(got, "ref_id", "symbol_id") == [(1, "A.2"), (2, "B")]
+
+
+def test_unknown_receivers_prefer_visible_types(spark):
+    method = lambda i, name, of, test=False: ("s", i, name, "method", f"{of}.kt", "p", of, 1, False, test)
+    symbols = spark.createDataFrame(
+        [method("A.pay", "pay", "A"), method("B.pay", "pay", "B"), method("C.pay", "pay", "C"), method("A.owe", "owe", "A"), method("T.owe", "owe", "T", True), method("A.get", "get", "A")]
+        + [method(f"D{i}.lend", "lend", f"D{i}") for i in range(3)],
+        SYMBOLS,
+    )
+    refs = spark.createDataFrame([("s", i, "x.java", "p", "java", name, 1, False) for i, name in ((1, "pay"), (2, "owe"), (3, "get"), (4, "lend"))], REFS)
+    visible = spark.createDataFrame([("s", "x.java", "A"), ("s", "x.java", "B")], "snapshot_id string, file string, type_id string")
+    got = resolution.unknown_receivers(refs, symbols, visible)
+    assert rows(got, "ref_id", "symbol_id", "confidence") == [(1, "A.pay", 0.25), (1, "B.pay", 0.25), (2, "A.owe", 0.5)]
