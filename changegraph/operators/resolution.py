@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changegraph.operators.graph import CALLABLE_KINDS, TYPE_KINDS, P, ancestors, closure
+from changegraph.operators.graph import CALLABLE_KINDS, TYPE_KINDS, P, ancestors, closure, store
 from changegraph.operators.matching import innermost_span, renormalise, resolve_names
 
 TYPE_TIERS = (1.0, 0.95, 0.9, 0.85, 0.3)
@@ -126,7 +126,8 @@ def resolve_calls(
     symbols (0.9). Anything else: methods of the name anywhere.
 
     outer: (type_id, outer_id, dist) with each type itself at 0; bound: (ref_id, type_name);
-    namespaces: (file, name, target_file). Candidates then have to fit the arity."""
+    namespaces: (file, name, target_file). Candidates then have to fit the arity. What several
+    steps read is stored once, so it is neither computed again nor planned again."""
     calls = refs.withColumn("_via", F.regexp_replace("receiver", r"^this\??\.", ""))
     named = F.col("_via").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$")
     form = F.when(F.col("receiver").isNull(), "none").when(F.col("receiver").isin("this", "self"), "own").when(F.col("receiver") == "super", "super").when(named, "name").otherwise("other")
@@ -136,13 +137,13 @@ def resolve_calls(
 
     none = calls.where("_form = 'none'")
     around = none.select(P, "ref_id", "type_id", "name").join(outer, [P, "type_id"]).select(P, "ref_id", F.col("outer_id").alias("type_id"), "name", F.col("dist").alias("_out"))
-    found = nearest_members(around, levels, members)
+    found = store(nearest_members(around, levels, members))
     first = found.groupBy(P, "ref_id").agg(F.min("_out").alias("_out"))
     inside = _share(found.join(first, [P, "ref_id", "_out"]), F.lit(0.9), "ref_id")
-    outside = plain(none.join(inside.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti"))
-    functions = resolve_functions(outside, symbols, imports, wildcards).drop("tier")
+    outside = store(plain(none.join(found.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti")))
+    functions = store(resolve_functions(outside, symbols, imports, wildcards).drop("tier"))
     left = outside.join(functions.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti").where(F.col("name").rlike("^[A-Z]"))
-    made = resolve_constructors(left, symbols, imports, wildcards)
+    made = store(resolve_constructors(left, symbols, imports, wildcards))
 
     own = nearest_members(calls.where("_form = 'own'").select(P, "ref_id", "type_id", "name"), levels, members)
     above = calls.where("_form = 'super'").select(P, "ref_id", F.col("type_id").alias("from_id"), "name").join(inherits.select(P, "from_id", F.col("to_id").alias("type_id"), "confidence"), [P, "from_id"])
@@ -150,12 +151,13 @@ def resolve_calls(
 
     names = calls.where("_form = 'name'").join(bound.select(P, "ref_id", "type_name"), [P, "ref_id"], "left")
     names = names.withColumn("type_name", F.coalesce("type_name", F.when(F.col("_via").rlike("^[A-Z]"), F.col("_via"))))
+    names = store(names)
     typed = names.where("type_name IS NOT NULL")
-    types = resolve_types(plain(typed.withColumn("name", F.col("type_name")).drop("type_name")), symbols, imports, wildcards)
+    types = store(resolve_types(plain(typed.withColumn("name", F.col("type_name")).drop("type_name")), symbols, imports, wildcards))
     on = typed.select(P, "ref_id", "name").join(types.select(P, "ref_id", F.col("symbol_id").alias("type_id"), "confidence"), [P, "ref_id"])
     on = nearest_members(on, levels, members)
     untyped = names.where("type_name IS NULL").drop("type_name")
-    spaces = untyped.join(namespaces.withColumnRenamed("name", "_via"), [P, "file", "_via"])
+    spaces = store(untyped.join(namespaces.withColumnRenamed("name", "_via"), [P, "file", "_via"]))
     tops = symbols.where("container_id IS NULL OR container_id = file").select(P, F.col("file").alias("target_file"), "name", "symbol_id")
     exported = spaces.join(tops, [P, "target_file", "name"])
     unknown = calls.where("_form = 'other'").unionByName(untyped.join(spaces.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti").select(*calls.columns))
@@ -165,6 +167,7 @@ def resolve_calls(
         _share(on, 0.95 * F.col("confidence"), "ref_id", "type_id"), _share(exported, F.lit(0.9), "ref_id"), unknown_receivers(plain(unknown), symbols, visible),
     ]
     rows = reduce(DataFrame.unionByName, out).groupBy(P, "ref_id", "symbol_id").agg(F.max("confidence").alias("confidence"))
+    rows = store(rows)
     rows = rows.join(symbols.select(P, "symbol_id", "params", "variadic"), [P, "symbol_id"]).join(refs.select(P, "ref_id", "arity", "lang"), [P, "ref_id"])
     return renormalise(rows).select(P, "ref_id", "symbol_id", "confidence").unionByName(made)
 

@@ -67,3 +67,29 @@ def test_unknown_receivers_prefer_visible_types(spark):
     visible = spark.createDataFrame([("s", "x.java", "A"), ("s", "x.java", "B")], "snapshot_id string, file string, type_id string")
     got = resolution.unknown_receivers(refs, symbols, visible)
     assert rows(got, "ref_id", "symbol_id", "confidence") == [(1, "A.pay", 0.25), (1, "B.pay", 0.25), (2, "A.owe", 0.5)]
+
+
+def test_calls_by_what_stands_before_the_name(spark):
+    sym = lambda i, name, kind, of: ("s", i, name, kind, "f.kt", "p", of, 0, False, False)
+    symbols = spark.createDataFrame(
+        [
+            sym("Base", "Base", "class", "f.kt"), sym("Base.go", "go", "method", "Base"), sym("Out", "Out", "class", "f.kt"), sym("Out.o", "o", "method", "Out"),
+            sym("Sub", "Sub", "class", "Out"), sym("Sub.m", "m", "method", "Sub"), sym("helper", "helper", "function", "f.kt"), sym("Out.quux", "quux", "method", "Out"),
+        ],
+        SYMBOLS,
+    )
+    calls = [(1, "go", None), (2, "o", None), (3, "helper", None), (4, "Base", None), (5, "m", "this"), (6, "go", "super"), (7, "go", "x"), (8, "helper", "ns"), (9, "quux", "y.z()"), (10, "gone", None)]
+    refs = spark.createDataFrame(
+        [("s", i, "f.kt", "p", "kotlin", "call", name, receiver, 0, "Sub.m", "Sub", i, False) for i, name, receiver in calls],
+        "snapshot_id string, ref_id int, file string, package string, lang string, kind string, name string, receiver string, arity int, scope_id string, type_id string, line int, is_test boolean",
+    )
+    table = lambda data, schema: spark.createDataFrame(data, "snapshot_id string, " + schema)
+    levels = table([("s", "Sub", "Sub", 0), ("s", "Sub", "Base", 1), ("s", "Base", "Base", 0), ("s", "Out", "Out", 0)], "type_id string, relative_id string, dist int")
+    inherits = table([("s", "Sub", "Base", 1.0)], "from_id string, to_id string, confidence double")
+    outer = table([("s", "Sub", "Sub", 0), ("s", "Sub", "Out", 1), ("s", "Base", "Base", 0), ("s", "Out", "Out", 0)], "type_id string, outer_id string, dist int")
+    got = resolution.resolve_calls(
+        refs, symbols, levels, inherits, outer, table([("s", 7, "Base")], "ref_id int, type_name string"), table([], "file string, package string, name string"),
+        table([], "file string, package string"), table([("s", "f.kt", "ns", "f.kt")], "file string, name string, target_file string"), table([], "file string, type_id string"),
+    )
+    want = [(1, "Base.go", 0.9), (2, "Out.o", 0.9), (3, "helper", 0.95), (4, "Base", 1.0), (5, "Sub.m", 0.9), (6, "Base.go", 0.9), (7, "Base.go", 0.95), (8, "helper", 0.9), (9, "Out.quux", 0.3)]
+    assert rows(got, "ref_id", "symbol_id", "confidence") == want
