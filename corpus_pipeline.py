@@ -70,8 +70,8 @@ STAGES = [
     ("source_mixing", source_mixing),
     ("packing", packing),
 ]
-#: Learned scores, sketches and seeded draws are not SQL; tests/llm/test_pipeline.py holds the stages against brute force,
-#: the first one against planted cases.
+#: Learned scores, sketches and seeded draws are not SQL; tests/llm/test_pipeline.py holds the stages against planted
+#: cases, brute force, targets and invariants.
 ORACLE_SQL = None
 
 

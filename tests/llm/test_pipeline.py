@@ -1,4 +1,4 @@
-"""Each stage of the corpus pipeline against brute force, or planted cases, on whole small tables."""
+"""Each stage of the corpus pipeline on a small table: planted cases, brute force, targets, invariants."""
 
 import hashlib
 import random
