@@ -168,3 +168,38 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     out = judge_urls(table(spark, sf_dir, "pages"), labels, rules)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from changegraph.llm.radix_dedup import remove_repeated_bytes
+
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op13_radix_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, octet_length(b) AS n, hex(b) AS x FROM d),
+-- 512 positions share a piece, so that a window is cut out of a short string
+piece AS (SELECT doc_id, p, substring(x, 1024 * p + 1, 1024 + 98) AS y FROM (SELECT doc_id, x, unnest(range((n + 511) // 512)) AS p FROM h)),
+win AS (SELECT doc_id, 512 * p + i AS s, y[2 * i + 1:2 * i + 100] AS g FROM (SELECT doc_id, p, y, unnest(range(least(512, len(y) // 2 - 49))) AS i FROM piece)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS first_doc FROM win) WHERE first_doc < doc_id),
+mark AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM again),
+span AS (
+    SELECT doc_id, min(s) AS a, max(s) + 50 AS z
+    FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM mark) GROUP BY doc_id, k),
+gap AS (
+    SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM span
+    UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id
+    UNION ALL SELECT doc_id, 0, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM span)),
+kept AS (
+    SELECT g.doc_id, string_agg(substring(h.x, (2 * g.a + 1)::BIGINT, (2 * (coalesce(g.z, h.n) - g.a))::BIGINT), '' ORDER BY g.a) AS x
+    FROM gap g JOIN h ON h.doc_id = g.doc_id GROUP BY g.doc_id),
+gone AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k FROM span GROUP BY doc_id)
+SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(gone.n, 0)::BIGINT AS n_removed, coalesce(gone.k, 0)::BIGINT AS n_spans,
+       sha256(unhex(kept.x)) AS kept_sha256
+FROM h LEFT JOIN gone ON gone.doc_id = h.doc_id LEFT JOIN kept ON kept.doc_id = h.doc_id
+"""
