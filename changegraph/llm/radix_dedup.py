@@ -18,9 +18,9 @@ significant digit down, and a suffix whose group has only one document drops out
    bytes are compared, no hash decides.
 4. Each group of documents is told which suffixes of its texts a smaller id has as well.
 
-One exchange of the texts serves the three passes over them. Groups hold some eight megabytes
-of text, whatever the session's settings, and long documents are worked on in slices, so a task's memory does
-not grow with the table. What a group sends about a passage does not depend on how many
+One exchange of the texts serves the three passes over them. Groups hold some six megabytes of
+text, whatever the session's settings, and long documents are hashed in slices, so a task's
+memory does not grow with the table. What a group sends about a passage does not depend on how many
 of its documents have it.
 
 Defined results: a null text is empty. A document without an id neither loses bytes nor makes
@@ -39,15 +39,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import mix64, n_groups, release
+from changegraph.llm.text import mix64, release
 
 NO_ID = np.iinfo(np.int64).max
-#: Text of a group of documents, in bytes.
-GROUP_BYTES = 8 << 20
+#: Text of a group of documents, in bytes; there are a few groups more, so that a small table is worked on by several tasks.
+GROUP_BYTES = 6 << 20
+MORE_GROUPS = 8
 #: Texts are hashed in slices of about so many bytes.
 SLICE_BYTES = 1 << 18
 #: Signatures with at least so many occurrences (or 255 in one group) have their suffixes dealt one by one.
-HEAVY = 1024
+HEAVY = 1 << 14
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -164,28 +165,37 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def repeated_suffixes(data: np.ndarray, start: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
     """Flags of the suffixes (first bytes ``start``, each at least ``window`` long) that a smaller id has too, by radix passes of eight bytes."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    left, group = np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
-    low = ids
+    word = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)  # eight bytes from each position, the first one leading
+    for size in (1, 2, 4):
+        word = (word[:-size] << np.uint64(8 * size)) | word[size:]
+    flags = np.zeros(len(start), dtype=bool)
+    left = np.arange(len(start))  # suffixes in order, groups side by side
+    fresh = np.zeros(len(start), dtype=bool)
+    fresh[:1] = True
     for depth in range(0, window, 8):
+        digit = word[start[left] + depth]
+        if window - depth < 8:
+            digit >>= np.uint64(8 * (8 - window + depth))
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(left)))
+        # Groups that agree in this digit are in order already; the others are sorted, each within its own places.
+        mixed = np.flatnonzero(np.repeat(np.logical_or.reduceat(digit != np.repeat(digit[first], size), first), size)) if len(first) else first
+        if len(mixed):
+            group = np.repeat(np.arange(len(first)), size)[mixed]
+            order = mixed[np.lexsort((digit[mixed], group)) if depth else np.argsort(digit[mixed])]
+            left[mixed], digit[mixed] = left[order], digit[order]
+            fresh[1:] |= digit[1:] != digit[:-1]
+            first = np.flatnonzero(fresh)
+            size = np.diff(np.append(first, len(left)))
         if not len(left):
-            break
-        digit = np.zeros(len(left), dtype=np.uint64)
-        for k in range(min(8, window - depth)):
-            digit = (digit << np.uint64(8)) | padded[start[left] + depth + k]
-        order = np.lexsort((digit, group))
-        left, group, digit = left[order], group[order], digit[order]
-        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]))
+            return flags
         own = ids[left]
-        low = np.minimum.reduceat(own, first)
-        several = low != np.maximum.reduceat(own, first)
-        size = np.diff(np.append(first, len(left)))
-        keep = np.repeat(several, size)
-        group, low = np.repeat(np.arange(len(first)), size)[keep], np.repeat(low, size)[keep]
-        left = left[keep]
-    flags = np.zeros(len(start), dtype=bool)
+        keep = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), size)
+        left, fresh = left[keep], fresh[keep]
     if len(left):
-        flags[left] = low < ids[left]
+        first, own = np.flatnonzero(fresh), ids[left]
+        low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(left))))
+        flags[left] = low < own
     return flags
 
 
@@ -254,7 +264,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError("the window must be of 2 bytes or more")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(2 * n_groups(docs.sparkSession), size // GROUP_BYTES + 1)
+    groups = size // GROUP_BYTES + MORE_GROUPS
     buckets = groups
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups))).repartition(groups, "g")
 
@@ -298,7 +308,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         runs = _Runs(Texts(left["id"], left["text"]), _Shared(right, buckets), window)
         out, g = [], left["g"][0].as_py()
         for b, i in _by_bucket(runs.bucket):
-            out.append((b, g, runs.size[i].astype("<u4").tobytes(), runs.low[i].astype("<i8").tobytes(), i.astype("<u4").tobytes(), b"".join([runs.texts[x] for x in i.tolist()])))
+            out.append((b, g, runs.size[i].astype("<u4").tobytes(), runs.low[i].astype("<i8").tobytes(), i.astype("<u4").tobytes(), pa.compress(b"".join([runs.texts[x] for x in i.tolist()]), "zstd", asbytes=True)))
         del runs
         release()
         return _table(out, _RUNS)
@@ -308,8 +318,10 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         sizes = sizes.astype(np.int64)
         low, _ = _joined(table["ids"], "<i8")
         numbers, _ = _joined(table["numbers"], "<u4")
-        data, _ = _joined(table["bytes"], "u1")
         length = sizes + window - 1
+        total = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(per_row)])]
+        texts = [pa.decompress(x, int(n), "zstd", asbytes=True) for x, n in zip(table["bytes"].to_pylist(), np.diff(total), strict=True)]
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         begin = np.cumsum(length) - length
         flags = repeated_suffixes(data, _ranges(begin, sizes), np.repeat(low, sizes), window)
         first = np.cumsum(sizes) - sizes
