@@ -203,3 +203,39 @@ SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(gone.n, 0)::BIGINT AS n_remove
        sha256(unhex(kept.x)) AS kept_sha256
 FROM h LEFT JOIN gone ON gone.doc_id = h.doc_id LEFT JOIN kept ON kept.doc_id = h.doc_id
 """
+
+
+@query
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changegraph.llm.ball_tree import best_documents
+
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+SQL["op11_ball_tree_search"] = r"""
+WITH terms AS (
+    SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+t AS (
+    SELECT side, id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM terms),
+tf AS (SELECT id AS doc_id, term, count(*) AS tf FROM t WHERE side = 0 GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // len AS m FROM n, total),
+part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS y FROM tf JOIN w USING (term) JOIN m USING (doc_id)),
+score AS (
+    SELECT id AS item_id, doc_id, sum(y)::BIGINT AS score
+    FROM (SELECT DISTINCT id, term FROM t WHERE side = 1) JOIN part USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changegraph.llm.conversation_repair import damaged_and_repaired
+
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
