@@ -6,6 +6,8 @@ from_id, to_id, kind, confidence, line).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,43 +190,56 @@ def reconcile_edges(edges: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("change").isin("added", "confirmed"), 1.0).when(F.col("change") == "kept", F.col("confidence")))
 
 
-def ancestors(symbols: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(symbol_id, ancestor_id, dist) over container_id, level by level."""
-    parent = symbols.where("container_id IS NOT NULL").select(P, "symbol_id", F.col("container_id").alias("ancestor_id"))
-    level = store(parent.withColumn("dist", F.lit(1)))
-    out, up = level, parent.select(P, F.col("symbol_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
-    for dist in range(2, max_depth + 1):
-        level = store(level.join(up, [P, "ancestor_id"]).select(P, "symbol_id", F.col("next").alias("ancestor_id"), F.lit(dist).alias("dist")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def ancestors(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, ancestor_id, dist) over container_id, level by level up to the outermost container."""
+    parent = symbols.where("container_id IS NOT NULL").select(P, F.col("symbol_id").alias("from_id"), F.col("container_id").alias("to_id"))
+    out = closure(parent, parent.select(P, F.col("from_id").alias("start_id")), None).where("dist > 0")
+    return out.select(P, F.col("start_id").alias("symbol_id"), F.col("node_id").alias("ancestor_id"), "dist")
+
+
+class _Levels:
+    """Stored levels of a traversal. They are only appended; many small ones are written together now and then, so that plans stay short."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, level: DataFrame) -> None:
+        self.parts.append(level)
+        if len(self.parts) > 24:
+            self.parts = [store(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
 
 
-def closure(pairs: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(start_id, node_id, dist): what each start reaches over (from_id, to_id), at the least distance, within ``max_depth`` steps."""
+def closure(pairs: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
+    """(start_id, node_id, dist): what each start reaches over (from_id, to_id), at the least distance, within ``max_depth`` steps (None: all)."""
     pairs = store(pairs.select(P, "from_id", "to_id").distinct())
-    seen = frontier = store(start.select(P, "start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("dist")).distinct())
-    for dist in range(1, max_depth + 1):
+    frontier = store(start.select(P, "start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("dist")).distinct())
+    seen, dist = _Levels(frontier), 0
+    while max_depth is None or dist < max_depth:
+        dist += 1
         step = frontier.join(pairs.withColumnRenamed("from_id", "node_id"), [P, "node_id"]).select(P, "start_id", F.col("to_id").alias("node_id")).distinct()
-        frontier = store(step.join(seen, [P, "start_id", "node_id"], "left_anti").withColumn("dist", F.lit(dist)))
+        frontier = store(step.join(seen.all(), [P, "start_id", "node_id"], "left_anti").withColumn("dist", F.lit(dist)))
         if frontier.isEmpty():
             break
-        seen = store(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
-def reach_back(edges: DataFrame, seeds: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(symbol_id, dist): what leads to a seed within ``max_depth`` steps, at the least distance."""
+def reach_back(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 12) -> DataFrame:
+    """(symbol_id, dist): what leads to a seed within ``max_depth`` steps (None: any number), at the least distance."""
     back = store(edges.select(P, F.col("to_id").alias("symbol_id"), F.col("from_id").alias("next")).distinct())
-    seen = frontier = store(seeds.select(P, "symbol_id", F.lit(0).alias("dist")).distinct())
-    for dist in range(1, max_depth + 1):
+    frontier = store(seeds.select(P, "symbol_id", F.lit(0).alias("dist")).distinct())
+    seen, dist = _Levels(frontier), 0
+    while max_depth is None or dist < max_depth:
+        dist += 1
         step = frontier.join(back, [P, "symbol_id"]).select(P, F.col("next").alias("symbol_id")).distinct()
-        frontier = store(step.join(seen, [P, "symbol_id"], "left_anti").withColumn("dist", F.lit(dist)))
+        frontier = store(step.join(seen.all(), [P, "symbol_id"], "left_anti").withColumn("dist", F.lit(dist)))
         if frontier.isEmpty():
             break
-        seen = store(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
 def callers(edges: DataFrame, overrides: DataFrame) -> DataFrame:

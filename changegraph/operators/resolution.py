@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changegraph.operators.graph import CALLABLE_KINDS, TYPE_KINDS, P, ancestors, closure, store
-from changegraph.operators.matching import innermost_span, renormalise, resolve_names
+from changegraph.operators.matching import innermost_span, renormalise
+from changegraph.operators.names import MOST_CANDIDATES, anywhere, by_tiers, fitting_anywhere, qualified_names
 
 TYPE_TIERS = (1.0, 0.95, 0.9, 0.85, 0.3)
 FUNCTION_TIERS = (0.95, 0.9, 0.85, 0.8, 0.3)
@@ -39,9 +40,9 @@ def _share(rows: DataFrame, factor, *keys: str) -> DataFrame:
     return rows.withColumn("confidence", factor / n).select(P, "ref_id", "symbol_id", "confidence")
 
 
-def hierarchy(inherits: DataFrame, types: DataFrame, most_levels: int = 64) -> DataFrame:
+def hierarchy(inherits: DataFrame, types: DataFrame) -> DataFrame:
     """(type_id, relative_id, dist): each type itself and its supertypes, at the least distance."""
-    out = closure(inherits, types.select(P, F.col("symbol_id").alias("start_id")), most_levels)
+    out = closure(inherits, types.select(P, F.col("symbol_id").alias("start_id")), None)
     return out.select(P, F.col("start_id").alias("type_id"), F.col("node_id").alias("relative_id"), "dist")
 
 
@@ -53,33 +54,78 @@ def nearest_members(wanted: DataFrame, levels: DataFrame, members: DataFrame) ->
     return rows.join(best, [P, "ref_id", "type_id", "dist"]).drop("relative_id", "dist").distinct()
 
 
-def resolve_types(refs: DataFrame, symbols: DataFrame, imports: DataFrame, wildcards: DataFrame) -> DataFrame:
-    """(ref_id, symbol_id, confidence, tier): the types that a name means, by tiers."""
-    return resolve_names(refs, symbols.where(_is(TYPE_KINDS)), imports, wildcards, TYPE_TIERS)
+def _valued(rows: DataFrame, tiers: tuple[float, ...], script: float | None = None) -> DataFrame:
+    """Candidates (ref_id, symbol_id, tier) with the tier's confidence, shared out."""
+    value = F.element_at(F.array(*map(F.lit, tiers)), F.col("tier") + 1)
+    if script is not None:
+        value = F.when((F.col("tier") == 1) & ~F.coalesce("lang", F.lit("")).isin("java", "kotlin") & F.col("lang").isNotNull(), script).otherwise(value)
+    n = F.count("*").over(Window.partitionBy(P, "ref_id"))
+    return rows.withColumn("confidence", value / n)
+
+
+def _types(symbols: DataFrame) -> DataFrame:
+    return (symbols if "qname" in symbols.columns else qualified_names(symbols)).where(_is(TYPE_KINDS))
+
+
+def resolve_types(refs: DataFrame, symbols: DataFrame, imports: DataFrame, wildcards: DataFrame, most: int | None = MOST_CANDIDATES) -> DataFrame:
+    """(ref_id, symbol_id, confidence, tier): the types that a name means, by tiers; more than ``most`` are ambiguous and give none.
+
+    Imports, packages and wildcards find types by qualified name, static imports do not count."""
+    types = _types(symbols)
+    near = store(by_tiers(refs, types, imports, wildcards))
+    left = refs.join(near.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti")
+    rows = near.where("symbol_id IS NOT NULL").unionByName(anywhere(left, types, most).withColumn("tier", F.lit(4)))
+    out = _valued(rows, TYPE_TIERS)
+    if most is not None:
+        out = out.withColumn("_n", F.count("*").over(Window.partitionBy(P, "ref_id"))).where(F.col("_n") <= most)
+    return out.select(P, "ref_id", "symbol_id", "confidence", "tier")
 
 
 def resolve_functions(refs: DataFrame, symbols: DataFrame, imports: DataFrame, wildcards: DataFrame) -> DataFrame:
     """(ref_id, symbol_id, confidence, tier): top-level callables by tiers; Java does not look anywhere else.
 
-    Top-level symbols are those whose container is their file or nothing."""
-    top = symbols.where(_is(CALLABLE_KINDS) & (F.col("container_id").isNull() | (F.col("container_id") == F.col("file"))))
-    out = resolve_names(refs, top, imports, wildcards, FUNCTION_TIERS)
-    java = refs.where("lang = 'java'").select(P, "ref_id")
-    return out.where("tier < 4").unionByName(out.where("tier = 4").join(java, [P, "ref_id"], "left_anti"))
+    Top-level symbols are those whose container is their file or nothing; in the JVM's tiers by name any callable of
+    the qualified name counts, so static imports reach methods. Scripts are as sure of an import (0.95) as of their own
+    file. Anywhere else, callables that fit the arity count, if they are few."""
+    named = symbols if "qname" in symbols.columns else qualified_names(symbols)
+    callables = named.where(_is(CALLABLE_KINDS))
+    top = callables.where(F.col("container_id").isNull() | (F.col("container_id") == F.col("file")))
+    refs = refs if "arity" in refs.columns else refs.withColumn("arity", F.lit(None).cast("int"))
+    # Only the tiers by qualified name see callables that are not top-level.
+    inner = callables.join(top.select(P, "symbol_id"), [P, "symbol_id"], "left_anti").withColumn("file", F.lit(None).cast("string"))
+    near = store(by_tiers(refs, top.unionByName(inner), imports, wildcards, static=True))
+    left = refs.join(near.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti").where("lang <> 'java' OR lang IS NULL")
+    rows = near.where("symbol_id IS NOT NULL").unionByName(fitting_anywhere(left, top).withColumn("tier", F.lit(4)))
+    return _valued(rows.join(refs.select(P, "ref_id", "lang"), [P, "ref_id"]), FUNCTION_TIERS, script=0.95).select(P, "ref_id", "symbol_id", "confidence", "tier")
 
 
 def resolve_constructors(refs: DataFrame, symbols: DataFrame, imports: DataFrame, wildcards: DataFrame) -> DataFrame:
-    """(ref_id, symbol_id, confidence): constructors of the named type that fit the arity; the type itself only if none does."""
-    types = resolve_types(refs, symbols, imports, wildcards).select(P, "ref_id", F.col("symbol_id").alias("type_id"), "confidence")
-    types = types.join(refs.select(P, "ref_id", "arity", "lang"), [P, "ref_id"])
+    """(ref_id, symbol_id, confidence): constructors of the named type that fit the arity; the type itself only if none does.
+
+    At most five over all types that the name may mean, counted after the arity has been looked at."""
+    symbols, refs = (df if "is_test" in df.columns else df.withColumn("is_test", F.lit(False)) for df in (symbols, refs))
+    types = _types(symbols)
     own = symbols.where("kind = 'constructor'").select(P, F.col("container_id").alias("type_id"), "symbol_id", "params", "variadic")
-    whole = symbols.where(_is(TYPE_KINDS)).select(P, F.col("symbol_id").alias("type_id"), "symbol_id", "params", "variadic")
-    options = types.join(own.unionByName(whole), [P, "type_id"])
+    whole = types.select(P, F.col("symbol_id").alias("type_id"), "symbol_id", "params", "variadic")
+    options = own.join(types.select(P, F.col("symbol_id").alias("type_id"), "name", "is_test"), [P, "type_id"]).unionByName(whole.join(types.select(P, F.col("symbol_id").alias("type_id"), "name", "is_test"), [P, "type_id"]))
+    near = store(by_tiers(refs, types, imports, wildcards))
+    left = refs.join(near.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti")
+    far = fitting_anywhere(left, options, group="type_id")
+    # As many types as the name has share its confidence, whether or not their constructors fit.
+    n = types.groupBy(P, "name").agg(F.count("*").alias("_all"), F.count_if(~F.col("is_test")).alias("_main"))
+    shared = left.select(P, "ref_id", "name", "is_test").join(n, [P, "name"]).select(P, "ref_id", (F.lit(TYPE_TIERS[4]) / F.when(F.col("is_test"), F.col("_all")).otherwise(F.col("_main"))).alias("confidence"))
+    far = far.join(shared, [P, "ref_id"])
+    named = _valued(near.where("symbol_id IS NOT NULL"), TYPE_TIERS).select(P, "ref_id", F.col("symbol_id").alias("type_id"), "confidence")
+    named = named.join(refs.select(P, "ref_id", "arity", "lang"), [P, "ref_id"]).join(options.drop("name", "is_test"), [P, "type_id"])
     # Each type's options are fitted apart, so a reference and a type are one key here.
-    fitted = renormalise(options.withColumns({"_ref": F.col("ref_id"), "ref_id": F.struct("ref_id", "type_id")}))
+    every = far.select(P, "ref_id", "type_id", "confidence").distinct().join(refs.select(P, "ref_id", "arity", "lang"), [P, "ref_id"]).join(options.drop("name", "is_test"), [P, "type_id"])
+    both = named.select(*every.columns).unionByName(every)
+    fitted = renormalise(both.withColumns({"_ref": F.col("ref_id"), "ref_id": F.struct("ref_id", "type_id")}), cap=None)
     fitted = fitted.withColumn("ref_id", F.col("_ref")).withColumn("_own", F.col("symbol_id") != F.col("type_id"))
     explicit = F.bool_or("_own").over(Window.partitionBy(P, "ref_id", "type_id"))
-    return fitted.withColumn("_any", explicit).where("_own OR NOT _any").select(P, "ref_id", "symbol_id", "confidence")
+    out = fitted.withColumn("_any", explicit).where("_own OR NOT _any")
+    out = out.withColumn("_n", F.count("*").over(Window.partitionBy(P, "ref_id"))).where(F.col("_n") <= MOST_CANDIDATES)
+    return out.select(P, "ref_id", "symbol_id", "confidence")
 
 
 def unknown_receivers(refs: DataFrame, symbols: DataFrame, visible: DataFrame, common: tuple[str, ...] = COMMON_NAMES) -> DataFrame:
@@ -190,10 +236,11 @@ def reference_edges(refs: DataFrame, resolved: DataFrame, above: DataFrame) -> t
 def import_edges(imports: DataFrame, symbols: DataFrame, module_files: DataFrame) -> DataFrame:
     """(from_id, to_id, kind, confidence, line): from a file to what it imports.
 
-    imports: (import_id, file, package, name, line, is_jvm), a row a name (null: none). On the JVM
-    the qualified name, shared among its symbols; in scripts the top-level symbols of the
+    imports: (import_id, file, package, name, line, is_jvm), a row a name (null: none), as it is called where it
+    comes from. On the JVM the symbols of the qualified name share it (a class is not its constructor); in scripts the top-level symbols of the
     resolved file (module_files: import_id, path), or that file where none is named."""
-    jvm = imports.where("is_jvm").join(symbols.select(P, "package", "name", F.col("symbol_id").alias("to_id")), [P, "package", "name"])
+    named = symbols if "qname" in symbols.columns else qualified_names(symbols)
+    jvm = imports.where("is_jvm").withColumn("qname", F.concat(F.col("package").cast("string"), F.lit("."), "name")).join(named.select(P, "qname", F.col("symbol_id").alias("to_id")), [P, "qname"]).drop("qname")
     jvm = jvm.withColumn("confidence", 1.0 / F.count("*").over(Window.partitionBy(P, "import_id", "name")))
     script = imports.where("NOT is_jvm").join(module_files, [P, "import_id"])
     tops = symbols.where("kind <> 'file' AND (container_id IS NULL OR container_id = file)").select(P, F.col("file").alias("path"), "name", F.col("symbol_id").alias("to_id"))
