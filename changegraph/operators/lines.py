@@ -64,16 +64,19 @@ def hunk_digest(lines: DataFrame, n: int = 3, width: int = 80, section_width: in
 # Languages where a line that begins with ``import`` is prose or data.
 NO_IMPORTS = ("markdown", "json", "yaml", "xml", "html", "properties", "toml", "sql", "shell", "css", "scss")
 
+#: What is trimmed around a line.
+BLANKS = " \t\n\x0b\f\r"
+
 
 def _imports(t: Column, script: Column) -> Column:
     """Whether a trimmed line begins an import, package or re-export."""
-    after = F.ltrim(F.substr(t, F.lit(7)))
+    after = F.ltrim(F.substr(t, F.lit(7)), F.lit(BLANKS))
     plain = t.rlike(r"^import([ {*]|$|\s*\()")
     whole = ~(script & after.rlike("^[\"'`]")) & ((after == "(") | ~after.startswith("("))
     source = F.regexp_extract(t, r"^.*? from (.*)$", 1)
     return (
         F.when(plain, whole).when(t.startswith("from "), t.contains(" import ") | t.endswith(" import"))
-        .when(t.rlike("^(export |})"), F.ltrim(source).rlike("^[\"'`]"))
+        .when(t.rlike("^(export |})"), F.ltrim(source, F.lit(BLANKS)).rlike("^[\"'`]"))
         .when(t.rlike("^(pub use |use )"), ~t.contains("(") & t.rlike("[;{]$")).when(t.startswith("using "), t.endswith(";") & ~t.contains("("))
         .otherwise(t.rlike("^(package |#include|#import|require |require_relative )") | t.contains("= require("))
     )
@@ -85,7 +88,7 @@ def import_lines(lines: DataFrame) -> DataFrame:
     A script's import without bindings and a dynamic import are code. Whether a line stands in an
     open import follows from the last line that surely opened or closed one, and from how many
     lines since then could do both."""
-    t = F.trim(F.col("text"))
+    t = F.trim(F.col("text"), F.lit(BLANKS))
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c)))
     begins = _imports(t, F.coalesce(F.col("language").isin("typescript", "tsx", "javascript"), F.lit(False)))
     opens = begins & ((count("{") > count("}")) | (count("(") > count(")")))
@@ -181,26 +184,55 @@ def group_by_directory(items: DataFrame, most: int = 40) -> DataFrame:
     return done
 
 
+def running_sums(rows: DataFrame, key: list[str], order: list[str], value: Column) -> DataFrame:
+    """Adds ``_pos`` (from 0) and ``_before``, the sum of ``value`` over earlier rows of the key.
+
+    Rows are sorted by ranges; a key's sums are added up over the ranges that it spans, so no key is gathered in one task."""
+    by = [F.col(c) for c in [*key, *order]]
+    placed = store(rows.withColumn("_v", value.cast("long")).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    inner = Window.partitionBy("_part", *key).orderBy(*order)
+    placed = placed.withColumns({"_pos": F.row_number().over(inner) - 1, "_before": F.sum("_v").over(inner) - F.col("_v")})
+    parts = placed.groupBy("_part", *key).agg(F.sum("_v").alias("_sum"), F.count("*").alias("_n"))
+    outer = Window.partitionBy(*key).orderBy("_part")
+    parts = parts.select("_part", *key, (F.sum("_sum").over(outer) - F.col("_sum")).alias("_sums"), (F.sum("_n").over(outer) - F.col("_n")).alias("_rows"))
+    out = placed.join(parts, ["_part", *key])
+    return out.withColumns({"_pos": F.col("_pos") + F.col("_rows"), "_before": F.col("_before") + F.col("_sums")}).drop("_part", "_v", "_sums", "_rows")
+
+
 def pack_batches(items: DataFrame, budget: int) -> DataFrame:
     """Adds batch from 0 to (review_id, dir, ord, weight) items, taken in order; a directory that fits is not split.
 
-    A review's directories are folded in order on their total weights, which stays inside one row
-    a review; heavier directories are cut item by item."""
-    w = Window.partitionBy("review_id", "dir")
-    items = items.withColumn("_dir_weight", F.sum("weight").over(w)).withColumn("_first", F.min("ord").over(w))
-    step = F.struct(F.col("_first").alias("f"), F.col("ord").alias("o"), F.col("dir").alias("d"), F.col("weight").cast("long").alias("w"), F.col("_dir_weight").cast("long").alias("t"))
-    ordered = items.groupBy("review_id").agg(F.array_sort(F.collect_list(step)).alias("_all"))
-    zero = F.expr("named_struct('batch', 0L, 'size', 0L, 'dir', cast(null as string), 'out', cast(array() as array<struct<o:bigint,batch:bigint>>))")
-
-    def fold(acc: Column, x: Column) -> Column:
-        need = F.when((acc["dir"].isNull() | (acc["dir"] != x["d"])) & (x["t"] <= budget), x["t"]).otherwise(x["w"])
-        new = (acc["size"] > 0) & (acc["size"] + need > budget)
-        batch = acc["batch"] + new.cast("long")
-        size = F.when(new, x["w"]).otherwise(acc["size"] + x["w"])
-        return F.struct(batch.alias("batch"), size.alias("size"), x["d"].alias("dir"), F.array_append(acc["out"], F.struct(x["o"].cast("long").alias("o"), batch.alias("batch"))).alias("out"))
-
-    packed = ordered.select("review_id", F.explode(F.aggregate("_all", zero, fold)["out"]).alias("p")).select("review_id", F.col("p.o").alias("ord"), F.col("p.batch").alias("batch"))
-    return items.drop("_dir_weight", "_first").join(packed, ["review_id", "ord"])
+    Units are directories that fit, and the items of the others. From running sums each unit learns where the batch
+    that it would begin must end: at the first later unit beyond the budget, which stands in its own stretch of
+    ``budget`` or the next one. Following these pointers from the first unit, twice as far in each round, marks the units
+    that do begin a batch. Units beyond the budget are batches of their own. No task holds a whole review."""
+    key = ["review_id"]
+    dirs = items.groupBy("review_id", "dir").agg(F.sum("weight").alias("_total"), F.min("ord").alias("_first"))
+    rows = store(items.join(dirs, ["review_id", "dir"]).withColumn("_fits", F.col("_total") <= budget).withColumn("_unit", F.when(F.col("_fits"), F.col("_first")).otherwise(F.col("ord"))))
+    units = rows.groupBy("review_id", "_first", "_unit").agg(F.sum("weight").cast("long").alias("_w"))
+    units = store(running_sums(units, key, ["_first", "_unit"], F.col("_w") > budget))
+    segment = 2 * F.col("_before") + (F.col("_w") > budget).cast("long")
+    units = units.select("review_id", "_first", "_unit", "_w", F.col("_pos").alias("_at"), segment.alias("_segment"))
+    units = store(running_sums(units, [*key, "_segment"], ["_at"], F.col("_w")))
+    whole = units.where(F.col("_w") <= budget)
+    stretch = lambda x: F.floor(x / budget)
+    end = F.col("_before") + F.col("_w")
+    points = whole.select("review_id", "_segment", stretch(end).alias("_s"), end.alias("_x"), F.lit(0).alias("_asks"), "_at")
+    asks = whole.select("review_id", "_segment", stretch(F.col("_before") + budget).alias("_s"), (F.col("_before") + budget).alias("_x"), F.lit(1).alias("_asks"), "_at")
+    w = Window.partitionBy("review_id", "_segment", "_s").orderBy("_x", "_asks", "_at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    here = points.unionByName(asks).withColumn("_next", F.first(F.when(F.col("_asks") == 0, F.col("_at")), ignorenulls=True).over(w)).where("_asks = 1")
+    later = points.groupBy("review_id", "_segment", (F.col("_s") - 1).alias("_s")).agg(F.min("_at").alias("_later"))
+    here = here.join(later, ["review_id", "_segment", "_s"], "left")
+    jump = store(here.select("review_id", "_at", F.coalesce("_next", "_later").alias("_to")).where("_to IS NOT NULL"))
+    begins = store(units.groupBy("review_id", "_segment").agg(F.min("_at").alias("_at")).select("review_id", "_at"))
+    while not jump.isEmpty():
+        begins = store(begins.unionByName(begins.join(jump, ["review_id", "_at"]).select("review_id", F.col("_to").alias("_at"))).distinct())
+        onward = jump.select("review_id", F.col("_at").alias("_to"), F.col("_to").alias("_far"))
+        jump = store(jump.join(onward, ["review_id", "_to"]).select("review_id", "_at", F.col("_far").alias("_to")))
+    begun = units.select("review_id", "_unit", "_at").join(begins.withColumn("_begins", F.lit(1)), ["review_id", "_at"], "left")
+    numbered = running_sums(begun, key, ["_at"], F.coalesce("_begins", F.lit(0)))
+    batch = F.col("_before") + F.coalesce("_begins", F.lit(0)) - 1
+    return rows.join(numbered.select("review_id", "_unit", batch.alias("batch")), ["review_id", "_unit"]).select(*items.columns, "batch")
 
 
 def package_roots(files: DataFrame) -> DataFrame:

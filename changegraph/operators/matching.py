@@ -101,28 +101,49 @@ def resolve_module_path(imports: DataFrame, files: DataFrame, suffixes: tuple[st
 def match_routes(calls: DataFrame, endpoints: DataFrame, most: int = 5) -> DataFrame:
     """(call_id, endpoint_id, confidence): the best endpoints of each call, by segments aligned from the end.
 
-    calls: (call_id, method, segments); endpoints: (endpoint_id, method, segments), variables
-    being ``{}`` and the method ``ANY`` fitting all. Candidates share a literal at the same
-    distance from the end. More than ``most`` equally good endpoints give none."""
-    lit = lambda df, key: df.select(
-        P, *[F.col(c).alias(f"{key}_{c}") for c in df.columns if c != P], F.posexplode(F.reverse("segments")).alias("_d", "_s")
-    ).where("_s <> '{}'")
-    pairs = lit(calls, "c").join(lit(endpoints, "e"), [P, "_d", "_s"]).drop("_d", "_s").distinct()
+    calls: (call_id, method, segments) and optionally ``open`` (an unknown base leads) and ``from_id`` (a symbol does not
+    call itself); endpoints: (endpoint_id, method, segments) and optionally ``context``, segments that may stand before;
+    variables are ``{}`` and the method ``ANY`` fits all. More than ``most`` equally good endpoints give none.
+
+    The first place from the end where both have a literal must hold the same one. A pair meets there and
+    nowhere else: by the place, the literal, and which of the places after it are variables in either. So a literal that
+    many routes share, such as a common prefix, pairs only what could match."""
+    calls = calls if "open" in calls.columns else calls.withColumn("open", F.lit(False))
+    calls = calls if "from_id" in calls.columns else calls.withColumn("from_id", F.lit(None).cast("string"))
+    ends = endpoints.select(P, "endpoint_id", "method", "segments")
+    if "context" in endpoints.columns:
+        ends = ends.unionByName(endpoints.where("context IS NOT NULL").select(P, "endpoint_id", "method", F.concat("context", "segments").alias("segments")))
+
+    def literals(df: DataFrame, key: str) -> DataFrame:
+        """A row for each literal: its place from the end and a mark for each place after it (v: variable)."""
+        back = df.withColumn("_back", F.reverse("segments"))
+        marks = F.array_join(F.transform("_back", lambda x: F.when(x == "{}", "v").otherwise("l")), "")
+        rows = back.withColumn("_marks", marks).select("*", F.posexplode("_back").alias("_d", "_s")).where("_s <> '{}'")
+        rows = rows.withColumn("_m", F.substr("_marks", F.lit(1), F.col("_d")))
+        return rows.select(P, "_d", "_s", F.col("_m").alias(f"_{key}m"), *[F.col(c).alias(f"{key}_{c}") for c in df.columns if c != P])
+
+    c, e = literals(calls, "c"), literals(ends, "e")
+    # Which marks can meet: at each place at least one variable. There are only as many as kinds of routes.
+    fits = c.select("_d", "_cm").distinct().join(e.select("_d", "_em").distinct(), "_d")
+    fits = fits.where(~F.exists(F.arrays_zip(F.split("_cm", "").alias("x"), F.split("_em", "").alias("y")), lambda z: (z["x"] == "l") & (z["y"] == "l")))
+    pairs = c.join(fits, ["_d", "_cm"]).join(e, [P, "_d", "_s", "_em"])
+    if dict(calls.dtypes)["from_id"] == dict(endpoints.dtypes)["endpoint_id"]:
+        pairs = pairs.where(~F.col("c_from_id").eqNullSafe(F.col("e_endpoint_id")))
     aligned = F.arrays_zip(F.reverse("c_segments").alias("c"), F.reverse("e_segments").alias("e"))
     aligned = F.slice(aligned, F.lit(1), F.least(F.size("c_segments"), F.size("e_segments")))
 
     def score(acc: Column, x: Column) -> Column:
-        c, e = x["c"], x["e"]
-        one = F.when(c == e, 1.0).when(e == "{}", 0.85).when(c == "{}", 0.6).otherwise(0.0)
+        one = F.when(x["c"] == x["e"], 1.0).when(x["e"] == "{}", 0.85).when(x["c"] == "{}", 0.6).otherwise(0.0)
         return acc * one
 
-    length = F.when(F.size("c_segments") == F.size("e_segments"), 1.0).when(F.size("e_segments") > F.size("c_segments"), 0.6).otherwise(0.7)
+    more = F.size("e_segments") - F.size("c_segments")
+    length = F.when(more == 0, 1.0).when((more > 0) & F.col("c_open"), 0.85).when(more > 0, 0.6).otherwise(0.7)
     method = F.when(F.col("c_method") == F.col("e_method"), 1.0).when((F.col("c_method") == "ANY") | (F.col("e_method") == "ANY"), 0.8).otherwise(0.0)
     rows = pairs.withColumn("_score", F.aggregate(aligned, F.lit(1.0), score) * length * method).where("_score > 0")
-    best = rows.groupBy(P, "c_call_id").agg(F.max("_score").alias("_best"))
-    rows = rows.join(best, [P, "c_call_id"]).where(F.col("_score") >= F.col("_best") - 1e-4)
-    k = F.count("*").over(Window.partitionBy(P, "c_call_id"))
-    rows = rows.withColumn("_k", k).where(F.col("_k") <= most)
+    rows = rows.groupBy(P, "c_call_id", "e_endpoint_id").agg(F.max("_score").alias("_score"))
+    w = Window.partitionBy(P, "c_call_id")
+    rows = rows.withColumn("_best", F.max("_score").over(w)).where(F.col("_score") >= F.col("_best") - 1e-4)
+    rows = rows.withColumn("_k", F.count("*").over(w)).where(F.col("_k") <= most)
     return rows.select(P, F.col("c_call_id").alias("call_id"), F.col("e_endpoint_id").alias("endpoint_id"), (0.9 * F.col("_score") / F.col("_k")).alias("confidence"))
 
 

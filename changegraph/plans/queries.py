@@ -311,7 +311,7 @@ def group_by_directory(spark, d):
 def pack_batches(spark, d):
     f = v.files(spark, d)
     items = f.select("review_id", F.concat("review_id", F.lit("/"), "source").alias("dir"), F.col("doc_id").alias("ord"), "weight")
-    return ln.pack_batches(items.withColumn("review_id", F.concat("review_id", (F.col("ord") % 50).cast("string"))), 40)
+    return ln.pack_batches(items, 40)
 
 
 @query(sql(""", x AS (SELECT review_id, source AS module, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS p FROM files),

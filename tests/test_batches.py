@@ -46,3 +46,26 @@ def test_pack_batches_keeps_directories_whole(spark):
         inorder = sorted((r for r in got if r.review_id == review), key=lambda r: (first[review, r.dir], r.ord))
         numbers = [r.batch for r in inorder]
         assert numbers == sorted(numbers) and set(numbers) == set(range(max(numbers) + 1))
+
+
+def test_pack_batches_equals_a_sequential_fold(spark):
+    rnd = random.Random(7)
+    data = [(f"r{i % 4 if i < 300 else 9}", f"d{rnd.randrange(14)}", i, rnd.choice((1, 2, 3, 5, 9, 30))) for i in range(330)] + [("one", "d", 1, 99)]
+    items = defaultdict(list)
+    for review, folder, order, weight in data:
+        items[review].append((folder, order, weight))
+    want = {}
+    for review, own in items.items():
+        total, first = defaultdict(int), {}
+        for folder, order, weight in own:
+            total[folder] += weight
+            first[folder] = min(first.get(folder, order), order)
+        batch, size, last = -1, 0, None
+        for folder, order, weight in sorted(own, key=lambda x: (first[x[0]], x[1])):
+            need = total[folder] if folder != last and total[folder] <= 20 else weight
+            if batch < 0 or size + need > 20 and not (folder == last and total[folder] <= 20):
+                batch, size = batch + 1, 0
+            size, last = size + weight, folder
+            want[review, order] = batch
+    df = spark.createDataFrame(data, "review_id string, dir string, ord long, weight int")
+    assert {(r.review_id, r.ord): r.batch for r in pack_batches(df, budget=20).collect()} == want

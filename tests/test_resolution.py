@@ -28,6 +28,13 @@ def test_tests_of_enclosing_types(spark):
     assert rows(got, "test_id", "confidence", "via") == [("T", 0.5, "A"), ("t1", 0.8, None)]
 
 
+def test_import_lines_indented_by_tabs(spark):
+    texts = ["\timport os", "\t from a import b\r", "\tx = 1", "export * from\t'x'"]
+    data = [("r", i, 0, t, "python") for i, t in enumerate(texts)]
+    got = lines.import_lines(spark.createDataFrame(data, "review_id string, hunk_id int, idx int, text string, language string"))
+    assert [r.is_import for r in sorted(got.collect(), key=lambda r: r.hunk_id)] == [True, True, False, False]
+
+
 def test_import_lines(spark):
     texts = ["import { a,", "  b", "} from 'x'", "import './run'", "import('late')", "import c from 'c'", "let x = 1", "export { d } from 'd'", "const e = require('e')"]
     data = [("r", 1, i, t, "typescript") for i, t in enumerate(texts)] + [("r", 2, 0, "import this is prose", "markdown"), ("r", 3, 0, "from a import (", "python"), ("r", 3, 1, "b)", "python"), ("r", 3, 2, "b()", "python")]
