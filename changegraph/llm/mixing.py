@@ -30,6 +30,8 @@ from changegraph.llm.text import words as split_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_SOURCES = 1_000_000
+#: Draws are exact below 10**9 blocks in all; a mix that would have more than this gets longer blocks.
+MOST_BLOCKS = 500_000_000
 
 
 def targets(sizes: list[int], weights: list[float], repeats: int = 3) -> list[float]:
@@ -105,6 +107,7 @@ def mix(
     sizes = [s for _, s in sources]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], repeats)
     words = [min(round(g), repeats * s) for g, s in zip(goal, sizes, strict=True)]
+    block_words = max(block_words, -(-sum(words) // MOST_BLOCKS))
     table = [(name, i, s, g, w) for i, ((name, s), g, w) in enumerate(zip(sources, goal, words, strict=True))]
     facts = spark.createDataFrame(table, "source string, source_no int, source_size long, target double, words long")
 

@@ -118,10 +118,14 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = mix(table(spark, sf_dir, "documents"))
     # Documents of size 0 stay a row each; the others are told apart by their place in the stream.
-    none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    no = F.array().cast("array<struct<shard:bigint,place:bigint,taken:bigint>>").alias("places")
+    none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), no)
     some = placed.where("size > 0").groupBy("doc_id", "h", "source", "size", "source_size", "target", "start")
-    taken = some.agg(F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("taken"))), F.lit(0)).alias("taken"))
-    return none.unionByName(taken.select("doc_id", "size", "source_size", "target", "taken"))
+    # Each copy with the shard that the tree dealt its block to, and its place there.
+    copy = F.when(F.col("shard").isNotNull(), F.struct("shard", "place", F.col("taken").cast("long").alias("taken")))
+    dealt = some.agg(F.sort_array(F.collect_list(copy)).alias("places"))
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["taken"])
+    return none.unionByName(dealt.select("doc_id", "size", "source_size", "target", total.alias("taken"), "places"))
 
 
 

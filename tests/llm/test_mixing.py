@@ -52,3 +52,37 @@ def test_mixed_documents_hold_the_words_taken(spark):
 
 def test_mix_of_nothing(spark):
     assert mix(frame(spark, [])).count() == 0
+
+
+def test_blocks_go_where_a_walk_down_the_tree_sends_them(spark):
+    """Every copy stands in the shard that gets its block when the shards are walked one after the other."""
+    placed = [r for r in mix(frame(spark), block_words=50, shard_blocks=8, seed=17).collect() if r.copy is not None]
+    sources = sorted({(r.source is None, r.source or "") for r in placed})
+    names = [None if none else name for none, name in sources]
+    size = {}
+    for _, t, _, s, *_ in rows():
+        size[s] = size.get(s, 0) + len(words(t))
+    order = sorted(size, key=lambda x: (x is None, x or ""))
+    goal = dict(zip(order, targets([size[s] for s in order], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(order))])))
+    quotas = np.array([-(-min(round(goal[s]), 3 * size[s]) // 50) for s in order])
+    n_shards = max(1, -(-int(quotas.sum()) // 8))
+    dealt, begin = {}, np.zeros_like(quotas)
+    for shard in range(n_shards):
+        counts, first = shard_quotas(shard, n_shards, quotas, 17)
+        assert (first == begin).all()
+        for s, n in enumerate(counts.tolist()):
+            for b in permuted(np.arange(begin[s], begin[s] + n), int(quotas[s]), 17 * 1_000_003 + s).tolist():
+                assert dealt.setdefault((order[s], b), shard) == shard
+        begin = begin + counts
+    assert (begin == quotas).all() and set(names) <= set(order)
+    for r in placed:
+        assert r.shard == dealt[r.source, (r.copy * r.source_size + r.start) // 50]
+
+
+def test_longer_blocks_where_there_would_be_too_many(spark, monkeypatch):
+    from changegraph.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    placed = mix(frame(spark), block_words=1, shard_blocks=2).where("taken > 0")
+    assert placed.select("source", "shard").where("shard IS NULL").count() == 0
+    assert placed.groupBy().sum("taken").first()[0] == mix(frame(spark)).where("taken > 0").groupBy().sum("taken").first()[0]
