@@ -40,7 +40,8 @@ def join_path(a: Column, b: Column) -> Column:
 
 
 def decapitalize(c: Column) -> Column:
-    return F.concat(F.lower(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
+    """``OwnerService`` as ``ownerService``; ``URLService`` stays as it is."""
+    return F.when(c.rlike(r"^.\p{Lu}"), c).otherwise(F.concat(F.lower(F.substring(c, 1, 1)), F.substr(c, F.lit(2))))
 
 
 def squash(c: Column, n: int) -> Column:

@@ -95,6 +95,22 @@ def _loose(arity: str = "arity") -> Column:
     return F.coalesce((F.coalesce(F.col("lang"), F.lit("")) != "java") & (F.col("params") > F.col(arity)), F.lit(False))
 
 
+def fitting_counts(refs: DataFrame, options: DataFrame) -> DataFrame:
+    """(name, arity, lang, is_test, any_fits, n): for what references ask, whether an option of the name fits the arity, and how many are left.
+
+    Options are counted by (name, params, variadic, is_test) first, so what is asked meets kinds of options and not each one."""
+    kinds = options.groupBy(P, "name", "params", "variadic", F.col("is_test").alias("_test")).agg(F.count("*").alias("_k"))
+    rows = refs.select(P, "name", "arity", "lang", "is_test").distinct().join(kinds, [P, "name"]).where("is_test OR NOT _test").withColumns({"_fits": _fits(), "_may": _loose()})
+    n = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("_k"))), F.lit(0))
+    out = rows.groupBy(P, "name", "arity", "lang", "is_test").agg(n("_fits").alias("_f"), n("_may").alias("_m"))
+    return out.select(P, "name", "arity", "lang", "is_test", (F.col("_f") > 0).alias("any_fits"), F.when(F.col("_f") > 0, F.col("_f")).otherwise(F.col("_m")).alias("n"))
+
+
+def still_fits() -> Column:
+    """Of rows with arity, params, variadic, lang and any_fits: whether the option is left."""
+    return _fits() | (~F.col("any_fits") & _loose())
+
+
 def fitting_anywhere(refs: DataFrame, options: DataFrame, group: str | None = None, most: int = MOST_CANDIDATES) -> DataFrame:
     """(ref_id, symbol_id, group): callables of the name anywhere that fit the arity, if at most ``most`` do.
 

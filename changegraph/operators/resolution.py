@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from changegraph.operators.graph import CALLABLE_KINDS, TYPE_KINDS, P, ancestors, closure, store
 from changegraph.operators.matching import innermost_span, renormalise
-from changegraph.operators.names import MOST_CANDIDATES, anywhere, by_tiers, fitting_anywhere, qualified_names
+from changegraph.operators.names import MOST_CANDIDATES, anywhere, by_tiers, fitting_anywhere, fitting_counts, qualified_names, still_fits
 
 TYPE_TIERS = (1.0, 0.95, 0.9, 0.85, 0.3)
 FUNCTION_TIERS = (0.95, 0.9, 0.85, 0.8, 0.3)
@@ -128,24 +128,28 @@ def resolve_constructors(refs: DataFrame, symbols: DataFrame, imports: DataFrame
     return out.select(P, "ref_id", "symbol_id", "confidence")
 
 
-def unknown_receivers(refs: DataFrame, symbols: DataFrame, visible: DataFrame, common: tuple[str, ...] = COMMON_NAMES) -> DataFrame:
+def unknown_receivers(refs: DataFrame, symbols: DataFrame, visible: DataFrame, common: tuple[str, ...] = COMMON_NAMES, often: int = 1000) -> DataFrame:
     """(ref_id, symbol_id, confidence): methods of the name anywhere; 0.5 shared by those of visible types, else 0.3 if there are one or two.
 
     visible: (file, type_id), types declared in, imported by or of the package of a file. Common
-    and very short names are not guessed; main code does not see tests."""
+    and very short names are not guessed; main code does not see tests. Methods that fit the arity are counted
+    before any is joined. A name of up to ``often`` methods finds the visible ones through the name, any other through
+    the file's types; both give the same."""
     asked = refs.where(~F.col("name").isin(*common) & (F.length("name") >= 3))
-    methods = symbols.where("kind = 'method'").select(P, "name", "symbol_id", F.col("container_id").alias("type_id"), "params", "variadic", F.col("is_test").alias("_test"))
-    # At most two stay unless their types are visible, so others are joined through the visible types alone.
-    few = methods.join(methods.groupBy(P, "name").agg(F.count("*").alias("_n")).where("_n <= 64").drop("_n"), [P, "name"])
-    near = asked.join(visible, [P, "file"]).join(methods, [P, "type_id", "name"]).withColumn("_near", F.lit(True))
-    far = asked.join(few, [P, "name"]).withColumn("_near", F.lit(False))
-    columns = (P, "ref_id", "symbol_id", "arity", "lang", "params", "variadic", "_near")
-    seen = near.where("is_test OR NOT _test").select(*columns).unionByName(far.where("is_test OR NOT _test").select(*columns))
-    rows = seen.groupBy(*[c for c in columns if c != "_near"]).agg(F.bool_or("_near").alias("_near")).withColumn("confidence", F.lit(1.0))
-    rows = renormalise(rows, cap=None)
-    w = Window.partitionBy(P, "ref_id")
-    rows = rows.withColumn("_any", F.bool_or("_near").over(w)).withColumn("_all", F.count("*").over(w))
-    close, other = rows.where("_any AND _near"), rows.where("NOT _any AND _all <= 2")
+    methods = symbols.where("kind = 'method'").select(P, "name", "symbol_id", F.col("container_id").alias("type_id"), "params", "variadic", "is_test")
+    counts = fitting_counts(asked, methods).where("n > 0")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (P, "name", "arity", "lang", "is_test")]
+    asked = asked.alias("a").join(counts.alias("c"), reduce(lambda x, y: x & y, same)).select("a.*", "c.any_fits", "c.n")
+    asked = store(asked.select(P, "ref_id", "file", "name", "arity", "lang", "is_test", "any_fits", "n"))
+    m = methods.withColumnRenamed("is_test", "_test")
+    in_file = asked.select(P, "file", "name").distinct().join(methods.groupBy(P, "name").agg(F.count("*").alias("_all")), [P, "name"])
+    by_name = in_file.where(F.col("_all") <= often).join(m, [P, "name"]).join(visible.select(P, "file", "type_id").distinct(), [P, "file", "type_id"])
+    by_type = in_file.where(F.col("_all") > often).join(visible.select(P, "file", "type_id").distinct(), [P, "file"]).join(m, [P, "type_id", "name"])
+    columns = (P, "file", "name", "symbol_id", "params", "variadic", "_test")
+    seen = by_name.select(*columns).unionByName(by_type.select(*columns))
+    close = store(asked.join(seen, [P, "file", "name"]).where("is_test OR NOT _test").where(still_fits()).select(P, "ref_id", "symbol_id"))
+    left = asked.where("n <= 2").join(close.select(P, "ref_id").distinct(), [P, "ref_id"], "left_anti")
+    other = left.join(m, [P, "name"]).where("is_test OR NOT _test").where(still_fits()).select(P, "ref_id", "symbol_id")
     return _share(close, F.lit(0.5), "ref_id").unionByName(_share(other, F.lit(0.3), "ref_id"))
 
 

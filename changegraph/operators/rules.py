@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changegraph.functions.text import join_path
-from changegraph.operators.graph import P, closure
+from changegraph.operators.graph import CALLABLE_KINDS, TYPE_KINDS, P, closure
 
 # Annotations that give a class its role.
 STEREOTYPES = {
@@ -106,11 +106,20 @@ def merge_tags(*tags: DataFrame) -> DataFrame:
 
 def test_naming_edges(files: DataFrame, types: DataFrame) -> DataFrame:
     """``FooTest`` (Tests, IT, TestCase) tests the type ``Foo`` of its package: (from_id, to_id, kind, confidence)."""
-    stem = F.regexp_extract("name", r"^(.+?)(Test|Tests|IT|TestCase)$", 1)
+    stem = F.regexp_extract("name", r"^(.+?)(Tests|Test|IT|TestCase)$", 1)
     tests = files.withColumn("stem", stem).where("stem <> ''").select(P, "package", F.col("symbol_id").alias("from_id"), F.col("stem").alias("name"))
     return tests.join(types.select(P, "package", "name", F.col("symbol_id").alias("to_id")), [P, "package", "name"]).select(P, "from_id", "to_id", F.lit("tests").alias("kind"), F.lit(0.8).alias("confidence"))
 
 
+def test_file_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``x.spec.ts`` and ``x.test.ts`` test the top-level types and callables of ``x.ts``: (from_id, to_id, kind, confidence, line).
+
+    files: (path, is_test), a file's symbol having its path as id."""
+    tests = files.where("is_test").withColumn("file", F.regexp_replace("path", r"^(.*?)\.(spec|test)\.(.*)$", "$1.$3")).where("file <> path")
+    top = symbols.where((F.col("container_id").isNull() | (F.col("container_id") == F.col("file"))) & F.col("kind").isin(*TYPE_KINDS, *CALLABLE_KINDS))
+    return tests.join(top.select(P, "file", F.col("symbol_id").alias("to_id")), [P, "file"]).select(P, F.col("path").alias("from_id"), "to_id", F.lit("tests").alias("kind"), F.lit(0.8).alias("confidence"), F.lit(1).alias("line"))
+
+
 def inject_targets(points: DataFrame, beans: DataFrame, supers: DataFrame, most: int = 5) -> DataFrame:
     """(from_id, to_id, confidence): managed subtypes of an injection point's type; narrowed by qualifier, primary, then parameter name.
 
