@@ -35,12 +35,13 @@ def _filesystem(uri: str):
 
 
 def write_token_files(
-    docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 256 << 20
+    docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 256 << 20,
+    remembered: int = 1_000_000,
 ) -> DataFrame:
     """Writes shards of at most about ``shard_bytes`` of text to ``out_dir`` (a URI that all executors reach); returns the manifest.
 
     Manifest: (shard, bytes_per_id, n_docs, n_null, n_ids, base), base being the number of
-    ids in all shards before it."""
+    ids in all shards before it. A worker remembers the ids of up to ``remembered`` pieces, some 200 bytes each."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     order = [F.asc_nulls_first("id"), F.asc("h")]
@@ -49,7 +50,7 @@ def write_token_files(
     rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def write(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, remembered)
         kind = "<u2" if max(enc.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         end = np.array([end_id], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()

@@ -14,7 +14,7 @@ from array import array
 
 from changegraph.llm.text import caches
 
-#: Pieces that a worker remembers, with and without a leading space (each some 200 bytes), before it starts anew.
+#: Pieces that a worker remembers, with and without a leading space (each some 200 bytes), before it starts anew, unless told otherwise.
 REMEMBERED = 300_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Every white space character but space and line feed, after str.isspace.
@@ -24,9 +24,9 @@ _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32
 class _Ids(dict):
     """Ids of pieces, found on first use. Letters and a mark after them are separate tokens."""
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, lead: str, remembered: int):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.remembered = tokenizer, lead, remembered
         self.marks = {c: self._encoded(c) for c in ".,;:!?"}
 
     def _encoded(self, text: str) -> bytes:
@@ -36,7 +36,7 @@ class _Ids(dict):
         mark = self.marks.get(piece[-1:])
         if mark is not None and piece[:-1].isalpha():
             return self[piece[:-1]] + mark
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         ids = self._encoded(self.lead + piece)
         if len(piece) < 64:
@@ -47,13 +47,13 @@ class _Ids(dict):
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.first, self.later = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
+        self.first, self.later = _Ids(self.tokenizer, "", remembered), _Ids(self.tokenizer, " ", remembered)
         self.line = self.first["\n"]
 
     def _spaced(self, pieces: list[str]) -> bytes:
@@ -72,12 +72,13 @@ class Encoder:
         return self.line.join([self._spaced(x.split(" ")) for x in text.split("\n")])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 caches.append(_encoders)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """The worker's encoder of a tokenizer file that remembers so many pieces."""
+    key = (path, remembered)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, remembered)
+    return _encoders[key]
