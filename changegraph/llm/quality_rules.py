@@ -25,11 +25,13 @@ same id are judged each. Extra columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changegraph.llm.text import Chunk, chunks, materialise, mix64, release, window_hashes
@@ -353,6 +355,12 @@ def _bands(usable: DataFrame, keys: list[str], least_docs: int, least_iqr: float
     return bands.select(*keys, (F.col("q1") - width * iqr).alias("low"), (F.col("q3") + width * iqr).alias("high"))
 
 
+def _free_disk(spark: SparkSession) -> None:
+    """Have the files of finished shuffles deleted: Spark does so when the driver collects its garbage, which a short driver program may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def judge_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     width: float = 2.0, least_iqr: float = 0.02, least_docs: int = 50, group_chars: int = 48_000_000,
@@ -360,8 +368,11 @@ def judge_quality(
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, kept) of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _language_key(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = materialise(count_ngrams(docs, lang_col, text_col), "counts")
+    _free_disk(docs.sparkSession)
     all_chars = counts.agg(F.sum("c")).first()[0] or 0
-    measured = materialise(measure(rows, kneser_ney(counts), -(-all_chars // group_chars) or 1), "measured")
+    model = kneser_ney(counts)
+    _free_disk(docs.sparkSession)
+    measured = materialise(measure(rows, model, -(-all_chars // group_chars) or 1), "measured")
 
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     score = F.when(F.col("lm_n") > 0, -F.col("lm_sum") / F.col("lm_n"))
