@@ -58,3 +58,17 @@ def test_support_does_not_grow_with_the_table(spark):
     data = [([f"x{i % 7}", "seldom"] if i < 10 else [f"x{i % 7}"], i < 10) for i in range(2500)]
     mined = mine_rules(spark.createDataFrame(data, "tokens array<string>, blocked boolean")).collect()
     assert [(r.tokens, r.key, r.confidence) for r in mined] == [(["seldom"], "seldom", 1.0)]
+
+
+def test_query_follows_the_rules_of_its_contract(spark, tmp_path):
+    from changegraph.llm.queries import op8_url_rules
+
+    urls = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://www.example.com/en/71": ("example.com/en/7", "allow"), "https://example.com/en/8": ("com/en/", "block"),
+        "http://b.net/de/": ("net/de/", "allow"), "http://net/de/x": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://w.example.net/de/81": ("example.net/de/8", "block"), "http://c.org/es/": ("org/es/", "block"), "http://c.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op8_url_rules(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(urls.values()))
