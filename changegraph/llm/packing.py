@@ -26,14 +26,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changegraph.llm.text import materialise, n_groups
-from changegraph.llm.tokens import encoder
+from changegraph.llm.tokens import REMEMBERED, encoder
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each document's ids with the end id, in pieces of at most ``capacity``."""
+def pieces(
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED,
+) -> DataFrame:
+    """(id, piece, start, length, ids_crc32): each document's ids with the end id, in pieces of at most ``capacity``.
+
+    A worker remembers the ids of up to ``remembered`` words, some 200 bytes each."""
 
     def cut(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, remembered)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
@@ -184,7 +188,9 @@ def pack(pieces_: DataFrame, capacity: int = 1024, length_col: str = "length", o
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED,
+) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    cut = materialise(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
+    cut = materialise(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, remembered), "pieces")
     return pack(cut, capacity).withColumnRenamed("id", id_col)

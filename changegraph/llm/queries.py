@@ -107,7 +107,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from changegraph.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, capacity=1024)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, capacity=1024, remembered=1_000_000)
 
 
 @query

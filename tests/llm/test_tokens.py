@@ -74,6 +74,16 @@ def test_packing_keeps_every_token(spark, tokenizer):
     assert n <= 1.1 * (-(-total // 64)) + 2
 
 
+def test_the_packing_query_remembers_as_many_words_as_the_files_do(spark, monkeypatch):
+    """With 300,000 most words of new documents are forgotten before they come again."""
+    from changegraph.llm import packing, queries
+
+    asked = []
+    monkeypatch.setattr(packing, "pieces", lambda *a: asked.append(a[-1]) or frame(spark).selectExpr("1L as id", "0 as piece", "0L as start", "1L as length", "0L as ids_crc32"))
+    queries.op9_pattern_packing(spark, "/root/testdata/sf0.001")
+    assert asked == [1_000_000]
+
+
 def test_packing_one_hot_length(spark):
     rows_ = spark.range(1000).selectExpr("id", "0 as piece", "0L as start", "cast(if(id % 3 = 0, 512, id % 97 + 1) as long) as length", "id as ids_crc32")
     n = check_packed(pack(rows_, 1024).collect(), 1024)
