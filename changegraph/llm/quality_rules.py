@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import Chunk, chunks, materialise, mix64, release, window_hashes
+from changegraph.llm.text import Chunk, chunks, discard, materialise, mix64, release, window_hashes
 
 ORDER = 5
 #: A code point has 21 bits: two make ``hi`` and three ``lo`` of a 5-gram, the last ones lowest.
@@ -213,7 +213,7 @@ def _discount(c: Column) -> Column:
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, hi, lo, key, logp) of the n-grams of the highest order, by interpolated modified Kneser-Ney.
 
-    Each order's counts and probabilities are written before the next one reads them."""
+    Each order's counts and probabilities are written before the next one reads them, and deleted when it is written."""
     count = {order: counts}
     for n in range(order - 1, 0, -1):
         hi, lo = _suffix(n)
@@ -245,7 +245,10 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             rows = rows.withColumns({"low_hi": low_hi, "low_lo": low_lo}).join(below, ["lang", "low_hi", "low_lo"])
             p = F.col("first") + F.col("gamma") * F.col("p_low")
         keys = ["lang", "hi", "lo", "key"] if n == order else ["lang", "hi", "lo"]
-        lower = materialise(rows.select(*keys, (F.log(p) if n == order else p).alias("logp" if n == order else "p")), f"order{n}")
+        before, lower = lower, materialise(rows.select(*keys, (F.log(p) if n == order else p).alias("logp" if n == order else "p")), f"order{n}")
+        for used in (before, count[n] if n < order else None):
+            if used is not None:
+                discard(used)
     return lower
 
 
@@ -371,8 +374,10 @@ def judge_quality(
     _free_disk(docs.sparkSession)
     all_chars = counts.agg(F.sum("c")).first()[0] or 0
     model = kneser_ney(counts)
+    discard(counts)
     _free_disk(docs.sparkSession)
     measured = materialise(measure(rows, model, -(-all_chars // group_chars) or 1), "measured")
+    discard(model)
 
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     score = F.when(F.col("lm_n") > 0, -F.col("lm_sum") / F.col("lm_n"))

@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changegraph.llm import quality_gam, quality_rules, toxicity
-from changegraph.llm.text import Chunk, chunks, in_remainder
+from changegraph.llm.text import Chunk, chunks, in_remainder, materialise
 from tests.llm.data import frame, rows, words
 
 
@@ -62,6 +63,18 @@ def test_kneser_ney_equals_brute_force(spark):
             assert r.lm_n == len(own) and math.isclose(r.lm_sum, sum(math.log(p[g]) for g in own), abs_tol=1e-6)
 
 
+def test_tables_that_are_used_up_are_deleted(spark, monkeypatch):
+    """While the documents are measured only the model is left of what was counted, and then not even that."""
+    made, held = [], []
+    left = lambda: [name for name, df in made if os.path.exists(df.inputFiles()[0].removeprefix("file:").replace("///", "/"))]
+    keep = lambda df, name: (lambda out: made.append((name, out)) or out)(materialise(df, name))
+    measure = quality_rules.measure
+    monkeypatch.setattr(quality_rules, "materialise", keep)
+    monkeypatch.setattr(quality_rules, "measure", lambda *a: held.append(left()) or measure(*a))
+    assert quality_rules.judge_quality(frame(spark)).count() == frame(spark).count()
+    assert held == [["discounts", "order5"]] and left() == ["discounts", "measured", "scores"]
+
+
 def test_languages_are_apart_and_null_is_none_of_them(spark):
     docs = spark.createDataFrame([(0, "abcdefgh", None), (1, "abcdefgh", "(none)"), (2, "abcdefgh", "")], "doc_id long, text string, lang string")
     assert quality_rules.count_ngrams(docs).groupBy("lang").count().count() == 3
