@@ -166,3 +166,33 @@ def test_known_templates(spark):
     paths = no("scope_id string, outer_id string, dist int, outer_is_type boolean")
     out = tp.expand_templates(exprs, v, paths, no("file string, local string, name string, target_file string"), no("file string, type_name string, name string, value_id string, rank int"))
     assert [r.template for r in sorted(out.collect(), key=lambda r: r.expr_id)] == list(texts.values())
+
+
+def test_uses_of_one_name_ask_the_scopes_around_once(spark, monkeypatch):
+    """Uses in 60 callables of one type: the type and what is around it are asked once, with parents looked up or brought; scopes around each other end."""
+    scopes = [("s", f"m{i}", "T", False) for i in range(60)] + [("s", "T", "O", True), ("s", "O", None, True), ("s", "x", "y", False), ("s", "y", "z", False), ("s", "z", "y", False)]
+    tree = spark.createDataFrame(scopes, "snapshot_id string, scope_id string, parent_id string, is_type boolean")
+    refs = [("s", f"r{i}", f"m{i}", "T", "a" if i % 2 else "b", 5, False) for i in range(60)] + [("s", "lost", "x", None, "a", 5, False), ("s", "none", "gone", "T", "c", 5, False)]
+    refs = spark.createDataFrame(refs, "snapshot_id string, ref_id string, scope_id string, type_id string, name string, at int, fields_only boolean")
+    known = spark.createDataFrame([("s", "O", "a", 1, 1, True, "A"), ("s", "m0", "b", 9, 1, False, "late"), ("s", "S", "c", 1, 1, True, "C")], "snapshot_id string, scope_id string, name string, at int, ord int, field boolean, type_name string")
+    levels = spark.createDataFrame([("s", "T", "T", 0), ("s", "T", "S", 1)], "snapshot_id string, type_id string, relative_id string, dist int")
+    stored = []
+    monkeypatch.setattr(sc, "store", lambda df: stored.append(g.store(df)) or stored[-1])
+    want = {(f"r{i}", "A", "scope") for i in range(1, 60, 2)} | {("none", "C", "inherited")}
+    leaf = refs.join(tree.select("snapshot_id", "scope_id", "parent_id", "is_type"), ["snapshot_id", "scope_id"])
+    for asked, around in ((refs, tree), (refs, sc.scope_paths(tree)), (leaf, tree.where("NOT scope_id LIKE 'm%'"))):
+        stored.clear()
+        got = {(r.ref_id, r.type_name, r.via) for r in sc.binding_lookup(asked, known, around, levels).collect()}
+        assert got == (want if asked is refs else want - {("none", "C", "inherited")})
+        sizes = sorted(df.count() for df in stored)
+        assert sizes[-1] == asked.count() and sizes[-2] <= 6, sizes
+
+
+def test_parents_in_scoped_bindings_are_not_listed_for_every_order(spark, monkeypatch):
+    from changegraph.plans import code_queries as cq
+
+    given = []
+    monkeypatch.setattr(sc, "binding_lookup", lambda refs, bindings, scopes, levels: given.append((refs, scopes)) or refs)
+    cq.scoped_bindings(spark, "/root/testdata/sf0.001")
+    refs, scopes = given[0]
+    assert scopes.where("scope_id LIKE 'o%'").isEmpty() and refs.where("parent_id IS NULL OR is_type").isEmpty()
