@@ -1,9 +1,9 @@
 """String expressions of source code as templates of literals and unknowns.
 
 An expression (``BASE + "/owners/" + id``, a template literal, ``environment.api``) is cut once into
-parts: literals, names and unknowns. Names are then replaced by the parts of the values they
-mean, round by round over all expressions of all snapshots: a round joins only the names that
-are still open, at most six rounds deep. What cannot be known becomes ``*``.
+parts: literals, names and unknowns. Names, each once for all expressions that name it from the same
+place, are then replaced by the parts of the values they mean, round by round over all snapshots: a
+round joins only the names that are still open, at most six rounds deep. What cannot be known becomes ``*``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from changegraph.operators.scopes import nearest_definition
 #: Expressions nested deeper than this, by brackets, templates or values, are unknown.
 MOST_DEPTH = 6
 JVM = ("java", "kotlin")
+#: Up to so many names, what they mean is sent to all tasks; beyond, it is joined by shuffle.
+BROADCAST_NAMES = 100_000
 _PART = "array<struct<kind:string,text:string,deep:int,down:int>>"
 #: A quoted text (up to the end if it is never closed), an opening bracket, a closing one, or any other character.
 _PIECE = re.compile(r"""("(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?)|([(\[{])|([)\]}])|(.)""", re.S)
@@ -165,20 +167,19 @@ def expand_templates(
     top = values.where("scope_id IS NULL").groupBy(P, "file", "name").agg(F.min_by("value_id", "ord").alias("found"))
     first = constants.groupBy(P, "file", "type_name", "name").agg(F.min_by("value_id", F.struct("rank", "value_id")).alias("found"))
 
-    begin = exprs.select(P, "expr_id", "file", "lang", "scope_id", "at", F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("within"), F.lit(0).alias("base"), _parts("text", none, "lang").alias("parts"))
-    done = []
-    frontier = begin
-    for _ in range(MOST_DEPTH + 1):
-        rows = frontier.select("*", F.posexplode("parts").alias("_i", "_p")).drop("parts")
-        rows = rows.withColumn("place", F.array_append("place", F.col("_i"))).withColumn("_deep", F.col("base") + F.col("_p.deep"))
-        kind = F.when(F.col("_deep") > MOST_DEPTH, "any").otherwise(F.col("_p.kind"))
-        rows = store(rows.select(P, "expr_id", "file", "lang", "scope_id", "at", "place", "within", (F.col("base") + F.col("_p.down")).alias("down"), kind.alias("kind"), F.col("_p.text").alias("text")))
-        done.append(rows.where("kind <> 'name'").select(P, "expr_id", "place", F.when(F.col("kind") == "text", F.col("text")).alias("text")))
-        # A value stands one level deeper than its name.
-        done.append(rows.where(f"kind = 'name' AND down >= {MOST_DEPTH}").select(P, "expr_id", "place", F.lit(None).cast("string").alias("text")))
-        names = rows.where(f"kind = 'name' AND down < {MOST_DEPTH}")
-        if names.isEmpty():
-            break
+    # Parsing is the work here, and files of expressions are small: deal them out, so that not one task parses all.
+    begin = exprs.select(P, "expr_id", "file", "lang", "scope_id", "at", "text").repartition(P, "expr_id")
+    begin = store(begin.select(P, "expr_id", "file", "lang", "scope_id", "at", _parts("text", none, "lang").alias("parts"), F.monotonically_increasing_id().alias("_row")))
+    rows = begin.select(P, "expr_id", "_row", "file", "lang", "scope_id", "at", F.posexplode_outer("parts").alias("_i", "_p"))
+    # What a name means depends on where it stands and not on the expression: the same names are expanded once.
+    asks = F.struct("file", "lang", "scope_id", F.when(F.col("scope_id").isNotNull(), F.col("at")).alias("at"), F.col("_p.down").alias("down"), F.col("_p.text").alias("text"))
+    kind = F.when(F.col("_p.deep") > MOST_DEPTH, "any").otherwise(F.col("_p.kind"))
+    asking = (F.col("kind") == "name") & (F.col("_p.down") < MOST_DEPTH)
+    rows = rows.withColumn("kind", kind).withColumn("_ask", F.when(asking, F.to_json(asks)))
+    asked = rows.where("_ask IS NOT NULL").select(P, F.col("_ask").alias("expr_id"), asks.alias("_a")).distinct()
+    names = store(asked.select(P, "expr_id", "_a.*", F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("within")))
+    n_asked, done = names.count(), []
+    while not names.isEmpty():
         names = names.withColumn("own", F.col("text").startswith("this.")).withColumn("path", F.split(F.regexp_replace("text", r"^this\.", ""), r"\.")).withColumn("name", F.col("path")[0])
         names = names.withColumn("use_id", F.to_json(F.struct("expr_id", "place")))
         uses = names.where("scope_id IS NOT NULL").select(P, "use_id", "scope_id", "name", "at", F.col("own").alias("fields_only"))
@@ -198,16 +199,30 @@ def expand_templates(
         fresh = F.col("value_id").isNotNull() & ~F.array_contains("within", F.col("value_id"))
         names = names.withColumn("parts", F.when(fresh, _parts("_text", "rest", "_lang")))
         empty = F.forall("parts", lambda p: (p["kind"] == "text") & (p["text"] == ""))
-        names = store(names.withColumn("parts", F.when(~empty, F.col("parts"))))
+        # A value stands one level deeper than its name.
+        names = store(names.select(
+            P, "expr_id", "place", F.col("_file").alias("file"), F.col("_lang").alias("lang"), F.col("_scope_id").alias("scope_id"), F.col("_at").alias("at"),
+            F.array_append("within", F.col("value_id")).alias("within"), (F.col("down") + 1).alias("base"), F.when(~empty, F.col("parts")).alias("parts"),
+        ))
         done.append(names.where("parts IS NULL").select(P, "expr_id", "place", F.lit(None).cast("string").alias("text")))
-        frontier = names.where("parts IS NOT NULL").select(
-            P, "expr_id", F.col("_file").alias("file"), F.col("_lang").alias("lang"), F.col("_scope_id").alias("scope_id"), F.col("_at").alias("at"), "place",
-            F.array_append("within", F.col("value_id")).alias("within"), (F.col("down") + 1).alias("base"), "parts",
-        )
-    rows = done[0]
-    for df in done[1:]:
-        rows = rows.unionByName(df)
-    texts = rows.groupBy(P, "expr_id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("_parts"))
+        inner = names.select(*[c for c in names.columns if c != "parts"], F.posexplode("parts").alias("_i", "_p"))
+        inner = inner.withColumn("place", F.array_append("place", F.col("_i"))).withColumn("_deep", F.col("base") + F.col("_p.deep"))
+        kind = F.when(F.col("_deep") > MOST_DEPTH, "any").otherwise(F.col("_p.kind"))
+        inner = store(inner.select(P, "expr_id", "file", "lang", "scope_id", "at", "place", "within", (F.col("base") + F.col("_p.down")).alias("down"), kind.alias("kind"), F.col("_p.text").alias("text")))
+        done.append(inner.where(f"kind <> 'name' OR down >= {MOST_DEPTH}").select(P, "expr_id", "place", F.when(F.col("kind") == "text", F.col("text")).alias("text")))
+        names = inner.where(f"kind = 'name' AND down < {MOST_DEPTH}").drop("kind")
+    if done:
+        known = done[0]
+        for df in done[1:]:
+            known = known.unionByName(df)
+        known = known.groupBy(P, F.col("expr_id").alias("_ask")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("_texts"))
+        rows = rows.join(F.broadcast(known) if n_asked <= BROADCAST_NAMES else known, [P, "_ask"], "left")
+    else:
+        rows = rows.withColumn("_texts", F.lit(None).cast("array<struct<text:string>>"))
+    # An expression without a text has no part.
+    plain = F.when(F.col("kind").isNull(), F.array().cast("array<struct<text:string>>")).otherwise(F.array(F.struct(F.when(F.col("kind") == "text", F.col("_p.text")).alias("text"))))
+    rows = rows.select(P, "expr_id", "_row", "_i", F.coalesce("_texts", plain).alias("_t"))
+    texts = rows.groupBy("_row", P).agg(F.first("expr_id").alias("expr_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"])).alias("_parts"))
 
     def joined(acc, p):
         """Neighbouring texts are one part, neighbouring unknowns too."""
@@ -221,6 +236,4 @@ def expand_templates(
         )
 
     texts = texts.withColumn("parts", F.aggregate("_parts", F.array().cast("array<struct<text:string>>"), joined))
-    texts = texts.withColumn("template", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("*"))), ""))
-    out = exprs.select(P, "expr_id").join(texts.select(P, "expr_id", "template", "parts"), [P, "expr_id"], "left")
-    return out.select(P, "expr_id", F.coalesce("template", F.lit("")).alias("template"), F.coalesce("parts", F.array().cast("array<struct<text:string>>")).alias("parts"))
+    return texts.select(P, "expr_id", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("*"))), "").alias("template"), "parts")

@@ -196,3 +196,20 @@ def test_parents_in_scoped_bindings_are_not_listed_for_every_order(spark, monkey
     cq.scoped_bindings(spark, "/root/testdata/sf0.001")
     refs, scopes = given[0]
     assert scopes.where("scope_id LIKE 'o%'").isEmpty() and refs.where("parent_id IS NULL OR is_type").isEmpty()
+
+
+def test_names_of_many_expressions_are_expanded_once(spark, monkeypatch):
+    """Forty expressions over one name: what is stored besides the expressions does not grow with them; rows of one id stay apart."""
+    values = spark.createDataFrame([("s", "v1", "f", "typescript", None, "A", 1, 1, "'/a' + B"), ("s", "v2", "f", "typescript", None, "B", 1, 1, "'/b'")], "snapshot_id string, value_id string, file string, lang string, scope_id string, name string, at int, ord int, text string")
+    exprs = [("s", f"e{k // 2}", "f", "typescript", None, k, f"'/{k}' + A + x") for k in range(40)]
+    exprs = spark.createDataFrame([*exprs, ("s", "plain", "f", "typescript", None, 1, "'/p'"), ("s", "null", "f", "typescript", None, 1, None)], "snapshot_id string, expr_id string, file string, lang string, scope_id string, at int, text string")
+    no = lambda schema: spark.createDataFrame([], f"snapshot_id string, {schema}")
+    stored = []
+    monkeypatch.setattr(tp, "store", lambda df: stored.append(g.store(df)) or stored[-1])
+    for most in (100, 0):
+        monkeypatch.setattr(tp, "BROADCAST_NAMES", most)
+        stored.clear()
+        out = tp.expand_templates(exprs, values, no("scope_id string, outer_id string, dist int, outer_is_type boolean"), no("file string, local string, name string, target_file string"), no("file string, type_name string, name string, value_id string, rank int"))
+        got = sorted((r.expr_id, r.template) for r in out.collect())
+        assert got == sorted([(f"e{k // 2}", f"/{k}/a/b*") for k in range(40)] + [("plain", "/p"), ("null", "")])
+        assert sorted(df.count() for df in stored)[-2:] == [2, 42]
