@@ -6,9 +6,10 @@ Kneser-Ney smoothing (three discounts an order, from the counts of counts) gives
 interpolated probabilities, an order at a time, each in joins on the n-gram.
 
 No task and no driver holds the model. The documents are dealt into groups of about
-``group_chars`` characters; a group asks for the 5-grams that it has, is sent their
-probabilities, and builds of them arrays of 64-bit hashes sorted for search, which score its
-whole texts in vectorised passes. As the model is counted over these same documents,
+``group_chars`` characters; a group asks for the 5-grams that it has, in order and packed by
+ranges of their hashes, and is sent packed probabilities in that order, eight bytes a 5-gram
+each way. It builds arrays of 64-bit hashes sorted for search, which score its whole texts in
+vectorised passes. As the model is counted over these same documents,
 every 5-gram asked for is in it.
 
 Of the documents that pass the basic rules, quartiles of mean log perplexity by language and
@@ -34,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changegraph.llm.text import Chunk, chunks, discard, materialise, mix64, release, window_hashes
+from changegraph.llm.text import Chunk, chunks, discard, materialise, mix64, n_groups, release, window_hashes
 
 ORDER = 5
 #: A code point has 21 bits: two make ``hi`` and three ``lo`` of a 5-gram, the last ones lowest.
 BITS = 21
 #: About so many bytes of text go into one compressed piece of a group.
 PIECE_BYTES = 4 << 20
+#: A range of hashes is so narrow that all groups together ask for at most about so many 5-grams of it.
+RANGE_ASKS = 8_000_000
 #: Up to so many languages, their discounts are sent to all tasks; beyond, they are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 
@@ -252,6 +255,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return lower
 
 
+CHANGED = "a 5-gram is not in the model: the documents changed between two readings"
+
+
 class Model:
     """Hash arrays sorted for search: the 5-grams of a group with their log probabilities."""
 
@@ -272,7 +278,7 @@ class Model:
             at[low] += 1
             low = low[(self.key[at[low]] < key[low]) & (at[low] < last)]
         if last < 0 or (self.key[np.minimum(at, last)] != key).any():
-            raise ValueError("a 5-gram is not in the model: the documents changed between two readings")
+            raise ValueError(CHANGED)
         return self.logp[at]
 
 
@@ -300,6 +306,15 @@ def _unpacked(pieces):
             yield from batches
 
 
+def _keys(pieces, own: np.ndarray | None = None) -> np.ndarray:
+    """The distinct keys of the 5-grams in pieces and of those before, in order."""
+    own = np.zeros(0, np.uint64) if own is None else own
+    for rows in _unpacked(pieces):
+        numbers = _numbers(rows["lang"].to_pylist())
+        own = _distinct(np.concatenate([own, *(_distinct(ngrams(c, numbers[c.first : c.first + c.n])[0])[0] for c in chunks(rows["text"]))]))[0]
+    return own
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -307,28 +322,44 @@ def measure(docs: DataFrame, model: DataFrame, groups: int) -> DataFrame:
     """(id, lang, basic counts, lm_sum, lm_n): the log probability and the number of a document's 5-grams."""
     pieces = _pieces(docs, groups)
 
+    spark = docs.sparkSession
+    bits = max(1, (max(4 * n_groups(spark), groups * model.count() // RANGE_ASKS) - 1).bit_length())
+
     def asked(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             for g, piece in zip(batch["g"].to_pylist(), batch["piece"], strict=True):
-                own = held.setdefault(g, [])
-                for rows in _unpacked([piece]):
-                    numbers = _numbers(rows["lang"].to_pylist())
-                    own += [_distinct(ngrams(c, numbers[c.first : c.first + c.n])[0])[0] for c in chunks(rows["text"])]
-                held[g] = [_distinct(np.concatenate(own))[0]] if own else []
-        for g, own in held.items():
-            for key in own:
-                for i in range(0, len(key), 100_000):
-                    part = key[i : i + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g, dtype=np.int32)), pa.array(part)], names=["g", "key"])
+                held[g] = _keys([piece], held.get(g))
+        for g, key in held.items():
+            ranges, begin = np.unique(key >> np.uint64(64 - bits), return_index=True)
+            packed = [key[i:j].tobytes() for i, j in zip(begin, [*begin[1:], len(key)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranges), g, dtype=np.int32)), pa.array(ranges.astype(np.int32)), pa.array(packed, pa.binary())], names=["g", "b", "keys"])
         release()
 
-    wanted = pieces.mapInArrow(asked, "g int, key long").join(model.select("key", "logp"), "key").select("g", "key", "logp")
+    told_schema = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("logps", pa.binary())])
+
+    def tell(left, right):
+        known, logp = right["key"].to_numpy().view(np.uint64), right["logp"].to_numpy()
+        order = np.argsort(known)
+        known, logp, out = known[order], logp[order], []
+        for packed in left["keys"].to_pylist():
+            key = np.frombuffer(packed, dtype=np.uint64)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            if not len(known) or (known[at] != key).any():
+                raise ValueError(CHANGED)
+            out.append(logp[at].tobytes())
+        return pa.table([left["g"].cast(pa.int32()), left["b"].cast(pa.int32()), pa.array(out, pa.binary())], schema=told_schema)
+
+    asks = pieces.mapInArrow(asked, "g int, b int, keys binary")
+    known = model.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("b"), "key", "logp")
+    told = asks.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(tell, "g int, b int, logps binary")
     schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), *((k, pa.int64()) for k in COUNTS), ("lm_sum", pa.float64()), ("lm_n", pa.int64())])
 
     def scored(left, right):
-        model = Model(right["key"].to_numpy().view(np.uint64), right["logp"].to_numpy())
-        out = []
+        key, logp = _keys(left["piece"]), np.frombuffer(b"".join(right.sort_by("b")["logps"].to_pylist()), dtype=np.float64)
+        if len(key) != len(logp):
+            raise ValueError(CHANGED)
+        model, out = Model(key, logp), []
         for rows in _unpacked(left["piece"]):
             names, cols = rows["lang"].to_pylist(), {k: [np.zeros(0, dtype=np.int64)] for k in (*COUNTS, "lm_n")}
             numbers, sums = _numbers(names), [np.zeros(0)]
@@ -344,7 +375,7 @@ def measure(docs: DataFrame, model: DataFrame, groups: int) -> DataFrame:
         return pa.Table.from_batches(out, schema=schema)
 
     kinds = "id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", lm_sum double, lm_n long"
-    return pieces.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(scored, kinds)
+    return pieces.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(scored, kinds)
 
 
 def _bands(usable: DataFrame, keys: list[str], least_docs: int, least_iqr: float, width: float) -> DataFrame:

@@ -188,3 +188,16 @@ def test_toxicity_searches_every_text_with_terms_of_examples(spark):
     assert {e.label for r in out.values() for e in r.evidence} == {0, 1}
     assert out[1002].evidence[0].id == 1001 and out[1002].evidence[0].cosine > 0.9
     assert out[1002].score > out[1003].score and not out[1003].evidence
+
+
+def test_asked_ngrams_travel_packed(spark, monkeypatch):
+    """Narrow ranges of hashes give the same sums, and no row a 5-gram is sent: what is asked and told is packed."""
+    docs = spark.createDataFrame([(i, "=en" if i % 2 else "=de", f"text {i} of some words, {i * i} in all") for i in range(30)], "id long, lang string, text string")
+    table = quality_rules.kneser_ney(quality_rules.count_ngrams(docs))
+    got = []
+    for most in (quality_rules.RANGE_ASKS, 20):
+        monkeypatch.setattr(quality_rules, "RANGE_ASKS", most)
+        out = quality_rules.measure(docs.repartition(3), table, 3)
+        assert "logps" in out._jdf.queryExecution().optimizedPlan().toString()
+        got.append({r.id: (r.lm_n, round(r.lm_sum, 9)) for r in out.collect()})
+    assert got[0] == got[1] and len(got[0]) == 30
